@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import packing, tokens
+from foliospark.llm import lookalikes, mojibake, packing, tokens
 from foliospark.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,44 @@ def limit_value(spark: SparkSession, sf_dir: str, name: str, default: int) -> in
     return default if rows[0][0] is None else int(rows[0][0])
 
 
+SPAN_KEY = ["doc_id", "page", "block_no", "line_no", "span_no"]
+
+
+def _span_rows(spans: DataFrame) -> DataFrame:
+    item = F.concat_ws(".", *(F.col(c).cast("string") for c in SPAN_KEY[2:]))
+    return spans.select(F.lit("spans").alias("tbl"), "doc_id", "page", item.alias("item"), "text")
+
+
+def _word_rows(words: DataFrame) -> DataFrame:
+    return words.select(F.lit("words").alias("tbl"), "doc_id", "page", F.col("word_no").cast("string").alias("item"), "text")
+
+
+def _lookalike_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, int], DataFrame]:
+    """Span and word rows, corpus counts of class members, scripts of pages."""
+    rows = _span_rows(table(spark, sf_dir, "spans")).unionByName(_word_rows(table(spark, sf_dir, "words")))
+    return rows, lookalikes.corpus_counts(rows.select("text")), lookalikes.page_scripts(rows)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, counts, pages = _lookalike_parts(spark, sf_dir)
+    hits = lookalikes.found(rows, counts, pages)
+    garbled = mojibake.affected(_span_rows(table(spark, sf_dir, "spans"))).select("tbl", "doc_id", "page", "item")
+    return hits.join(garbled, ["tbl", "doc_id", "page", "item"], "left_anti").select("tbl", "doc_id", "page", "item")
+
+
+def p1_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, counts, pages = _lookalike_parts(spark, sf_dir)
+    return lookalikes.normalize(rows.distinct(), counts, pages)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.affected(table(spark, sf_dir, "spans").select(*SPAN_KEY, "text")).select(SPAN_KEY).distinct()
+
+
+def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.affected(table(spark, sf_dir, "spans").select(*SPAN_KEY, "text")).select(*SPAN_KEY, "text", "repaired", "restorable")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -36,7 +74,10 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_containers": p9_containers}
+    return {
+        "p1_found": p1_found, "p1_normalized": p1_normalized, "p5_found": p5_found, "p5_repaired": p5_repaired,
+        "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_containers": p9_containers,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
