@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -26,3 +27,17 @@ def cut(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+HOT_KEYS = 4096
+
+
+def lookup_join(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+    """Join left to right (one row per key) without a hot partition.
+
+    The HOT_KEYS rows of right with the largest weight are broadcast (a fixed number of rows); all other keys meet
+    in a shuffle join. how: inner, or left (unmatched rows of left keep nulls)."""
+    hot = right.orderBy(F.desc(weight), key).limit(HOT_KEYS)
+    common = left.join(F.broadcast(hot), key)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right, key, how)
+    return common.unionByName(rest.select(common.columns))
