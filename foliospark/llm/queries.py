@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import lookalikes, mojibake, packing, tokens
+from foliospark.llm import lookalikes, mojibake, packing, privacy, tokens
 from foliospark.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,18 @@ def p1_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.normalize(rows.distinct(), counts, pages)
 
 
+def _personal_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "blocks").where(F.col("kind").isin("paragraph", "list_item")).select("doc_id", "block_id", "text")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.items(_personal_blocks(spark, sf_dir), table(spark, sf_dir, "name_parts")).select("doc_id", "block_id", "pii_kind", "start_at").distinct()
+
+
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.redact(_personal_blocks(spark, sf_dir).distinct(), table(spark, sf_dir, "name_parts"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.affected(table(spark, sf_dir, "spans").select(*SPAN_KEY, "text")).select(SPAN_KEY).distinct()
 
@@ -75,7 +87,8 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
-        "p1_found": p1_found, "p1_normalized": p1_normalized, "p5_found": p5_found, "p5_repaired": p5_repaired,
+        "p1_found": p1_found, "p1_normalized": p1_normalized, "p2_found": p2_found, "p2_redacted": p2_redacted,
+        "p5_found": p5_found, "p5_repaired": p5_repaired,
         "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_containers": p9_containers,
     }
 
