@@ -28,9 +28,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.runtime import cut
+
 # Letters of two scripts that are drawn alike (Latin, other).
 SHARED = {
     "CYRILLIC": "aа eе oо pр cс yу xх iі jј sѕ AА BВ EЕ KК MМ HН OО PР CС TТ XХ IІ JЈ SЅ",
@@ -268,21 +270,28 @@ def _forms(fixed: dict[str, str], by_script: dict[str, dict[str, str]]):
         for s in batches:
             yield pd.DataFrame([r.both(t) for t in s], columns=["latin", "native"])
 
-    return forms
+    return forms.asNondeterministic()  # else the optimizer evaluates it once per use
+
 
+def page_scripts(texts: DataFrame) -> DataFrame:
+    """(doc_id, page, foreign): whether the page is written in a script other than Latin.
 
-DISTINCT_OTHER = "[\\p{IsCyrillic}\\p{IsGreek}&&[^" + "".join(p[1] for pairs in SHARED.values() for p in pairs.split(" ")) + "]]|[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}]"
+    Latin text takes about one byte a character, Greek and Cyrillic two, CJK three: no need to look at characters."""
+    ratio = F.sum(F.octet_length("text")) > 1.5 * F.sum(F.char_length("text"))
+    return texts.groupBy("doc_id", "page").agg(ratio.alias("foreign"))
 
 
-def page_scripts(texts: DataFrame) -> DataFrame:
-    """(doc_id, page, foreign): whether more texts of the page are surely not Latin than surely Latin."""
-    return texts.groupBy("doc_id", "page").agg((F.count_if(F.col("text").rlike(DISTINCT_OTHER)) > F.count_if(F.col("text").rlike("[A-Za-z]"))).alias("foreign"))
+def touched() -> Column:
+    """Whether text holds a candidate character: cheap tests first, most rows are plain."""
+    text = F.col("text")
+    wide = (F.octet_length(text) > F.char_length(text)) & text.rlike("[^\\x20-\\x7E\\xA1-\\xAC\\xAE-\\xFF]") & text.rlike(candidate_pattern())
+    return F.coalesce(wide | text.rlike("[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]"), F.lit(False))
 
 
 def forms(rows: DataFrame, counts: dict[str, int], pages: DataFrame) -> DataFrame:
     """rows (doc_id, page, text, ...) holding a candidate character, with column form."""
     fixed, by_script = representatives(counts)
-    held = rows.where(F.col("text").rlike(candidate_pattern())).withColumn("__f", _forms(fixed, by_script)(F.col("text")))
+    held = cut(rows.where(touched()).withColumn("__f", _forms(fixed, by_script)(F.col("text"))))
     same = held.where("__f.latin = __f.native").withColumn("form", F.col("__f.latin")).drop("__f")
     other = held.where("__f.latin <> __f.native").join(pages.select("doc_id", "page", F.col("foreign").alias("__foreign")), ["doc_id", "page"], "left")
     chosen = other.withColumn("form", F.when(F.coalesce("__foreign", F.lit(False)), F.col("__f.native")).otherwise(F.col("__f.latin"))).drop("__f", "__foreign")
@@ -293,8 +302,7 @@ def normalize(rows: DataFrame, counts: dict[str, int] | None = None, pages: Data
     """rows with text in its consistent form; rows without a candidate character never leave the JVM."""
     counts = corpus_counts(rows.select("text")) if counts is None else counts
     pages = page_scripts(rows) if pages is None else pages
-    touched = F.coalesce(F.col("text").rlike(candidate_pattern()), F.lit(False))
-    return rows.where(~touched).unionByName(forms(rows, counts, pages).withColumn("text", F.col("form")).drop("form").select(rows.columns))
+    return rows.where(~touched()).unionByName(forms(rows, counts, pages).withColumn("text", F.col("form")).drop("form").select(rows.columns))
 
 
 def found(rows: DataFrame, counts: dict[str, int] | None = None, pages: DataFrame | None = None) -> DataFrame:

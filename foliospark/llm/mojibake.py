@@ -217,7 +217,7 @@ def _mend():
                 out.append(seen[t])
             yield pd.DataFrame(out, columns=["before", "text", "after"])
 
-    return mend
+    return mend.asNondeterministic()  # else the optimizer evaluates it once per use
 
 
 def affected(rows: DataFrame, text: str = "text") -> DataFrame:

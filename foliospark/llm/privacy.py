@@ -59,7 +59,7 @@ IDENTITY_CUE = r"(?:RG|CPF|n[º°o]\.?|documento|doc\.|n[úu]mero|number|no\.|Da
 STREET = r"(?:(?:Rua|R\.|Avenida|Av\.|Avda\.|Praça|Pça\.|Travessa|Tv\.|Alameda|Al\.|Rod\.|Rodovia|Estrada|Estr\.|Largo|Calle|C/|Plaza|Pza\.|Paseo|Rue|Boulevard|Place)\s+(?:\p{Lu}|d[aeo]s?\s|de\s+l[ao]s?\s|del\s)[\p{L}.\s]{1,60}?(?:,|\s|,\s?)\s*(?:n\.?\s?[º°o]?\.?\s*)?\d{1,5}\b)"
 HOUSE_FIRST = r"(?<![\d.,/\-])\d{1,5}\s(?:\p{Lu}[\p{Ll}’']+\s){1,3}(?:Street|Road|Lane|Avenue|Row|Close|Square|Drive|Court|Place|Terrace|Way|Walk|Hill|Quay|St\.|Rd\.|Ave\.)(?!\p{L})"
 ADDRESS_TAIL = r"(?:,\s(?:fundos|casa\s\d+|apto\s\d+|bloco\s\w+|bajo|\d\.º\s\w|[Ff]lat\s\w+|[Uu]nit\s\w+)|,\s(?:Bairro|Vila)\s(?:\p{Lu}\p{L}+\s?)+|,\sCEP\s\d{5}-\d{3}|\s-\s\p{Lu}\p{L}+(?:\s\p{Lu}\p{L}+)*)*"
-ELEMENT = r"(?:\p{Lu}\p{Ll}+(?:[’']\p{L}+)?(?![\p{L}\-])|\p{Lu}{2,}(?![\p{L}\-.])|\p{Lu}\.(?=[\s.,;)]))"
+ELEMENT = r"(?:\p{Lu}\p{Ll}+(?:[’']\p{L}+)?(?![\p{L}\-])|\p{Lu}{2,}(?![\p{L}\-])|\p{Lu}\.(?=[\s.,;)]))"
 NAME = rf"(?<![\p{{L}}\-@.]){ELEMENT}(?:\s+(?:(?:d[aeo]s?|D[AEO]S?|von|van|del|DEL|y|e la)\s+)?{ELEMENT})*(?:,\s{ELEMENT}(?:\s+(?:d[aeo]s?\s+)?{ELEMENT})*\s+\p{{Lu}}\.)?"
 
 
@@ -149,10 +149,9 @@ def names(runs: DataFrame, seeds: DataFrame) -> DataFrame:
     hits = lookup_join(words.where("word not like '%.'"), known, "word", "n").select(*key, "i", F.lit(True).alias("full")).unionByName(initials)
     island = hits.withColumn("g", F.col("i") - F.row_number().over(Window.partitionBy(*key).orderBy("i")))
     sub = island.groupBy(*key, "g").agg(F.min("i").alias("a"), F.max("i").alias("b"), F.count("*").alias("parts"), F.count_if("full").alias("full"))
-    best = sub.where("parts >= 2 and full >= 1").groupBy(*key).agg(F.max_by(F.struct("a", "b"), F.struct("full", -F.col("a"))).alias("r"))
-    run = runs.join(best, key)
+    run = runs.join(sub.where("parts >= 2 and full >= 1").select(*key, F.struct("a", "b").alias("r")), key)
     run = run.select(
-        "doc_id", "block_id", F.get("starts", "r.a").alias("start_at"), F.get("ends", "r.b").alias("end_at"), "titled",
+        "doc_id", "block_id", F.get("starts", "r.a").alias("start_at"), F.get("ends", "r.b").alias("end_at"), (F.col("titled") & (F.col("r.a") == 0)).alias("titled"),
         F.array_join(F.slice("words", F.col("r.a") + 1, F.col("r.b") - F.col("r.a") + 1), " ").alias("filler"),
         F.when(F.col("r.a") > 0, F.get("words", F.col("r.a") - 1)).otherwise(F.col("left")).alias("left"),
         F.when(F.col("r.b") + 1 < F.size("words"), F.get("words", F.col("r.b") + 1)).otherwise(F.col("right")).alias("right"),
