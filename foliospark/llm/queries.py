@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import lookalikes, mojibake, packing, privacy, tokens
+from foliospark.llm import lookalikes, mojibake, packing, privacy, sentences, tokens
 from foliospark.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,19 @@ def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.affected(table(spark, sf_dir, "spans").select(*SPAN_KEY, "text")).select(*SPAN_KEY, "text", "repaired", "restorable")
 
 
+def _prose_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = (F.col("kind") == "paragraph") & (F.coalesce("style", F.lit("")) != "pre")
+    return table(spark, sf_dir, "blocks").where(kept).select("doc_id", "block_id", "text")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.starts(_prose_paragraphs(spark, sf_dir), table(spark, sf_dir, "abbreviations"))
+
+
+def p6_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentences(_prose_paragraphs(spark, sf_dir), table(spark, sf_dir, "abbreviations"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -89,6 +102,7 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found, "p1_normalized": p1_normalized, "p2_found": p2_found, "p2_redacted": p2_redacted,
         "p5_found": p5_found, "p5_repaired": p5_repaired,
+        "p6_found": p6_found, "p6_sentences": p6_sentences,
         "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_containers": p9_containers,
     }
 
