@@ -7,17 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import lookalikes, mojibake, packing, privacy, sentences, tokens
+from foliospark.llm import lookalikes, mojibake, packing, privacy, sentences, splitting, tokens
 from foliospark.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def limit_value(spark: SparkSession, sf_dir: str, name: str, default: int) -> int:
-    rows = table(spark, sf_dir, "size_limits").where(F.col("limit_name") == name).agg(F.max("limit_value")).collect()
-    return default if rows[0][0] is None else int(rows[0][0])
-
-
 SPAN_KEY = ["doc_id", "page", "block_no", "line_no", "span_no"]
 
 
@@ -81,6 +76,36 @@ def p6_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(_prose_paragraphs(spark, sf_dir), table(spark, sf_dir, "abbreviations"))
 
 
+def _limits(spark: SparkSession, sf_dir: str) -> dict[str, int]:
+    known = {"payload_text_chars": 400, "payload_text_overlap_chars": 40, "window_blocks": 120, "window_overlap_blocks": 5, "container_tokens": 2048}
+    rows = table(spark, sf_dir, "size_limits").where("limit_value is not null").groupBy("limit_name").agg(F.max("limit_value").alias("v")).collect()  # a fixed table
+    return known | {r["limit_name"]: int(r["v"]) for r in rows}
+
+
+def p7_text_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _limits(spark, sf_dir)
+    return splitting.text_pieces(table(spark, sf_dir, "blocks"), m["payload_text_chars"], m["payload_text_overlap_chars"])
+
+
+def p7_block_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _limits(spark, sf_dir)
+    return splitting.block_pieces(table(spark, sf_dir, "blocks"), m["window_blocks"], m["window_overlap_blocks"])
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = p7_text_pieces(spark, sf_dir).where("piece_no = 0").select(F.lit("text").alias("item"), "doc_id", "block_id")
+    lists = p7_block_windows(spark, sf_dir).where("piece_no = 0").select(F.lit("blocks").alias("item"), "doc_id", F.lit("").alias("block_id"))
+    return texts.unionByName(lists).distinct()
+
+
+P7_FOUND_SQL = """
+WITH b AS (SELECT DISTINCT * FROM blocks)
+SELECT DISTINCT 'text' AS item, doc_id, block_id FROM b WHERE length(text) > 400
+UNION ALL
+SELECT 'blocks', doc_id, '' FROM (SELECT DISTINCT doc_id, block_id FROM b WHERE kind <> 'page_break') GROUP BY doc_id HAVING count(*) > 120
+"""
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -95,7 +120,7 @@ P8_ROUNDTRIP_SQL = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
 
 def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = tokens.token_counts(table(spark, sf_dir, "documents"))
-    return packing.pack(sizes, limit_value(spark, sf_dir, "container_tokens", 2048))
+    return packing.pack(sizes, _limits(spark, sf_dir)["container_tokens"])
 
 
 def queries() -> dict[str, Query]:
@@ -103,9 +128,10 @@ def queries() -> dict[str, Query]:
         "p1_found": p1_found, "p1_normalized": p1_normalized, "p2_found": p2_found, "p2_redacted": p2_redacted,
         "p5_found": p5_found, "p5_repaired": p5_repaired,
         "p6_found": p6_found, "p6_sentences": p6_sentences,
+        "p7_found": p7_found, "p7_text_pieces": p7_text_pieces, "p7_block_windows": p7_block_windows,
         "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_containers": p9_containers,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p8_roundtrip": P8_ROUNDTRIP_SQL}
+    return {"p7_found": P7_FOUND_SQL, "p8_roundtrip": P8_ROUNDTRIP_SQL}

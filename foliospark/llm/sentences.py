@@ -33,7 +33,7 @@ NEVER_FINAL_LEAST = 20
 # Abbreviations of the languages at hand, kept for corpora too small to show them.
 ABBREVIATIONS = """art arts fls fl inc cf doc docs sr sra srs dr dra exmo exma mm cia tel v eng téc tab p pág págs pp n no nº núm ex ej av avda r rod
 mr mrs ms st vs e.g i.e etc ltd ltda abs bl ca vgl d.h z.b gem exp ref lic prof dña hon fig vol ed op cit jr ст стр напр т.е т.д ул г άρθρ σελ κ ص م""".split()
-FINAL_CAPABLE = set("etc ltda ltd s.a s.l co inc t.d т.д".split())
+FINAL_CAPABLE = sorted("etc Ltda Ltd S.A S.L Co Inc Cía GmbH AG LTDA т.д".split())
 UNITS = set("bloco block casa apto lote letra item flat unit suite piso planta ala torre puerta".split())
 OPEN, CLOSE = "“„«「『‹", "”»」』›"
 SEPARATE = "。！？।॥"
@@ -133,8 +133,8 @@ def _scan():
                     i = j
                     continue
                 back = word_back.search(text[max(0, i - 60) : i])
-                token = back[0].lstrip(".'’-").casefold() if back else ""
-                if not gap and kind == "U" and len(token) < 2 and not token.isdigit():
+                token = re.split("[’']", back[0])[-1].lstrip(".-") if back else ""
+                if not gap and kind == "U" and len(token) == 1 and token.isalpha():
                     i = j
                     continue
                 if not token or token[-1].isdigit() or "@" in token or len(token) > 6 or token[-1] in "²³º":
@@ -150,7 +150,7 @@ def _scan():
             """token -> [followed by small letter or comma, ends the text, other]; capitalised word -> [.., .., .., starts, inside]."""
             out: dict[str, list[int]] = {}
             for m in dotted.finditer(text):
-                t = m[1].casefold()
+                t = m[1]
                 if len(t) > 6:
                     continue
                 e = out.setdefault(t, [0, 0, 0, 0, 0])
@@ -203,14 +203,14 @@ def starts(paragraphs: DataFrame, abbreviations: DataFrame) -> DataFrame:
     open_ = lookup_join(open_, stats, "token", "n", "left").na.fill(0, ["low", "fin", "cap"]).drop("n")
     words = corpus.where("token like '^%'").select(F.expr("substring(token, 2)").alias("next"), "n", F.col("starts").alias("w_starts"), F.col("mid").alias("w_mid"))
     open_ = lookup_join(open_, words, "next", "n", "left").na.fill(0, ["w_starts", "w_mid"])
-    open_ = open_.join(F.broadcast(listed), "token", "left")  # a fixed table
+    open_ = open_.withColumn("__low", F.lower("token")).join(F.broadcast(listed.withColumnRenamed("token", "__low")), "__low", "left")  # a fixed table
 
     single = F.char_length("token") == 1
-    known = F.coalesce("listed", F.lit(False)) | F.col("token").isin(ABBREVIATIONS)
+    known = F.coalesce("listed", F.lit(False)) | F.lower("token").isin(ABBREVIATIONS)
     never_final = (F.col("fin") == 0) & (F.col("cap") >= NEVER_FINAL_LEAST) & (F.char_length("token") <= 5)
-    abbreviation = known | (F.col("doc_low") > 0) | (F.col("low") >= 2) | never_final | F.col("token").isin(sorted(FINAL_CAPABLE))
+    abbreviation = known | (F.col("doc_low") > 0) | (F.col("low") >= 2) | never_final | F.col("token").isin(FINAL_CAPABLE)
     ends = F.col("fin") + F.col("cap")
-    final = F.when(ends >= NEVER_FINAL_LEAST, F.col("fin") >= FINAL_SHARE * ends).otherwise(F.col("token").isin(sorted(FINAL_CAPABLE)) | ((F.col("doc_fin") > 0) & ~known))
+    final = F.when(ends >= NEVER_FINAL_LEAST, F.col("fin") >= FINAL_SHARE * ends).otherwise(F.col("token").isin(FINAL_CAPABLE) | ((F.col("doc_fin") > 0) & ~known))
     unit = F.col("before").isin(sorted(UNITS)) | F.col("before").rlike("\\d\\.?[ºª]$")
     starter = (F.col("w_starts") > 3 * F.col("w_mid")) & (F.col("w_starts") > 0)
     boundary = F.when(single, unit | ((F.col("kind") == "U") & starter & ~known)).when(abbreviation, final).otherwise(F.lit(True))
