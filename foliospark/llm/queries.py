@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import lookalikes, mojibake, packing, privacy, sentences, splitting, tokens
+from foliospark.llm import lookalikes, mojibake, packing, privacy, quality, sentences, splitting, tokens
 from foliospark.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,6 +123,14 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(sizes, _limits(spark, sf_dir)["container_tokens"])
 
 
+def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), quality.common_by_language(table(spark, sf_dir, "common_words")))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_statistics(spark, sf_dir).where("doc_class <> 'prose'").select("doc_id", "doc_class")
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found, "p1_normalized": p1_normalized, "p2_found": p2_found, "p2_redacted": p2_redacted,
@@ -130,6 +138,7 @@ def queries() -> dict[str, Query]:
         "p6_found": p6_found, "p6_sentences": p6_sentences,
         "p7_found": p7_found, "p7_text_pieces": p7_text_pieces, "p7_block_windows": p7_block_windows,
         "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_containers": p9_containers,
+        "p10_found": p10_found, "p10_statistics": p10_statistics,
     }
 
 
