@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import lookalikes, mojibake, packing, privacy, quality, sentences, splitting, tokens
+from foliospark.llm import lookalikes, mojibake, packing, privacy, quality, scans, sentences, splitting, tokens
 from foliospark.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,14 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.redact(_personal_blocks(spark, sf_dir).distinct(), table(spark, sf_dir, "name_parts"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.found(table(spark, sf_dir, "ocr_words"), table(spark, sf_dir, "pages_info"))
+
+
+def p3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.paragraphs(table(spark, sf_dir, "ocr_words"), table(spark, sf_dir, "pages_info"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.affected(table(spark, sf_dir, "spans").select(*SPAN_KEY, "text")).select(SPAN_KEY).distinct()
 
@@ -134,6 +142,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found, "p1_normalized": p1_normalized, "p2_found": p2_found, "p2_redacted": p2_redacted,
+        "p3_found": p3_found, "p3_paragraphs": p3_paragraphs,
         "p5_found": p5_found, "p5_repaired": p5_repaired,
         "p6_found": p6_found, "p6_sentences": p6_sentences,
         "p7_found": p7_found, "p7_text_pieces": p7_text_pieces, "p7_block_windows": p7_block_windows,
