@@ -36,14 +36,15 @@ A4_POINTS = 842.0
 BAND = 0.08
 FILES_LEAST = 3
 NEAR = 0.2
-RATIO = 20
-KNOWN = 8
+RATIO = 5
+SURE_RATIO = 20
+KNOWN = 4
 SPECK_CONF = 60.0
 LINE = ["doc_id", "page", "block_num", "par_num", "line_num"]
 WORD = [*LINE, "word_num"]
 
 # What recognition takes for what (seen, meant).
-CONFUSIONS = """o a|a o|v u|u v|b h|h b|l i|i l|f t|t f|c e|e c|cl d|d cl|rn m|m rn|f e|y v|v y|n u|u n|0 o|1 l|1 i|5 s|8 b|9 g|6 b|q g|g q|c o|o c|g ç|c ç|ç c|é e|e é|í i|i í|ó o|o ó|ã a|a ã|á a|a á|nn m|m nn|ii u|vv w|w vv|l t|t l|l 1|j i|i j|s 5|z 2|k h|h k|r n|n r|rn n|lı h|li h|h li|p n|D O|O D"""
+CONFUSIONS = """o a|a o|v u|u v|b h|h b|l i|i l|f t|t f|c e|e c|cl d|d cl|rn m|m rn|f e|y v|v y|n u|u n|0 o|1 l|1 i|5 s|8 b|9 g|6 b|q g|g q|c o|o c|g ç|c ç|ç c|é e|e é|í i|i í|ó o|o ó|ã a|a ã|á a|a á|nn m|m nn|ii u|vv w|w vv|l t|t l|l 1|â ã|ã â|ri n|n ri|6 é|in m|m in|j i|i j|s 5|z 2|k h|h k|r n|n r|rn n|lı h|li h|h li|p n|D O|O D"""
 DIGITS_AS = "0oO|1lI|5sS|8B|6b|9g"
 SKIP = "@|\\(at\\)|\\[arroba\\]|://|=\\d"
 LABELS = ["fls", "folha", "pag", "pagina", "p", "page", "pp", "seite", "hoja", "feuille"]
@@ -62,11 +63,22 @@ def _lines(words: DataFrame, pages: DataFrame | None) -> DataFrame:
 
 def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Edge lines -> their page-number words, the rest as a masked line."""
+    import unicodedata
+
     import regex as re
 
+    folded = str.maketrans("01l|5869vytfhecaoumn", "oiiisbbguvftbccoounn")
     look = str.maketrans("0O1Il|5S8B69", "ooiiiissbbgg")
     number = re.compile(r"[\[(]?[\dOolISsBZz^~'.]{1,6}(?:/[\dOolISsBZz^~'.]{1,6})?[\])]?\.?$")
 
+    def skeleton(t: str) -> str:
+        """What is left of a word when typical misreadings are folded together."""
+        if not re.search(r"\p{L}{2}", t):
+            return re.sub(r"[\dOolIS]+", "#", t)
+        t = re.sub(r"\p{M}|[^\p{L}\d|]", "", unicodedata.normalize("NFD", t.lower()))
+        t = re.sub(r"(.)\1{2,}", r"\1", t.replace("cl", "d").replace("rn", "m").replace("ri", "n"))
+        return t.translate(folded)
+
     def is_number(t: str) -> bool:
         return bool(number.fullmatch(t)) and (any(c.isdigit() for c in t) or all(c in "OolISsBZz[]()/" for c in t) and len(t) > 1)
 
@@ -91,7 +103,8 @@ def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             return n - 3
         if n >= 2 and is_number(t[-1]) and label(t[-2]):
             return n - 2
-        if n >= 1 and is_number(t[-1]) and (n == 1 or t[-1][0] in "[(" or toks[-1]["left"] - toks[-2]["right"] > 80):
+        bare = n >= 2 and len(t[-1]) <= 4 and any(c.isdigit() for c in t[-1]) and not t[-1].endswith(".") and t[-2].lower() not in ("nº", "n.", "no.", "de")
+        if n >= 1 and is_number(t[-1]) and (n == 1 or t[-1][0] in "[(" or bare or toks[-1]["left"] - toks[-2]["right"] > 80):
             return n - 1
         return n
 
@@ -101,7 +114,7 @@ def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             toks = [t for t in r.toks if t["text"].strip()]
             at = suffix(toks, True)
             rest = " ".join(t["text"] for t in toks[:at])
-            norm = re.sub(r"\s+", " ", re.sub(r"[\dOolIS]*\d[\dOolIS]*", "#", rest).lower())
+            norm = " ".join(skeleton(t["text"]) for t in toks[:at])
             slot = int(r.top // 40) if r.top == r.top else 0
             rows.append((r.doc_id, r.page, r.block_num, r.par_num, r.line_num, slot, norm, [int(t["word_num"]) for t in toks[:at]], [int(t["word_num"]) for t in toks[at:]]))
         yield pd.DataFrame(rows, columns=[*LINE, "slot", "norm", "head", "number"])
@@ -158,23 +171,41 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def corrections(vocabulary: DataFrame) -> DataFrame:
-    """(word, n, meant): words of the vocabulary (word, n) that are misreadings of a far more frequent one."""
-    rare = vocabulary.where(F.col("word").rlike("\\p{L}") & (F.char_length("word") <= 40))
+    """(word, n, meant): words of the vocabulary (word, n) one confusion away from a far more frequent one; several rows a word."""
+    rare = vocabulary.where(F.col("word").rlike("\\p{L}") & F.char_length("word").between(3, 40) & ~F.col("word").rlike("[ªº]"))
     tried = rare.mapInPandas(_candidates, "word string, n bigint, meant string")
     known = vocabulary.where(F.col("n") >= KNOWN).select(F.col("word").alias("meant"), F.col("n").alias("m"))
     hits = tried.join(known, "meant").where(F.col("m") >= RATIO * F.col("n"))
-    return hits.groupBy("word", "n").agg(F.max_by("meant", F.struct("m", "meant")).alias("meant"))
+    gender = F.regexp_replace("word", "[aoãâ]s?$", "") == F.regexp_replace("meant", "[aoãâ]s?$", "")
+    sure = (F.char_length("word") >= 6) & (F.col("m") >= SURE_RATIO * F.col("n")) & ~gender
+    return hits.select("word", "n", "meant", "m", sure.alias("sure"))
+
+
+def confirmed(suspects: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Suspects (.., before, word, after, meant) whose neighbours go with what was meant far more often than with the word.
+
+    pairs: (a, b, c) counts of adjacent words over the corpus."""
+    out = suspects
+    for i, (a, b) in enumerate((("before", "meant"), ("before", "word"), ("meant", "after"), ("word", "after"))):
+        out = out.join(pairs.select(F.col("a").alias(a), F.col("b").alias(b), F.col("c").alias(f"c{i}")), [a, b], "left")
+    out = out.na.fill(0, ["c0", "c1", "c2", "c3"])
+    fits = lambda good, bad: (F.col(good) >= 2) & (F.col(good) >= RATIO * F.col(bad))
+    alone = (F.col("before") == "") & (F.col("after") == "")
+    return out.where(F.col("sure") | fits("c0", "c1") | fits("c2", "c3") | alone).drop("c0", "c1", "c2", "c3")
 
 
 def shape_misread(text: Column) -> Column:
     """Whether a word has a shape that no correct text has."""
-    inner = text.rlike("[\\p{L}\\p{N}].*[\\^~]|[\\^~].*[\\p{L}\\p{N}]")
-    repeated = text.rlike("(\\p{L})\\1{3,}") & ~text.rlike("^[xX]+\\W*$")
-    cases = text.rlike("\\p{Ll}\\p{Lu}")
-    digits = text.rlike("\\d") & text.rlike("\\p{L}") & ~text.rlike("[ªº²³]|^\\(?0xx|^\\W*\\p{Lu}{2}\\d{5,}\\W*$")
-    numeric = digits & text.rlike("^[^\\p{L}]*(?:[OolISsBZzg][^\\p{L}]*)+$") & (F.regexp_count(text, F.lit("\\d")) > F.regexp_count(text, F.lit("\\p{L}")))
-    lettered = digits & text.rlike("\\p{L}[0156899]\\p{L}|\\p{L}{2}[0156899]\\W*$|^\\W*[0156899]\\p{L}{3}") & (F.regexp_count(text, F.lit("\\p{L}")) >= 2) & (F.regexp_count(text, F.lit("\\d")) == 1)
-    return ~text.rlike(SKIP) & (inner | repeated | cases | numeric | lettered)
+    inner = text.rlike("[\\p{L}\\p{N}].*[\\^~]|[\\^~].*[\\p{L}\\p{N}]") & ~text.rlike("://")
+    repeated = text.rlike("([\\p{L}\\-,;:()“”%$])\\1{3,}") & text.rlike("[\\p{L}\\p{N}]") & ~text.rlike("^[xX]+\\W*$|://|=\\d")
+    cases = text.rlike("\\p{Ll}\\p{Lu}") & (~text.rlike(SKIP) | (F.regexp_count(text, F.lit("\\p{Ll}\\p{Lu}")) > 2))
+    digits = text.rlike("\\d") & text.rlike("[A-Za-z]") & ~text.rlike("[²³]|^\\(?0xx|^\\W*\\p{Lu}{2}\\d{5,}\\W*$")
+    numeric = digits & text.rlike("^[^A-Za-z]*(?:[OolISsBZzg][^A-Za-z]*)+$") & (F.regexp_count(text, F.lit("\\d")) > F.regexp_count(text, F.lit("[A-Za-z]")))
+    lettered = digits & ~text.rlike("[ªº]") & text.rlike("\\p{L}[0156899]\\p{L}|\\p{L}{2}[0156899]\\W*$|^\\W*[0156899]\\p{L}{3}") & (F.regexp_count(text, F.lit("\\p{L}")) >= 2) & (F.regexp_count(text, F.lit("\\d")) == 1)
+    numeric = numeric & ~text.rlike("[.)”]\\p{Lu}$")
+    runs = text.rlike("(\\d)\\1{3,}") & text.rlike("^\\W*[\\d.]+,\\d|\\d[ºª%]|^\\d+/\\d+/\\d+") & ~text.rlike(SKIP)
+    mixed = runs | text.rlike("^[OlIS],\\d+\\W*$")
+    return inner | repeated | cases | (~text.rlike(SKIP) & (numeric | lettered | mixed))
 
 
 def analyse(words: DataFrame, pages: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -229,16 +260,21 @@ def analyse(words: DataFrame, pages: DataFrame | None = None) -> tuple[DataFrame
     judged = lookup_join(judged, vocabulary.select(F.col("word").alias("left"), F.col("n").alias("n_left")), "left", "n_left", "left").na.fill(0, ["n_left"])
     known_whole = (F.col("n_joined") > 0) | (F.col("n_hyph") > 0)
     is_cut = F.when(known_whole, F.col("n_joined") >= F.col("n_hyph")).otherwise(F.col("sign").isin("¬", "=", "–") | (F.col("n_stem") <= F.col("n_left") / 20) | (F.col("n_stem") == 0))
-    hyphens = judged.where(is_cut).select(*WORD).withColumn("noise", F.lit("hyphen"))
+    hyphens = judged.where(is_cut & ~((F.col("sign") == "-") & F.coalesce(F.col("next").rlike("@|arroba"), F.lit(False)))).select(*WORD).withColumn("noise", F.lit("hyphen"))
 
     parts = ends.groupBy(F.col("joined").alias("word")).agg(F.count("*").alias("c"))
     everything = vocabulary.unionByName(parts.select("word", F.col("c").alias("n"))).groupBy("word").agg(F.sum("n").alias("n"))
     wrong = cut(corrections(everything))
-    inner = body.select(*LINE, F.explode(plain).alias("t")).select(*LINE, F.col("t.word_num").alias("word_num"), F.col("t.text").alias("text"))
-    inner = inner.where(~F.col("text").rlike(SKIP)).withColumn("word", _core(F.col("text")))
-    by_vocabulary = lookup_join(inner.where("word <> ''"), wrong, "word", "n").select(*WORD, "meant")
+    around = F.transform("toks", lambda t: _core(t["text"]))
+    numbered = body.withColumn("cores", around).select(*LINE, "cores", F.posexplode("toks").alias("i", "t"), F.when(continued, 1).otherwise(0).alias("lo"), (F.size("toks") - F.when(ended, 1).otherwise(0)).alias("hi"))
+    inner = numbered.select(*LINE, F.col("t.word_num").alias("word_num"), F.col("t.text").alias("text"), F.col("i").between(F.col("lo"), F.col("hi") - 1).alias("whole"), F.when(F.col("i") > 0, F.get("cores", F.col("i") - 1)).otherwise("").alias("before"), F.get("cores", F.col("i")).alias("word"), F.coalesce(F.get("cores", F.col("i") + 1), F.lit("")).alias("after"))
+    inner = inner.where(F.col("whole") & (F.col("word") != "") & ~F.col("text").rlike(SKIP)).drop("whole", "text")
+    pairs = cut(inner.where("before <> ''").groupBy(F.col("before").alias("a"), F.col("word").alias("b")).agg(F.count("*").alias("c")))
+    bad = wrong.groupBy("word").agg(F.max("n").alias("n"), F.collect_set(F.struct("meant", "sure")).alias("meants"))
+    suspects = lookup_join(inner, bad, "word", "n").select(*WORD, "before", "word", "after", F.inline("meants"))
+    by_vocabulary = confirmed(suspects, pairs).groupBy(*WORD).agg(F.max("meant").alias("meant"))
     shaped = body.select(*LINE, F.explode("toks").alias("t")).where(shape_misread(F.col("t.text"))).select(*LINE, F.col("t.word_num").alias("word_num"), F.lit(None).cast("string").alias("meant"))
-    after = lookup_join(ends.select("doc_id", "page", "block_num", "par_num", "line_num", "left", F.col("joined").alias("word")), wrong, "word", "n")
+    after = lookup_join(ends.select("doc_id", "page", "block_num", "par_num", "line_num", "left", F.col("joined").alias("word")), wrong.groupBy("word").agg(F.max("n").alias("n"), F.max_by("meant", F.struct("m", "meant")).alias("meant")), "word", "n")
     after = after.where(F.expr("substring(word, 1, length(left)) = substring(meant, 1, length(left))"))
     lines_next = body.select(*LINE, F.lead(F.struct(*LINE[2:], first["word_num"].alias("word_num"))).over(w).alias("nx"))
     second = after.select(*LINE, "left", "meant").join(lines_next, LINE).where("nx is not null").select("doc_id", "page", "nx.block_num", "nx.par_num", "nx.line_num", "nx.word_num", F.expr("substring(meant, length(left) + 1)").alias("meant"))
