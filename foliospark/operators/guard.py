@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from foliospark.functions import text as T
 
@@ -20,7 +21,7 @@ from foliospark.functions import text as T
 MUTABLE = " \t\r\n -‐‑‒–—\xad"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_text(s: pd.Series) -> pd.Series:
     """NFKC and case folding, which Spark has no function for."""
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
