@@ -42,7 +42,7 @@ def text_lines(spans: DataFrame) -> DataFrame:
     agg = s.groupBy(*LINE).agg(
         F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("text"),
         F.coalesce(_weighted(F.col("size"), w), F.lit(0.0)).alias("size"),
-        F.max_by("font", F.struct("n", -F.col("span_no"))).alias("font"),
+        F.max_by(F.coalesce("font", F.lit("")), F.struct("n", -F.col("span_no"))).alias("font"),
         F.coalesce(F.sum(F.when(F.col("bold"), F.col("n")).otherwise(0)) / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("bold_ratio"),
         F.coalesce(F.sum(F.when(F.col("italic"), F.col("n")).otherwise(0)) / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("italic_ratio"),
         F.coalesce(F.avg(F.when(F.col("n") > 0, F.col("confidence"))), F.lit(1.0)).alias("confidence"),

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.plans import nested_queries
+from foliospark.plans import document_queries, nested_queries, star_queries, stream_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return dict(nested_queries.QUERIES)
+    return document_queries.QUERIES | nested_queries.QUERIES | stream_queries.QUERIES | star_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return document_queries.SQL | stream_queries.SQL | star_queries.SQL

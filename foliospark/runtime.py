@@ -41,3 +41,10 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, weight: str, how: s
     common = left.join(F.broadcast(hot), key)
     rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right, key, how)
     return common.unionByName(rest.select(common.columns))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder all executors share: the configured checkpoint folder, a private one only in local runs."""
+    ensure_checkpoint_dir(spark)
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    return configured or spark.sparkContext._jsc.sc().getCheckpointDir().get()

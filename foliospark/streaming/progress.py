@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import LongType
 
 from foliospark.schemas import TABLES
 from foliospark.sources.readers import BINARY_SCHEMA
@@ -19,12 +20,18 @@ EVENT_SCHEMA = TABLES["job_events"]
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
     """Job events as a stream; timestamps in the session's zone, so that watermarks accept them."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(path).withColumn("event_ts", F.col("event_ts").cast("timestamp")).withColumn("received_ts", F.col("received_ts").cast("timestamp"))
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        rows = spark.readStream.schema(schema).parquet(path)
+    else:  # a stream reads folders: take the one file out of its folder
+        rows = spark.readStream.schema(schema).option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
+    return rows.withColumn("event_ts", F.col("event_ts").cast("timestamp")).withColumn("received_ts", F.col("received_ts").cast("timestamp"))
 
 
-def monotone_stream(events: DataFrame, ttl: str = "60 minutes") -> DataFrame:
-    """(job_id, progress, events) updated per batch: progress never falls; idle state times out."""
-    minutes = int(ttl.split()[0])
+def monotone_stream(events: DataFrame, ttl_minutes: int | None = None) -> DataFrame:
+    """(job_id, progress, events) updated per batch: progress never falls.
+
+    With ttl_minutes idle state times out; such a stream never ends by itself, so drain() takes one without."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -37,11 +44,12 @@ def monotone_stream(events: DataFrame, ttl: str = "60 minutes") -> DataFrame:
                 best = max(best, min(1.0, float(f.max())))
             n += len(pdf)
         state.update((best, n))
-        state.setTimeoutDuration(minutes * 60_000)
+        if ttl_minutes:
+            state.setTimeoutDuration(ttl_minutes * 60_000)
         yield pd.DataFrame({"job_id": [key[0]], "progress": [best], "events": [n]})
 
     keyed = events.dropDuplicates(["event_id"]).groupBy("job_id")
-    return keyed.applyInPandasWithState(step, "job_id string, progress double, events bigint", "best double, n bigint", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return keyed.applyInPandasWithState(step, "job_id string, progress double, events bigint", "best double, n bigint", "update", GroupStateTimeout.ProcessingTimeTimeout if ttl_minutes else GroupStateTimeout.NoTimeout)
 
 
 def batch_totals(events: DataFrame) -> DataFrame:
@@ -82,7 +90,7 @@ def drain(stream: DataFrame, name: str, mode: str, checkpoint: str, timeout: int
     if not q.awaitTermination(timeout):
         q.stop()
         raise TimeoutError(f"stream {name} took more than {timeout} s")
-    return spark.read.schema(stream.schema.add("batch", "bigint") if mode != "append" else stream.schema).parquet(f"{out}/rows")
+    return spark.read.schema(stream.schema.add("batch", LongType()) if mode != "append" else stream.schema).parquet(f"{out}/rows")
 
 
 def latest(rows: DataFrame, key: list[str]) -> DataFrame:
