@@ -118,7 +118,7 @@ def collapse_blank_lines(c: Column) -> Column:
 
 def page_list(c: Column) -> Column:
     """'1-3,7' as a sorted array of positive pages; a reversed range is empty, a malformed list gives null."""
-    chunks = F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    chunks = F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
     fine = F.forall(chunks, lambda x: x.rlike("^\\d+\\s*(-\\s*\\d+)?$"))
     lo = lambda x: F.regexp_extract(x, "^(\\d+)", 1).cast("int")
     hi = lambda x: F.coalesce(F.nullif(F.regexp_extract(x, "-\\s*(\\d+)$", 1), F.lit("")).cast("int"), lo(x))

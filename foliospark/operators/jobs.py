@@ -8,20 +8,25 @@ from pyspark.sql import functions as F
 from foliospark.config import DEFAULT, Config
 from foliospark.functions import text as T
 
+def capped(fraction: str = "fraction") -> Column:
+    """The fraction, at most 1; null stays null."""
+    return F.when(F.col(fraction) > 1, 1.0).otherwise(F.col(fraction))
+
+
 TERMINAL = ["done", "failed", "expired"]
 
 
 def monotone(events: DataFrame) -> DataFrame:
     """Distinct events with progress: the highest fraction up to the event, at most 1; null fractions change nothing."""
     w = Window.partitionBy("job_id").orderBy("seq", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return events.distinct().withColumn("progress", F.coalesce(F.max(F.least(F.lit(1.0), "fraction")).over(w), F.lit(0.0)))
+    return events.distinct().withColumn("progress", F.coalesce(F.max(capped()).over(w), F.lit(0.0)))
 
 
 def job_states(events: DataFrame) -> DataFrame:
     """(job_id, batch_id, doc_id, status, progress, created_at, updated_at): the latest state of every job."""
     e = events.distinct()
     last = F.struct("seq", "event_id")
-    return e.groupBy("job_id").agg(F.max("batch_id").alias("batch_id"), F.max("doc_id").alias("doc_id"), F.max_by("status", last).alias("status"), F.coalesce(F.max(F.least(F.lit(1.0), "fraction")), F.lit(0.0)).alias("progress"), F.min("event_ts").alias("created_at"), F.max("event_ts").alias("updated_at"))
+    return e.groupBy("job_id").agg(F.max("batch_id").alias("batch_id"), F.max("doc_id").alias("doc_id"), F.max_by("status", last).alias("status"), F.coalesce(F.max(capped()), F.lit(0.0)).alias("progress"), F.min("event_ts").alias("created_at"), F.max("event_ts").alias("updated_at"))
 
 
 def batch_board(states: DataFrame) -> DataFrame:

@@ -683,7 +683,7 @@ def block_windows(spark, sf):
 
 
 # --- jobs ----------------------------------------------------------------------------------------------------------
-STATES = "ev AS (SELECT DISTINCT * FROM job_events), js AS (SELECT job_id, max(batch_id) AS batch_id, max(doc_id) AS doc_id, arg_max(status, row(seq, event_id)) AS status, coalesce(max(least(1.0, fraction)), 0.0) AS progress, min(event_ts) AS created_at, max(event_ts) AS updated_at FROM ev GROUP BY 1)"
+STATES = "ev AS (SELECT DISTINCT * FROM job_events), js AS (SELECT job_id, max(batch_id) AS batch_id, max(doc_id) AS doc_id, arg_max(status, row(seq, event_id)) AS status, coalesce(max(CASE WHEN fraction > 1 THEN 1.0 ELSE fraction END), 0.0) AS progress, min(event_ts) AS created_at, max(event_ts) AS updated_at FROM ev GROUP BY 1)"
 
 
 def states_of(spark, sf):
@@ -695,7 +695,7 @@ def job_states(spark, sf):
     return states_of(spark, sf).select("job_id", "batch_id", "doc_id", "status", F.round("progress", 6).alias("progress"))
 
 
-@query("monotone_progress", "WITH ev AS (SELECT DISTINCT * FROM job_events) SELECT event_id, job_id, seq, round(coalesce(max(least(1.0, fraction)) OVER (PARTITION BY job_id ORDER BY seq, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0.0), 6) AS progress FROM ev")
+@query("monotone_progress", "WITH ev AS (SELECT DISTINCT * FROM job_events) SELECT event_id, job_id, seq, round(coalesce(max(CASE WHEN fraction > 1 THEN 1.0 ELSE fraction END) OVER (PARTITION BY job_id ORDER BY seq, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0.0), 6) AS progress FROM ev")
 def monotone_progress(spark, sf):
     return jobs.monotone(table(spark, sf, "job_events")).select("event_id", "job_id", "seq", F.round("progress", 6).alias("progress"))
 

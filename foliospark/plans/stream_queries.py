@@ -26,13 +26,13 @@ def _run(spark, stream, name, mode):
     return progress.drain(stream, name, mode, f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}")
 
 
-@query("stream_progress", "SELECT job_id, round(coalesce(max(least(1.0, fraction)), 0.0), 6) AS progress, count(DISTINCT event_id) AS events FROM job_events GROUP BY 1")
+@query("stream_progress", "SELECT job_id, round(coalesce(max(CASE WHEN fraction > 1 THEN 1.0 ELSE fraction END), 0.0), 6) AS progress, count(DISTINCT event_id) AS events FROM job_events GROUP BY 1")
 def stream_progress(spark, sf):
     rows = _run(spark, progress.monotone_stream(progress.event_stream(spark, f"{sf}/job_events.parquet")), "progress", "update")
     return progress.latest(rows, ["job_id"]).select("job_id", F.round("progress", 6).alias("progress"), "events")
 
 
-@query("stream_batches", "SELECT batch_id, count(*) AS n_events, round(max(least(1.0, fraction)), 6) AS top FROM job_events WHERE batch_id IS NOT NULL GROUP BY 1")
+@query("stream_batches", "SELECT batch_id, count(*) AS n_events, round(max(CASE WHEN fraction > 1 THEN 1.0 ELSE fraction END), 6) AS top FROM job_events WHERE batch_id IS NOT NULL GROUP BY 1")
 def stream_batches(spark, sf):
     rows = _run(spark, progress.batch_totals(progress.event_stream(spark, f"{sf}/job_events.parquet")), "batches", "update")
     return progress.latest(rows, ["batch_id"]).select("batch_id", "n_events", F.round("top", 6).alias("top"))

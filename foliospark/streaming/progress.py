@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import LongType
 
+from foliospark.operators.jobs import capped
 from foliospark.schemas import TABLES
 from foliospark.sources.readers import BINARY_SCHEMA
 
@@ -54,7 +55,7 @@ def monotone_stream(events: DataFrame, ttl_minutes: int | None = None) -> DataFr
 
 def batch_totals(events: DataFrame) -> DataFrame:
     """Events and highest fraction per batch, for update or complete mode."""
-    return events.where("batch_id is not null").groupBy("batch_id").agg(F.count("*").alias("n_events"), F.max(F.least(F.lit(1.0), "fraction")).alias("top"))
+    return events.where("batch_id is not null").groupBy("batch_id").agg(F.count("*").alias("n_events"), F.max(capped()).alias("top"))
 
 
 def tumbling(events: DataFrame, late: str = "1 hour", size: str = "1 hour") -> DataFrame:
