@@ -289,12 +289,12 @@ def touched() -> Column:
 
 
 def forms(rows: DataFrame, counts: dict[str, int], pages: DataFrame) -> DataFrame:
-    """rows (doc_id, page, text, ...) holding a candidate character, with column form."""
+    """rows (doc_id, page, text, ...) holding a candidate character, with column __form."""
     fixed, by_script = representatives(counts)
     held = cut(rows.where(touched()).withColumn("__f", _forms(fixed, by_script)(F.col("text"))))
-    same = held.where("__f.latin = __f.native").withColumn("form", F.col("__f.latin")).drop("__f")
+    same = held.where("__f.latin = __f.native").withColumn("__form", F.col("__f.latin")).drop("__f")
     other = held.where("__f.latin <> __f.native").join(pages.select("doc_id", "page", F.col("foreign").alias("__foreign")), ["doc_id", "page"], "left")
-    chosen = other.withColumn("form", F.when(F.coalesce("__foreign", F.lit(False)), F.col("__f.native")).otherwise(F.col("__f.latin"))).drop("__f", "__foreign")
+    chosen = other.withColumn("__form", F.when(F.coalesce("__foreign", F.lit(False)), F.col("__f.native")).otherwise(F.col("__f.latin"))).drop("__f", "__foreign")
     return same.unionByName(chosen)
 
 
@@ -302,14 +302,14 @@ def normalize(rows: DataFrame, counts: dict[str, int] | None = None, pages: Data
     """rows with text in its consistent form; rows without a candidate character never leave the JVM."""
     counts = corpus_counts(rows.select("text")) if counts is None else counts
     pages = page_scripts(rows) if pages is None else pages
-    return rows.where(~touched()).unionByName(forms(rows, counts, pages).withColumn("text", F.col("form")).drop("form").select(rows.columns))
+    return rows.where(~touched()).unionByName(forms(rows, counts, pages).withColumn("text", F.col("__form")).drop("__form").select(rows.columns))
 
 
 def found(rows: DataFrame, counts: dict[str, int] | None = None, pages: DataFrame | None = None) -> DataFrame:
     """Rows whose consistent form differs from their text, one per distinct row."""
     counts = corpus_counts(rows.select("text")) if counts is None else counts
     pages = page_scripts(rows) if pages is None else pages
-    return forms(rows, counts, pages).where("form <> text").drop("form", "text").distinct()
+    return forms(rows, counts, pages).where("__form <> text").drop("__form", "text").distinct()
 
 
 if __name__ == "__main__":
