@@ -277,7 +277,8 @@ def page_scripts(texts: DataFrame) -> DataFrame:
     """(doc_id, page, foreign): whether the page is written in a script other than Latin.
 
     Latin text takes about one byte a character, Greek and Cyrillic two, CJK three: no need to look at characters."""
-    ratio = F.sum(F.octet_length("text")) > 1.5 * F.sum(F.char_length("text"))
+    text = F.when(F.char_length("text") > 3, F.col("text"))  # short words may be nothing but shared letters
+    ratio = F.sum(F.octet_length(text)) > 1.5 * F.sum(F.char_length(text))
     return texts.groupBy("doc_id", "page").agg(ratio.alias("foreign"))
 
 

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from foliospark.runtime import cut, lookup_join
 
 PMI_BITS = 1.0
+BASE_AT_MOST = 0.125
 PARTNER_BITS = 1.5
 CONTEXT_BITS = 2.5
 CONTEXT_SHARE = 0.5
@@ -136,7 +137,7 @@ def name_words(runs: DataFrame, seeds: DataFrame) -> DataFrame:
     bits = _entropy(pairs.where("seed"), "word", "partner").select("word", "bits")
     base = counts.agg((F.sum("k") / F.sum("n")).alias("base"))
     scored = counts.join(bits, "word", "left").join(F.broadcast(base))  # one row
-    learned = scored.where((F.col("k") > 1) & (F.log2((F.col("k") / F.col("n")) / F.least("base", F.lit(0.25))) >= PMI_BITS) & (F.col("bits") >= PARTNER_BITS) & (F.col("inside") * 10 > F.col("n")))
+    learned = scored.where((F.col("k") > 1) & (F.log2((F.col("k") / F.col("n")) / F.least("base", F.lit(BASE_AT_MOST))) >= PMI_BITS) & (F.col("bits") >= PARTNER_BITS) & (F.col("inside") * 10 > F.col("n")))
     return learned.select("word", "n").unionByName(seeds.select("word").join(counts.select("word", "n"), "word")).groupBy("word").agg(F.max("n").alias("n"))
 
 

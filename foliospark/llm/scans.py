@@ -294,7 +294,7 @@ def found(words: DataFrame, pages: DataFrame | None = None) -> DataFrame:
 def paragraphs(words: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """(doc_id, page, block_num, par_num, text): paragraphs without noise, cut words joined, misreadings mended.
 
-    A paragraph that goes on at the top of the next page takes that page's first paragraph with it."""
+    A paragraph that goes on at the top of the next page takes that page's first paragraph with it, over any number of pages."""
     noise, body = analyse(words, pages)
     flags = cut(noise.where("noise in ('hyphen', 'misread')")).groupBy(*LINE).agg(F.map_from_entries(F.collect_list(F.struct("word_num", F.struct("noise", "meant")))).alias("flags"))
     fix = F.transform(
@@ -313,9 +313,15 @@ def paragraphs(words: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     w = Window.partitionBy("doc_id", "page")
     order = F.struct("block_num", "par_num")
     per = cut(per.withColumn("is_first", order == F.min(order).over(w)).withColumn("is_last", order == F.max(order).over(w)))
-    first_ = per.where(F.col("is_first") & F.col("text").rlike("^\\p{Ll}")).select("doc_id", (F.col("page") - 1).alias("page"), F.col("text").alias("tail"))
+    first_ = per.where(F.col("is_first") & F.col("text").rlike("^\\p{Ll}")).select("doc_id", (F.col("page") - 1).alias("page"), F.col("text").alias("tail"), F.col("is_last").alias("only"))
     open_ = per.where(F.col("is_last") & ~F.col("text").rlike("[.!?…:;]['\"”»)]*$")).select(*LINE[:4])
-    links = open_.join(first_, ["doc_id", "page"])
+    links = cut(open_.join(first_, ["doc_id", "page"]))
+    # a continuation that fills its page and stays open carries on: one chain, one paragraph
+    pages_ = Window.partitionBy("doc_id").orderBy("page")
+    joined = F.coalesce((F.lag("page").over(pages_) == F.col("page") - 1) & F.lag("only").over(pages_), F.lit(False))
+    chain = links.withColumn("chain", F.sum((~joined).cast("int")).over(pages_))
+    whole = chain.groupBy("doc_id", "chain").agg(F.min_by(F.struct(*LINE[1:4]), "page").alias("head"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "tail"))), lambda x: x["tail"]), " ").alias("tail"))
+    whole = whole.select("doc_id", "head.*", "tail")
     moved = links.select("doc_id", (F.col("page") + 1).alias("page")).withColumn("is_first", F.lit(True))
     kept = per.join(moved, ["doc_id", "page", "is_first"], "left_anti")
-    return kept.join(links, LINE[:4], "left").select(*LINE[:4], F.concat_ws(" ", "text", "tail").alias("text"))
+    return kept.join(whole, LINE[:4], "left").select(*LINE[:4], F.concat_ws(" ", "text", "tail").alias("text"))
