@@ -78,7 +78,7 @@ def report_board(states: DataFrame, reports: DataFrame, json_col: str = "resulta
     r = reports.distinct()
     j = lambda p: F.get_json_object(json_col, p)
     fields = {"report_status": "$.resumo.status", "coverage": "$.text_accuracy", "pages": "$.documento.paginas", "tables": "$.tables_detected", "to_review": "$.tabelas.para_revisar", "images": "$.images_extracted", "ocr_pages": "$.ocr.paginas_com_ocr"}
-    readable = r.where(j("$.schema_version").isNotNull()).select("doc_id", "report_id", *[j(p).alias(c) for c, p in fields.items()], F.from_json(j("$.resumo.pendencias"), "array<string>").alias("pending"))
+    readable = r.where(F.try_parse_json(F.col(json_col)).isNotNull()).select("doc_id", "report_id", *[j(p).alias(c) for c, p in fields.items()], F.from_json(j("$.resumo.pendencias"), "array<string>").alias("pending"))
     last = readable.groupBy("doc_id").agg(F.max_by(F.struct(*fields, "pending"), "report_id").alias("r"))
     s = states.join(last, "doc_id", "left")
     status = F.coalesce("r.report_status", F.when(F.col("status") == "failed", "falhou"))

@@ -147,9 +147,12 @@ def ocr_lines(spark, sf):
     return layout.ocr_lines(table(spark, sf, "ocr_words")).select("doc_id", "page", "block_num", "par_num", "line_num", "text", "n_words", F.round("confidence", 9).alias("confidence"), *r4("x0", "x1"))
 
 
-@query("ocr_blocks")
+@query("ocr_blocks", f"""WITH w AS (SELECT DISTINCT * FROM ocr_words WHERE {s_strip("coalesce(text, '')")} <> '' AND coalesce(conf, -1) >= 40),
+l AS (SELECT doc_id, page, block_num, par_num, line_num, string_agg(text, ' ' ORDER BY word_num) AS text, count(*) AS n, avg(least(1.0, greatest(0.0, conf / 100))) AS c FROM w GROUP BY ALL)
+SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY block_num, par_num) - 1 AS INT) AS number, text, CAST(n_words AS BIGINT) AS n_words FROM
+ (SELECT doc_id, page, block_num, par_num, string_agg(text, chr(10) ORDER BY line_num) AS text, sum(n) AS n_words, round(sum(c * n) / sum(n), 4) AS c FROM l GROUP BY ALL)""")
 def ocr_blocks(spark, sf):
-    return layout.ocr_blocks(layout.ocr_lines(table(spark, sf, "ocr_words")))
+    return layout.ocr_blocks(layout.ocr_lines(table(spark, sf, "ocr_words"))).select("doc_id", "page", "number", "text", "n_words")
 
 
 @query("ocr_without_native")
@@ -225,7 +228,7 @@ def header_footer_fuzzy(spark, sf):
     return regions.recurrent_fuzzy(bands_of(spark, sf), n_pages_of(spark, sf)).select("doc_id", "page", "block_no", "band", "key")
 
 
-@query("discarded_headers")
+@query("discarded_headers", f"WITH {RECURRENT}, k AS (SELECT doc_id, band, key, arg_min(text, row(page, block_no)) AS text, min(row(page, block_no)) AS first FROM rec GROUP BY ALL) SELECT doc_id, band, CAST(row_number() OVER (PARTITION BY doc_id, band ORDER BY first) AS INT) AS ord, text FROM k")
 def discarded_headers(spark, sf):
     return regions.discarded(regions.recurrent_exact(bands_of(spark, sf), n_pages_of(spark, sf)))
 
@@ -599,7 +602,9 @@ def escaped_texts(spark, sf):
     return table(spark, sf, "blocks").where("text is not null").select("doc_id", "block_id", T.escape_text(F.col("text")).alias("escaped")).distinct()
 
 
-@query("list_item_lines")
+@query("list_item_lines", f"""WITH i AS (SELECT DISTINCT * FROM blocks WHERE kind = 'list_item'), p AS (SELECT doc_id, block_id, coalesce(ordered, false) AS o, trim(coalesce(marker, '')) AS m, repeat('  ', coalesce(list_level, 0)) AS ind, regexp_extract(trim(coalesce(marker, '')), '^\\(?(\\d{{1,3}})[.)]?$', 1) AS num,
+ regexp_replace({s_strip("coalesce(text, '')")}, '^({WS}*)([#>*+\\-=]|\\d+[.)])({WS})', '\\1\\\\\\2\\3') AS t FROM i)
+SELECT doc_id, block_id, CASE WHEN o AND num <> '' THEN ind || CAST(num AS INT) || '. ' || t WHEN o THEN rtrim(ind || '- ' || m || ' ' || t) ELSE ind || '- ' || t END AS line FROM p""")
 def list_item_lines(spark, sf):
     return table(spark, sf, "blocks").where("kind = 'list_item'").distinct().select("doc_id", "block_id", render.list_item(F.col("text"), F.col("marker"), F.col("ordered"), F.col("list_level")).alias("line"))
 
@@ -728,7 +733,10 @@ def batch_admission(spark, sf):
     return jobs.admission(d).select("batch_id", "idx", "reason")
 
 
-@query("report_board")
+@query("report_board", f"""WITH {STATES}, rp AS (SELECT DISTINCT doc_id, report_id, resultado_processamento AS j FROM reports WHERE resultado_processamento IS NOT NULL AND json_valid(resultado_processamento)), lr AS (SELECT doc_id, arg_max(j, report_id) AS j FROM rp GROUP BY 1)
+SELECT job_id, batch_id, js.doc_id || '.pdf' AS filename, status, coalesce(json_extract_string(j, '$.resumo.status'), CASE WHEN status = 'failed' THEN 'falhou' END) AS report_status, try_cast(json_extract_string(j, '$.text_accuracy') AS DOUBLE) AS coverage,
+try_cast(json_extract_string(j, '$.documento.paginas') AS INT) AS pages, try_cast(json_extract_string(j, '$.tables_detected') AS INT) AS tables, try_cast(json_extract_string(j, '$.tabelas.para_revisar') AS INT) AS to_review, try_cast(json_extract_string(j, '$.images_extracted') AS INT) AS images,
+try_cast(json_extract_string(j, '$.ocr.paginas_com_ocr') AS INT) AS ocr_pages, coalesce(array_to_string(json_extract_string(j, '$.resumo.pendencias[*]'), ' | '), '') AS pending FROM js LEFT JOIN lr USING (doc_id)""")
 def report_board(spark, sf):
     return jobs.report_board(states_of(spark, sf), table(spark, sf, "reports"))
 

@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's shared folder; a private one only where none is configured (tests, local runs)."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
+    defined = sc._jsc.sc().getCheckpointDir().isDefined()
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        if not defined:  # set on the session only
+            sc.setCheckpointDir(configured)
+        return
+    if not defined:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="foliospark-ckpt-"))
