@@ -39,7 +39,7 @@ SHARED = {
     "GREEK": "oο AΑ BΒ EΕ ZΖ HΗ IΙ KΚ MΜ NΝ OΟ PΡ TΤ YΥ XΧ",
 }
 # Signs drawn alike without a Unicode decomposition that says so.
-SIGNS = [("-", "‐"), ("-", "‑"), ("/", "⁄"), ("/", "∕"), (":", "∶"), (" ", " ")]
+SIGNS = [(".", "․"), (":", "꞉"), ("!", "ǃ"), ("-", "‐"), ("-", "‑"), ("/", "⁄"), ("/", "∕"), (":", "∶"), (" ", " ")]
 # Undrawn characters outside category Cf, and drawn ones inside it.
 UNDRAWN = "͏ᅟᅠ឴឵ㅤﾠ"
 DRAWN_CF = set("؀؁؂؃؄؅۝܏࢐࢑࣢")
@@ -90,9 +90,9 @@ def classes() -> dict[str, list[str]]:
             continue
         tag = decomposition.split(" ")[0] if decomposition[0] == "<" else ""
         folded = U.normalize("NFKC", ch)
-        if tag in ("<wide>", "<narrow>", "<font>", "<noBreak>", "<small>"):
+        if tag in ("<wide>", "<narrow>", "<font>", "<noBreak>", "<small>", "<isolated>", "<initial>", "<medial>", "<final>"):
             uf.join(folded, ch)
-        elif tag == "<compat>" and (U.category(ch) == "Zs" or (U.category(ch)[0] == "L" and folded.isalpha() and "LIGATURE" in U.name(ch, ""))):
+        elif tag == "<compat>" and (U.category(ch) == "Zs" or (U.category(ch) == "Nl" and folded.isascii()) or (U.category(ch)[0] == "L" and folded.isalpha() and "LIGATURE" in U.name(ch, ""))):
             uf.join(folded, ch)
         elif not tag and " " not in decomposition:
             uf.join(U.normalize("NFC", ch), ch)
