@@ -206,17 +206,19 @@ def guarded_edits(blocks: DataFrame, ops: DataFrame) -> DataFrame:
                 state = {b["block_id"]: dict(b) for b in (have if have is not None else [])}
                 removed: dict[str, dict] = {}
                 for op in queue_:
-                    trial = {k: dict(v) for k, v in state.items()}
+                    ids = [i for i in dict.fromkeys(op["ids"] if op["ids"] is not None else []) if i in state]
+                    trial = {i: dict(state[i]) for i in ids}  # an edit changes nothing but the blocks it names
                     try:
                         gone = apply_edit(trial, op)
                     except EditError as e:
                         out.append((doc, int(op["op_seq"]), "failed", str(e), *[None] * 15))
                         continue
-                    if not same_content(list(state.values()), list(trial.values())):
+                    if not same_content([state[i] for i in ids], list(trial.values())):
                         out.append((doc, int(op["op_seq"]), "rejected", op["op"], *[None] * 15))
                         continue
-                    removed |= {g: state[g] for g in gone}
-                    state = trial
+                    for g in gone:
+                        removed[g] = state.pop(g)
+                    state.update(trial)
                     out.append((doc, int(op["op_seq"]), "applied", op["op"], *[None] * 15))
                 for b, dead in [*((b, False) for b in state.values()), *((b, True) for b in removed.values())]:
                     out.append((doc, None, None, None, *[b[c] for c in names[4:-1]], dead))

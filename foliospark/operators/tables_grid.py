@@ -12,6 +12,7 @@ from foliospark.config import DEFAULT, Config
 from foliospark.functions import geometry as G
 from foliospark.functions import text as T
 from foliospark.operators.rulings import closed_ratio
+from foliospark.runtime import cut
 
 TABLE = ["doc_id", "page", "grid"]
 
@@ -124,8 +125,9 @@ def review_notes(closed: Column, fill: Column, rows: Column, cols: Column, merge
 
 def grid_tables(grids: DataFrame, spans: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """One row per bordered table: size, merges, fill, closed borders, header rows, confidence, review and reasons."""
-    cell = cells(grids, cfg)
-    texts = cell_texts(cell, spans)
+    grids, spans = cut(grids), cut(spans)
+    cell = cut(cells(grids, cfg))
+    texts = cut(cell_texts(cell, spans))
     filled = texts.groupBy(*TABLE).agg(F.count("*").alias("filled"))
     shape = cell.groupBy(*TABLE).agg((F.max("row") + 1).alias("n_rows"), (F.max("col") + 1).alias("n_cols"), F.count_if(F.col("rowspan") > 0).alias("shown"), F.coalesce(F.bool_or((F.col("rowspan") > 1) | (F.col("colspan") > 1)), F.lit(False)).alias("merged"))
     g = grids.select(*TABLE, "x0", "y0", "x1", "y1", closed_ratio().alias("closed"))

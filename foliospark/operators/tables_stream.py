@@ -9,6 +9,7 @@ from foliospark.config import DEFAULT, Config
 from foliospark.functions import geometry as G
 from foliospark.functions import text as T
 from foliospark.operators.rulings import cluster
+from foliospark.runtime import cut
 
 PAGE = ["doc_id", "page"]
 B = ["x0", "y0", "x1", "y1"]
@@ -63,8 +64,9 @@ def runs(lined: DataFrame, cfg: Config = DEFAULT, min_lines: int = 3) -> tuple[D
 def stream_tables(words: DataFrame, cfg: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """(tables, cells) of borderless tables: tables (doc_id, page, run, n_rows, n_cols, fill, stability, misplaced, confidence, box)."""
     min_lines = max(3, cfg.table_min_rows + 1)
-    lined = visual_lines(words)
+    lined = cut(visual_lines(words))
     run, wide = runs(lined, cfg, min_lines)
+    run = cut(run)
     key = [*PAGE, "run"]
     mids = wide.join(run.select(*PAGE, "line", "run"), [*PAGE, "line"]).select(*key, "mid", "tolerance")
     w = Window.partitionBy(*key).orderBy("mid")
@@ -74,7 +76,7 @@ def stream_tables(words: DataFrame, cfg: Config = DEFAULT) -> tuple[DataFrame, D
     kept = clusters.join(box.select(*key, "n_lines"), key).where(F.col("n") / F.col("n_lines") >= cfg.stability)
     seps = kept.groupBy(*key).agg(F.array_sort(F.collect_list("position")).alias("seps"), F.avg(F.col("n") / F.col("n_lines")).alias("stability"))
     seps = seps.where(F.size("seps") >= cfg.table_min_cols - 1)
-    placed = lined.join(run.select(*PAGE, "line", "run"), [*PAGE, "line"]).join(seps, key).join(box.select(*key, F.col("x0").alias("bx0"), F.col("x1").alias("bx1")), key)
+    placed = lined.join(seps.select(*PAGE).distinct(), PAGE, "left_semi").join(run.select(*PAGE, "line", "run"), [*PAGE, "line"]).join(seps, key).join(box.select(*key, F.col("x0").alias("bx0"), F.col("x1").alias("bx1")), key)
     c = G.cx()
     inside = (c >= F.col("bx0") - 1) & (c < F.col("bx1") + 1)
     col = F.when(inside, F.size(F.filter("seps", lambda s: s <= c))).otherwise(F.size("seps"))
