@@ -251,20 +251,24 @@ def analyse(words: DataFrame, pages: DataFrame | None = None) -> tuple[DataFrame
 
     ends = body.where(ended).select(*LINE, last["word_num"].alias("word_num"), last["text"].alias("text"), "next")
     left, right = F.regexp_replace(_core(F.regexp_replace("text", "[-–¬=]$", "")), "[\\^~']", ""), F.coalesce(_core(F.col("next")), F.lit(""))
-    ends = ends.withColumn("left", left).withColumn("joined", F.concat(left, right)).withColumn("hyphenated", F.concat(left, F.lit("-"), right)).withColumn("sign", F.substring("text", -1, 1))
-    for name, key in (("n_joined", "joined"), ("n_hyph", "hyphenated")):
-        ends = lookup_join(ends, vocabulary.select(F.col("word").alias(key), F.col("n").alias(name)), key, name, "left").na.fill(0, [name])
-    ends = cut(ends)
-    stems = vocabulary.where(F.col("word").contains("-")).select(F.substring_index("word", "-", 1).alias("left"), "n").groupBy("left").agg(F.sum("n").alias("n_stem"))
-    judged = lookup_join(ends, stems, "left", "n_stem", "left").na.fill(0, ["n_stem"])
-    judged = lookup_join(judged, vocabulary.select(F.col("word").alias("left"), F.col("n").alias("n_left")), "left", "n_left", "left").na.fill(0, ["n_left"])
-    known_whole = (F.col("n_joined") > 0) | (F.col("n_hyph") > 0)
-    is_cut = F.when(known_whole, F.col("n_joined") >= F.col("n_hyph")).otherwise(F.col("sign").isin("¬", "=", "–") | (F.col("n_stem") <= F.col("n_left") / 20) | (F.col("n_stem") == 0))
-    hyphens = judged.where(is_cut & ~((F.col("sign") == "-") & F.coalesce(F.col("next").rlike("@|arroba"), F.lit(False)))).select(*WORD).withColumn("noise", F.lit("hyphen"))
+    ends = cut(ends.withColumn("left", left).withColumn("joined", F.concat(left, right)).withColumn("hyphenated", F.concat(left, F.lit("-"), right)).withColumn("sign", F.substring("text", -1, 1)))
 
+    # one row per word: its count, the count of compounds it begins, the likeliest word it is a misreading of
     parts = ends.groupBy(F.col("joined").alias("word")).agg(F.count("*").alias("c"))
     everything = vocabulary.unionByName(parts.select("word", F.col("c").alias("n"))).groupBy("word").agg(F.sum("n").alias("n"))
     wrong = cut(corrections(everything))
+    stems = vocabulary.where(F.col("word").contains("-")).select(F.substring_index("word", "-", 1).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n_stem"))
+    facts = vocabulary.join(stems, "word", "full").join(wrong.groupBy("word").agg(F.max_by("meant", F.struct("m", "meant")).alias("meant")), "word", "full")
+    facts = cut(facts.na.fill(0, ["n", "n_stem"]).withColumn("weight", F.col("n") + F.col("n_stem")))
+    judged = ends
+    for key, cols in (("joined", ["n", "meant"]), ("hyphenated", ["n"]), ("left", ["n", "n_stem"])):
+        side = facts.select(F.col("word").alias(key), *[F.col(c).alias(f"{key}_{c}") for c in cols], F.col("weight").alias(f"{key}_weight"))
+        judged = lookup_join(judged, side, key, f"{key}_weight", "left").drop(f"{key}_weight")
+    judged = cut(judged.na.fill(0, ["joined_n", "hyphenated_n", "left_n", "left_n_stem"]))
+    known_whole = (F.col("joined_n") > 0) | (F.col("hyphenated_n") > 0)
+    is_cut = F.when(known_whole, F.col("joined_n") >= F.col("hyphenated_n")).otherwise(F.col("sign").isin("¬", "=", "–") | (F.col("left_n_stem") <= F.col("left_n") / 20) | (F.col("left_n_stem") == 0))
+    hyphens = judged.where(is_cut & ~((F.col("sign") == "-") & F.coalesce(F.col("next").rlike("@|arroba"), F.lit(False)))).select(*WORD).withColumn("noise", F.lit("hyphen"))
+
     around = F.transform("toks", lambda t: _core(t["text"]))
     numbered = body.withColumn("cores", around).select(*LINE, "cores", F.posexplode("toks").alias("i", "t"), F.when(continued, 1).otherwise(0).alias("lo"), (F.size("toks") - F.when(ended, 1).otherwise(0)).alias("hi"))
     inner = numbered.select(*LINE, F.col("t.word_num").alias("word_num"), F.col("t.text").alias("text"), F.col("i").between(F.col("lo"), F.col("hi") - 1).alias("whole"), F.when(F.col("i") > 0, F.get("cores", F.col("i") - 1)).otherwise("").alias("before"), F.get("cores", F.col("i")).alias("word"), F.coalesce(F.get("cores", F.col("i") + 1), F.lit("")).alias("after"))
@@ -274,8 +278,7 @@ def analyse(words: DataFrame, pages: DataFrame | None = None) -> tuple[DataFrame
     suspects = lookup_join(inner, bad, "word", "n").select(*WORD, "before", "word", "after", F.inline("meants"))
     by_vocabulary = confirmed(suspects, pairs).groupBy(*WORD).agg(F.max("meant").alias("meant"))
     shaped = body.select(*LINE, F.explode("toks").alias("t")).where(shape_misread(F.col("t.text"))).select(*LINE, F.col("t.word_num").alias("word_num"), F.lit(None).cast("string").alias("meant"))
-    after = lookup_join(ends.select("doc_id", "page", "block_num", "par_num", "line_num", "left", F.col("joined").alias("word")), wrong.groupBy("word").agg(F.max("n").alias("n"), F.max_by("meant", F.struct("m", "meant")).alias("meant")), "word", "n")
-    after = after.where(F.expr("substring(word, 1, length(left)) = substring(meant, 1, length(left))"))
+    after = judged.where("joined_meant is not null and substring(joined, 1, length(left)) = substring(joined_meant, 1, length(left))").select(*LINE, "left", F.col("joined_meant").alias("meant"))
     lines_next = body.select(*LINE, F.lead(F.struct(*LINE[2:], first["word_num"].alias("word_num"))).over(w).alias("nx"))
     second = after.select(*LINE, "left", "meant").join(lines_next, LINE).where("nx is not null").select("doc_id", "page", "nx.block_num", "nx.par_num", "nx.line_num", "nx.word_num", F.expr("substring(meant, length(left) + 1)").alias("meant"))
     misread = by_vocabulary.unionByName(shaped).unionByName(second.select(*WORD, "meant")).groupBy(*WORD).agg(F.max("meant").alias("meant")).withColumn("noise", F.lit("misread"))
