@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.config import DEFAULT, Config
+from foliospark.operators.reading_order import place_in_file
 
 
 def payloads(ordered: DataFrame, pages: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -27,9 +28,8 @@ def payloads(ordered: DataFrame, pages: DataFrame, cfg: Config = DEFAULT) -> Dat
 def windows(ordered: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """(doc_id, window, block_id, pos): overlapping windows of at most window_blocks blocks; the last covers the end."""
     step = max(1, cfg.window_blocks - cfg.window_overlap)
-    b = ordered.where("kind <> 'page_break'").select("doc_id", "block_id", "ord")
-    w = Window.partitionBy("doc_id").orderBy("ord")
-    b = b.withColumn("pos", F.row_number().over(w) - 1)
+    b = ordered.where("kind <> 'page_break'").select("doc_id", "page", "block_id", "ord")
+    b = place_in_file(b, ["ord"])
     n = b.groupBy("doc_id").agg(F.count("*").alias("n"))
     last = F.greatest(F.lit(0), F.ceil((F.col("n") - cfg.window_blocks) / step)).cast("int")
     lo = F.greatest(F.lit(0), F.ceil((F.col("pos") - cfg.window_blocks + 1) / step)).cast("int")

@@ -26,52 +26,72 @@ def reading_order(blocks: DataFrame) -> DataFrame:
     Places are counted page by page and added up, so no file is sorted in one task."""
     b = blocks.distinct()
     b = b if "col" in b.columns else b.withColumn("col", F.lit(0))
-    inner = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy(*order_key()[1:])) - 1
-    per = b.groupBy("doc_id", "page").agg(F.count("*").alias("n"))
-    before = per.withColumn("before", F.sum("n").over(Window.partitionBy("doc_id").orderBy("page")) - F.col("n")).drop("n")
-    return b.withColumn("__i", inner).join(before, ["doc_id", "page"]).withColumn("ord", F.col("__i") + F.col("before")).drop("__i", "before")
+    return place_in_file(b, order_key()[1:]).withColumnRenamed("pos", "ord")
+
+
+def place_in_file(df: DataFrame, order: list) -> DataFrame:
+    """df with pos, its 0-based place in the file by page and order: counted per page, then added up."""
+    inner = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy(*order)) - 1
+    per = df.groupBy("doc_id", "page").agg(F.count("*").alias("n"))
+    before = per.withColumn("__before", F.sum("n").over(Window.partitionBy("doc_id").orderBy("page")) - F.col("n")).drop("n")
+    return df.withColumn("__i", inner).join(before, ["doc_id", "page"]).withColumn("pos", F.col("__i") + F.col("__before")).drop("__i", "__before")
+
+
+def with_previous(ordered: DataFrame, col: str, name: str) -> DataFrame:
+    """ordered with name: col of the block before it in the file, over page ends; only page rows are sorted per file."""
+    inside = F.lag(col).over(Window.partitionBy("doc_id", "page").orderBy("ord"))
+    first = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("ord")) == 1
+    ends = ordered.groupBy("doc_id", "page").agg(F.max_by(col, "ord").alias("__end"))
+    ends = ends.withColumn("__end", F.lag("__end").over(Window.partitionBy("doc_id").orderBy("page")))
+    return ordered.withColumn("__first", first).withColumn("__in", inside).join(ends, ["doc_id", "page"]).withColumn(name, F.when(F.col("__first"), F.col("__end")).otherwise(F.col("__in"))).drop("__first", "__in", "__end")
 
 
 def paragraph_links(ordered: DataFrame) -> DataFrame:
-    """(doc_id, ord, next_ord, same_style): paragraphs that go on in the next block, on the next page."""
-    w = Window.partitionBy("doc_id").orderBy("ord")
-    cols = ["kind", "page", "style", "text", "ord"]
-    n = ordered.select("doc_id", *cols, *[F.lead(c).over(w).alias("n_" + c) for c in cols])
-    left, right = T.strip(F.coalesce("text", F.lit(""))), T.strip(F.coalesce("n_text", F.lit("")))
-    ok = (F.col("kind") == "paragraph") & (F.col("n_kind") == "paragraph") & (F.col("n_page") == F.col("page") + 1) & F.col("style").eqNullSafe(F.col("n_style")) & (left != "") & (right != "") & ~left.rlike(T.COMPLETE_END) & right.rlike(T.CONTINUES)
-    return n.where(ok).select("doc_id", "ord", F.col("n_ord").alias("next_ord"))
+    """(doc_id, ord, next_ord): paragraphs at the end of a page that go on in the first block of the next.
+
+    Last and first blocks of adjacent pages meet by a join, so no file is sorted for it."""
+    row = F.struct("kind", "style", F.coalesce("text", F.lit("")).alias("text"), "ord")
+    ends = ordered.groupBy("doc_id", "page").agg(F.max_by(row, "ord").alias("l"), F.min_by(row, "ord").alias("f"))
+    nxt = ends.select("doc_id", (F.col("page") - 1).alias("page"), F.col("f").alias("n"))
+    j = ends.join(nxt, ["doc_id", "page"])
+    left, right = T.strip(F.col("l.text")), T.strip(F.col("n.text"))
+    ok = (F.col("l.kind") == "paragraph") & (F.col("n.kind") == "paragraph") & F.col("l.style").eqNullSafe(F.col("n.style")) & (left != "") & (right != "") & ~left.rlike(T.COMPLETE_END) & right.rlike(T.CONTINUES)
+    return j.where(ok).select("doc_id", F.col("l.ord").alias("ord"), F.col("n.ord").alias("next_ord"))
 
 
 def stitch_paragraphs(ordered: DataFrame, dehyphenate: Column | bool = False, chain: bool = False) -> DataFrame:
     """Blocks with continued paragraphs joined; pieces has the pages a text came from.
 
-    Without chain a paragraph takes at most one continuation, as its page does not advance; with chain any number."""
+    Without chain a paragraph takes at most one continuation, as its page does not advance; with chain any number.
+    Only linked blocks are regrouped, all others pass through."""
     links = paragraph_links(ordered)
-    w = Window.partitionBy("doc_id").orderBy("ord")
+    w = Window.partitionBy("doc_id").orderBy("ord")  # links only: at most one a page
     linked = links.withColumn("__prev", F.lag("next_ord").over(w)).withColumn("cont", F.coalesce(F.col("__prev") == F.col("ord"), F.lit(False)))
-    runs = linked.withColumn("run", F.sum((~F.col("cont")).cast("int")).over(w)).withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "run").orderBy("ord")) - 1)
-    taken = runs if chain else runs.where("k % 2 = 0").withColumn("run", F.concat_ws("-", F.col("run").cast("string"), F.col("k").cast("string")))
-    ends = taken.select("doc_id", F.col("next_ord").alias("ord"), F.col("run").cast("string").alias("run")).unionByName(taken.select("doc_id", "ord", F.col("run").cast("string").alias("run"))).distinct()
-    b = ordered.join(ends, ["doc_id", "ord"], "left")
-    head = F.min("ord").over(Window.partitionBy("doc_id", "run"))
-    b = b.withColumn("head", F.when(F.col("run").isNull(), F.col("ord")).otherwise(head))
-    parts = b.groupBy("doc_id", "head").agg(F.array_sort(F.collect_list(F.struct("ord", "page", F.coalesce("text", F.lit("")).alias("t")))).alias("parts"), F.min("confidence").alias("min_conf"))
+    runs = linked.withColumn("run", F.sum((~F.col("cont")).cast("int")).over(w).cast("string"))
+    runs = runs.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "run").orderBy("ord")) - 1)
+    taken = runs if chain else runs.where("k % 2 = 0").withColumn("run", F.concat_ws("-", "run", F.col("k").cast("string")))
+    ends = taken.select("doc_id", F.col("next_ord").alias("ord"), "run").unionByName(taken.select("doc_id", "ord", "run")).distinct()
     hyph = F.lit(dehyphenate) if isinstance(dehyphenate, bool) else dehyphenate
 
     def join(acc: Column, x: Column) -> Column:
         a, t = F.regexp_replace(acc, f"{T.WS}+$", ""), F.regexp_replace(x["t"], f"^{T.WS}+", "")
         return F.when(acc.isNull(), x["t"]).when(a.endswith("-") & hyph & t.rlike("^\\p{Ll}"), F.concat(F.regexp_replace(a, "-$", ""), t)).when(a.endswith("-"), F.concat(a, t)).otherwise(F.concat(a, F.lit(" "), t))
 
-    text = F.when(F.size("parts") > 1, F.aggregate("parts", F.lit(None).cast("string"), join))
-    return b.where(F.col("ord") == F.col("head")).join(parts, ["doc_id", "head"]).withColumn("text", F.coalesce(text, F.col("text"))).withColumn("pieces", F.transform("parts", lambda x: x["page"])).withColumn("confidence", F.when(F.size("parts") > 1, F.col("min_conf")).otherwise(F.col("confidence"))).drop("parts", "min_conf", "head", "run")
+    b = ordered.join(ends, ["doc_id", "ord"])
+    parts = b.groupBy("doc_id", "run").agg(F.min("ord").alias("ord"), F.array_sort(F.collect_list(F.struct("ord", "page", F.coalesce("text", F.lit("")).alias("t")))).alias("parts"), F.min("confidence").alias("low"))
+    parts = parts.select("doc_id", "ord", F.aggregate("parts", F.lit(None).cast("string"), join).alias("__text"), F.transform("parts", lambda x: x["page"]).alias("pieces"), "low")
+    heads = ordered.join(parts, ["doc_id", "ord"]).withColumn("text", F.col("__text")).withColumn("confidence", F.col("low")).drop("__text", "low")
+    rest = ordered.join(ends.select("doc_id", "ord"), ["doc_id", "ord"], "left_anti").withColumn("pieces", F.array("page"))
+    return heads.unionByName(rest)
 
 
 def page_breaks(ordered: DataFrame) -> DataFrame:
     """Blocks with a page_break row before the first block of every page but the file's first."""
-    w = Window.partitionBy("doc_id").orderBy("ord")
-    prev = ordered.where("kind <> 'page_break'").withColumn("pp", F.lag("page").over(w))
-    marks = prev.where("pp is not null and pp <> page").select("doc_id", F.format_string("pb%05d", "page").alias("block_id"), "page", (F.col("ord") - 0.5).alias("ord"), F.lit("page_break").alias("kind"), F.concat(F.lit("página "), F.col("page").cast("string")).alias("text"))
-    return ordered.where("kind <> 'page_break'").withColumn("ord", F.col("ord").cast("double")).unionByName(marks, allowMissingColumns=True)
+    kept = ordered.where("kind <> 'page_break'")
+    firsts = kept.groupBy("doc_id", "page").agg(F.min("ord").alias("ord"))
+    later = firsts.withColumn("pp", F.lag("page").over(Window.partitionBy("doc_id").orderBy("page"))).where("pp is not null")
+    marks = later.select("doc_id", F.format_string("pb%05d", "page").alias("block_id"), "page", (F.col("ord") - 0.5).alias("ord"), F.lit("page_break").alias("kind"), F.concat(F.lit("página "), F.col("page").cast("string")).alias("text"))
+    return kept.withColumn("ord", F.col("ord").cast("double")).unionByName(marks, allowMissingColumns=True)
 
 
 def nearest_captions(figures: DataFrame, texts: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -91,7 +111,7 @@ def nearest_captions(figures: DataFrame, texts: DataFrame, cfg: Config = DEFAULT
 
 def orphan_captions(ordered: DataFrame) -> DataFrame:
     """(doc_id, figure_id, caption_id, caption): short body paragraphs right below a figure without a caption."""
-    w = Window.partitionBy("doc_id").orderBy("ord")
+    w = Window.partitionBy("doc_id", "page").orderBy("ord")
     cols = ["block_id", "kind", "page", "style", "text", "y0"]
     n = ordered.select("doc_id", "ord", "kind", "block_id", "page", "y1", *[F.lead(c).over(w).alias("n_" + c) for c in cols])
     gap = F.col("n_y0") - F.col("y1")

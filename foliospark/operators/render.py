@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions import text as T
+from foliospark.operators.reading_order import with_previous
 
 
 def table_row(cells: Column) -> Column:
@@ -59,8 +60,7 @@ def front_matter(meta: DataFrame) -> DataFrame:
 
 def documents(ordered: DataFrame, front: DataFrame | None = None, page_markers: bool = True, review_markers: bool = True) -> DataFrame:
     """(doc_id, markdown) of ordered blocks (ord): rendered block by block, then gathered per file as its text."""
-    prev = F.lag("kind").over(Window.partitionBy("doc_id").orderBy("ord"))
-    rows = ordered.withColumn("pk", prev).select("doc_id", "ord", block_markdown(F.col("pk"), page_markers, review_markers).alias("md"))
+    rows = with_previous(ordered, "kind", "pk").select("doc_id", "ord", block_markdown(F.col("pk"), page_markers, review_markers).alias("md"))
     text = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "md"))), lambda x: x["md"]), "").alias("body"))
     if front is None:
         return text.select("doc_id", T.collapse_blank_lines(F.col("body")).alias("markdown"))

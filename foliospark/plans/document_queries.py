@@ -422,18 +422,18 @@ def reading_order_q(spark, sf):
     return ordered_of(spark, sf).select("doc_id", "block_id", "ord")
 
 
-LINKS = f"""{ORDERED}, nx AS (SELECT *, lead(kind) OVER w AS nk, lead(page) OVER w AS np, lead(style) OVER w AS ns, lead(text) OVER w AS nt, lead(ord) OVER w AS no, lead(block_id) OVER w AS nb, lead(y0) OVER w AS ny0 FROM o WINDOW w AS (PARTITION BY doc_id ORDER BY ord))"""
+LINKS = f"""{ORDERED}, nx AS (SELECT *, lead(kind) OVER w AS nk, lead(page) OVER w AS np, lead(style) OVER w AS ns, lead(text) OVER w AS nt, lead(ord) OVER w AS no, lead(block_id) OVER w AS nb, lead(y0) OVER w AS ny0 FROM o WHERE kind <> 'page_break' WINDOW w AS (PARTITION BY doc_id ORDER BY ord))"""
 
 
 @query("cross_page_paragraphs", f"""WITH {LINKS} SELECT doc_id, ord, no AS next_ord FROM nx WHERE kind = 'paragraph' AND nk = 'paragraph' AND np = page + 1 AND style IS NOT DISTINCT FROM ns
 AND {s_strip("coalesce(text, '')")} <> '' AND {s_strip("coalesce(nt, '')")} <> '' AND NOT regexp_matches({s_strip("coalesce(text, '')")}, '[.!?;:»”"'']{WS}*$') AND regexp_matches({s_strip("coalesce(nt, '')")}, '^[a-zàáâãéêíóôõúç(\\[“"'']')""")
 def cross_page_paragraphs(spark, sf):
-    return reading_order.paragraph_links(ordered_of(spark, sf))
+    return reading_order.paragraph_links(ordered_of(spark, sf).where("kind <> 'page_break'"))
 
 
 @query("stitched_paragraphs")
 def stitched_paragraphs(spark, sf):
-    return reading_order.stitch_paragraphs(ordered_of(spark, sf), True).select("doc_id", "block_id", "ord", "kind", "text", "pieces")
+    return reading_order.stitch_paragraphs(ordered_of(spark, sf).where("kind <> 'page_break'"), True).select("doc_id", "block_id", "ord", "kind", "text", "pieces")
 
 
 @query("page_breaks", f"""WITH {ORDERED}, q AS (SELECT *, lag(page) OVER (PARTITION BY doc_id ORDER BY ord) AS pp FROM o WHERE kind <> 'page_break')
@@ -444,7 +444,7 @@ def page_breaks(spark, sf):
 
 @query("orphan_captions", f"WITH {LINKS} SELECT doc_id, block_id AS figure_id, nb AS caption_id, nt AS caption FROM nx WHERE kind = 'figure' AND nk = 'paragraph' AND np = page AND length(nt) <= 200 AND ns = 'body' AND ny0 - y1 BETWEEN 0 AND 24")
 def orphan_captions(spark, sf):
-    return reading_order.orphan_captions(ordered_of(spark, sf))
+    return reading_order.orphan_captions(ordered_of(spark, sf).where("kind <> 'page_break'"))
 
 
 @query("caption_nearest")
@@ -658,10 +658,10 @@ def guard_difference(spark, sf):
 def ops_of(spark, sf):
     """An edit for every block, chosen by its kind and place: merges, promotions, levels, quotations, flags."""
     b = table(spark, sf, "blocks").distinct().where("kind <> 'page_break'")
-    o = ordered_of(spark, sf).select("doc_id", "block_id", "kind", "ord")
+    o = ordered_of(spark, sf).select("doc_id", "page", "block_id", "kind", "ord")
     from pyspark.sql import Window
 
-    nxt = F.lead("block_id").over(Window.partitionBy("doc_id").orderBy("ord"))
+    nxt = F.lead("block_id").over(Window.partitionBy("doc_id", "page").orderBy("ord"))
     o = o.withColumn("nb", nxt).join(b.select("doc_id", "block_id", "seq"), ["doc_id", "block_id"])
     k = F.col("seq") % 7
     op = F.when(F.col("kind") == "heading", F.when(k < 3, "set_heading_level").otherwise("demote_to_paragraph")).when(F.col("kind") == "paragraph", F.when(k == 0, "merge_blocks").when(k == 1, "promote_to_heading").when(k == 2, "promote_to_list").when(k == 3, "mark_as_footnote").when(k == 4, "mark_as_quote").otherwise("flag_review")).when(F.col("kind") == "table", "set_table_header_rows").otherwise("reorder")
