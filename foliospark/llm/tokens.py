@@ -23,7 +23,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.runtime import cut
+from foliospark.runtime import cut, spread
 
 VOCABULARY = os.environ.get("FOLIOSPARK_BPE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 BUCKETS = 8192
@@ -124,7 +124,7 @@ def _joined(docs: DataFrame, table: DataFrame, key: str, text: str, value: str)
 
 def encode_corpus(docs: DataFrame, path: str = VOCABULARY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids) for every row of docs; key must be unique. Extra columns are ignored."""
-    docs = docs.select(key, text)
+    docs = spread(docs.select(key, text), key)
     joined = _joined(docs, piece_table(docs, path, text), key, text, "ids")
     ids = joined.groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("__v").alias("v")))), lambda x: x["v"])).alias("ids"))
     empty = docs.where(F.col(text).isNull() | (F.col(text) == "")).select(key, F.array().cast("array<int>").alias("ids"))
@@ -133,7 +133,7 @@ def encode_corpus(docs: DataFrame, path: str = VOCABULARY, key: str = "doc_id",
 
 def token_counts(docs: DataFrame, path: str = VOCABULARY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens bigint) for every row of docs; 0 for null and empty texts."""
-    docs = docs.select(key, text)
+    docs = spread(docs.select(key, text), key)
     table = piece_table(docs, path, text).withColumn("size", F.size("ids"))
     counts = _joined(docs, table, key, text, "size").groupBy(key).agg(F.sum("__v").alias("n_tokens"))
     empty = docs.where(F.col(text).isNull() | (F.col(text) == "")).select(key, F.lit(0).cast("long").alias("n_tokens"))
