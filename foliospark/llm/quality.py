@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.runtime import cut
+from foliospark.runtime import cut, spread
 
 FEATURES = ["common_share", "wordlike_share", "symbol_share", "punct_line_share", "log_word_len", "distinct_share", "list_share", "table_share"]
 PRIOR_WORDS = 12.0
@@ -165,22 +165,20 @@ def _estimate(sample: DataFrame) -> Estimate:
 
 def _distance(stats: DataFrame, est: Estimate) -> DataFrame:
     """stats with d2 and parts (array of contributions in the order of FEATURES)."""
-    mean, inv = F.lit(None).cast("array<double>"), F.lit(None).cast("array<double>")
-    for g, (m, v) in est.items():
-        mean = F.when(F.col("lang_group") == g, F.array(*map(F.lit, m.tolist()))).otherwise(mean)
-        inv = F.when(F.col("lang_group") == g, F.array(*map(F.lit, v.ravel().tolist()))).otherwise(inv)
     k = len(FEATURES)
+    rows = [(g, m.tolist(), v.ravel().tolist()) for g, (m, v) in est.items()]
+    params = stats.sparkSession.createDataFrame(rows, "lang_group string, __m array<double>, __v array<double>")
     # the evidence of a short text is small: its deviation is drawn towards 0
     weight = F.col("evidence") / (F.col("evidence") + PRIOR_WORDS)
-    with_mean = stats.withColumn("__m", mean).withColumn("__v", inv)
-    dev = F.array(*[(F.col(f) - F.get("__m", F.lit(i))) * weight for i, f in enumerate(FEATURES)])
-    with_dev = with_mean.withColumn("__d", dev)
-    parts = F.array(*[F.get("__d", F.lit(i)) * sum((F.get("__v", F.lit(i * k + j)) * F.get("__d", F.lit(j)) for j in range(1, k)), F.get("__v", F.lit(i * k)) * F.get("__d", F.lit(0))) for i in range(k)])
-    return with_dev.withColumn("parts", parts).withColumn("d2", _total(F.col("parts"))).drop("__m", "__v", "__d")
+    joined = stats.join(F.broadcast(params), "lang_group")  # one row for each of the fixed groups
+    dev = joined.withColumn("__d", F.transform(F.array(*FEATURES), lambda x, i: (x - F.get("__m", i)) * weight))
+    row = lambda i: _total(F.zip_with(F.slice("__v", i * k + 1, F.lit(k)), "__d", lambda a, b: a * b))
+    return dev.withColumn("parts", F.transform("__d", lambda x, i: x * row(i))).withColumn("d2", _total(F.col("parts"))).drop("__m", "__v", "__d")
 
 
 def report(docs: DataFrame, common: dict[str, list[str]], key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(key, statistics, distance, contribution of each statistic, doc_class) of every row of docs."""
+    docs = spread(docs.select(key, text, lang), key)
     stats = cut(statistics(docs, common, key, text, lang))
     prose = stats.where("evidence >= 5 and list_share < 0.3 and table_share < 0.3 and wordlike_share > 0.8 and symbol_share < 0.1 and distinct_share > 0.4")
     est = _estimate(prose)
