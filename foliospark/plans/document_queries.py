@@ -735,10 +735,11 @@ def batch_admission(spark, sf):
 
 @query("report_board", f"""WITH {STATES}, rp AS (SELECT DISTINCT doc_id, report_id, resultado_processamento AS j FROM reports WHERE resultado_processamento IS NOT NULL AND json_valid(resultado_processamento)), lr AS (SELECT doc_id, arg_max(j, report_id) AS j FROM rp GROUP BY 1)
 SELECT job_id, batch_id, js.doc_id || '.pdf' AS filename, status, coalesce(json_extract_string(j, '$.resumo.status'), CASE WHEN status = 'failed' THEN 'falhou' END) AS report_status, try_cast(json_extract_string(j, '$.text_accuracy') AS DOUBLE) AS coverage,
-try_cast(json_extract_string(j, '$.documento.paginas') AS INT) AS pages, try_cast(json_extract_string(j, '$.tables_detected') AS INT) AS tables, try_cast(json_extract_string(j, '$.tabelas.para_revisar') AS INT) AS to_review, try_cast(json_extract_string(j, '$.images_extracted') AS INT) AS images,
-try_cast(json_extract_string(j, '$.ocr.paginas_com_ocr') AS INT) AS ocr_pages, coalesce(array_to_string(json_extract_string(j, '$.resumo.pendencias[*]'), ' | '), '') AS pending FROM js LEFT JOIN lr USING (doc_id)""")
+CAST(try_cast(json_extract_string(j, '$.documento.paginas') AS INT) AS DOUBLE) AS pages, CAST(try_cast(json_extract_string(j, '$.tables_detected') AS INT) AS DOUBLE) AS tables, CAST(try_cast(json_extract_string(j, '$.tabelas.para_revisar') AS INT) AS DOUBLE) AS to_review, CAST(try_cast(json_extract_string(j, '$.images_extracted') AS INT) AS DOUBLE) AS images,
+CAST(try_cast(json_extract_string(j, '$.ocr.paginas_com_ocr') AS INT) AS DOUBLE) AS ocr_pages, coalesce(array_to_string(json_extract_string(j, '$.resumo.pendencias[*]'), ' | '), '') AS pending FROM js LEFT JOIN lr USING (doc_id)""")
 def report_board(spark, sf):
-    return jobs.report_board(states_of(spark, sf), table(spark, sf, "reports"))
+    board = jobs.report_board(states_of(spark, sf), table(spark, sf, "reports"))
+    return board.withColumns({c: F.col(c).cast("double") for c in ("pages", "tables", "to_review", "images", "ocr_pages")})
 
 
 @query("report_board_csv")
