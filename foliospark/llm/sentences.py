@@ -43,7 +43,7 @@ def _scan():
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import regex as re
 
-        word_back = re.compile(r"[\p{L}\p{M}\p{N}.’'@\-²³º]+$")
+        word_back = re.compile(r"(?:(?:(?<![\p{L}\p{M}])\p{L}\.){1,4})?[\p{L}\p{M}\p{N}@²³º\-]+$")
         word_next = re.compile(r"[\p{L}\p{M}\p{N}]+")
         word = re.compile(r"(?<![\p{L}\p{M}.@])\p{Lu}[\p{L}\p{M}]+")
         greek, thai = re.compile(r"\p{Greek}"), re.compile(r"(?<=\p{Thai})\s+(?=\p{Thai})")
@@ -133,7 +133,7 @@ def _scan():
                     i = j
                     continue
                 back = word_back.search(text[max(0, i - 60) : i])
-                token = re.split("[’']", back[0])[-1].lstrip(".-") if back else ""
+                token = back[0].lstrip("-") if back else ""
                 if not gap and kind == "U" and len(token) == 1 and token.isalpha():
                     i = j
                     continue
