@@ -87,7 +87,7 @@ def cost(text: str) -> int:
                 continue
             if c not in COMMON:
                 total += 1
-            if c.islower() and ((p in ".!?" and q in " .,;") or (p == " " and q.isascii() and q.isupper())):
+            if c.islower() and c not in "ªº" and ((p in ".!?" and q in " .,;") or (p == " " and q.isascii() and q.isupper())):
                 total += 1
             if c.isupper() and p.islower() and kp == "L":
                 total += 1
