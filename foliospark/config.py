@@ -49,7 +49,7 @@ class Config:
     # quality
     lossy_least: int = 40
     lossy_ratio: float = 0.75
-    lexical_sample: int = 60000
+    lexical_sample: int = 0  # characters of every row that are read; 0: all (the reference reads 60000 of a file)
     sample_pages: int = 12
     # guarded edits
     preview_chars: int = 400

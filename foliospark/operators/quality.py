@@ -57,10 +57,11 @@ def second_opinion(sample: DataFrame, other: DataFrame, produced: DataFrame, boi
 
 
 def lexical_sanity(texts: DataFrame, key: str = "doc_id", text: str = "text", cfg: Config = DEFAULT) -> DataFrame:
-    """(key, tokens, suspect_tokens, suspect_ratio) over the sample length the feature defines."""
-    tokens = F.regexp_extract_all(F.left(F.col(text), F.lit(cfg.lexical_sample)), F.lit(T.TOKEN), F.lit(0))
-    d = texts.select(key, F.coalesce(tokens, F.array().cast("array<string>")).alias("t"))
+    """(key, tokens, suspect_tokens, suspect_ratio) over whole texts; the rows of a key are counted one by one and added up."""
+    read = F.left(F.col(text), F.lit(cfg.lexical_sample)) if cfg.lexical_sample else F.col(text)
+    d = texts.select(key, F.coalesce(F.regexp_extract_all(read, F.lit(T.TOKEN), F.lit(0)), F.array().cast("array<string>")).alias("t"))
     d = d.select(key, F.size("t").alias("tokens"), F.size(F.filter("t", T.suspect_token)).alias("suspect_tokens"))
+    d = d.groupBy(key).agg(*[F.sum(c).alias(c) for c in ("tokens", "suspect_tokens")])
     return d.withColumn("suspect_ratio", F.when(F.col("tokens") > 0, F.round(F.col("suspect_tokens") / F.col("tokens"), 4)).otherwise(0.0))
 
 

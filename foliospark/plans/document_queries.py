@@ -537,7 +537,7 @@ ls AS (SELECT d.doc_id, count(t) AS tokens, count(*) FILTER (suspect) AS suspect
 
 @query("lexical_sanity", f"WITH {LEXICAL} SELECT doc_id, CAST(tokens AS INT) AS tokens, CAST(suspect_tokens AS INT) AS suspect_tokens, CASE WHEN tokens > 0 THEN round(suspect_tokens / tokens, 4) ELSE 0.0 END AS suspect_ratio FROM ls")
 def lexical_sanity(spark, sf):
-    return quality.lexical_sanity(table(spark, sf, "documents"))
+    return quality.lexical_sanity(table(spark, sf, "documents")).withColumns({c: F.col(c).cast("int") for c in ("tokens", "suspect_tokens")})
 
 
 @query("doc_verdict", f"""WITH {LEXICAL}, v AS (SELECT doc_id, tokens, suspect_tokens, CASE WHEN tokens > 0 THEN round(suspect_tokens / tokens, 4) ELSE 0.0 END AS suspect_ratio, CASE WHEN coalesce(n_chars, 0) > 0 THEN round(100 * least(1.0, coalesce(length(text), 0) / n_chars), 1) ELSE 100.0 END AS coverage_pct FROM ls JOIN documents USING (doc_id))
@@ -549,7 +549,7 @@ def doc_verdict(spark, sf):
     cov = F.when(F.coalesce("n_chars", F.lit(0)) > 0, F.round(F.least(F.lit(1.0), F.coalesce(F.char_length("text"), F.lit(0)) / F.col("n_chars")) * 100, 1)).otherwise(100.0)
     j = lex.join(d.select("doc_id", cov.alias("coverage_pct")), "doc_id")
     alert = ((F.col("tokens") >= 200) & (F.col("suspect_ratio") > 0.06)).cast("int")
-    return j.select("doc_id", "tokens", "suspect_ratio", "coverage_pct", quality.verdict(F.lit(0), alert, F.col("coverage_pct"), F.lit(0)).alias("status"))
+    return j.select("doc_id", F.col("tokens").cast("int").alias("tokens"), "suspect_ratio", "coverage_pct", quality.verdict(F.lit(0), alert, F.col("coverage_pct"), F.lit(0)).alias("status"))
 
 
 @query("ocr_confidence", f"WITH w AS (SELECT DISTINCT * FROM ocr_words WHERE coalesce(conf, -1) >= 40 AND {s_strip(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} <> ''), p AS (SELECT doc_id, page, avg(conf) AS c FROM w GROUP BY ALL) SELECT doc_id, count(*) AS pages, round(avg(c), 2) AS ocr_mean FROM p GROUP BY 1")
@@ -571,7 +571,7 @@ def tables_to_review(spark, sf):
 
 def warnings_of(spark, sf):
     b = table(spark, sf, "blocks").distinct()
-    text = b.where("kind <> 'page_break' and text is not null").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    text = b.where("kind <> 'page_break' and text is not null")
     return quality.warnings(routed_of(spark, sf), coverage_of(spark, sf), b.where("kind = 'table'"), quality.lexical_sanity(text), quality.ocr_confidence(table(spark, sf, "ocr_words")))
 
 
