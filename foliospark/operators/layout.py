@@ -5,7 +5,7 @@ Equal rows count once. A null text counts as empty, null coordinates are left ou
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions import geometry as G
@@ -70,11 +70,16 @@ def page_envelopes(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("doc_id", "page").agg(*G.envelope(), F.count("*").alias("n_blocks"))
 
 
-def ocr_lines(ocr_words: DataFrame, dpi: float = 300.0, min_conf: float = 40.0) -> DataFrame:
-    """Lines of recognised words in page points: kept words (conf >= min_conf), text, size, mean confidence and box."""
+def recognised_words(ocr_words: DataFrame, dpi: float = 300.0, min_conf: float = 40.0) -> DataFrame:
+    """Kept words (conf >= min_conf) with their box in page points and confidence from 0 to 1."""
     k = 72.0 / dpi
     kept = ocr_words.distinct().where((T.strip(F.coalesce("text", F.lit(""))) != "") & (F.coalesce("conf", F.lit(-1.0)) >= min_conf))
-    w = kept.withColumns({"x0": F.col("left_px") * k, "y0": F.col("top_px") * k, "x1": (F.col("left_px") + F.col("width_px")) * k, "y1": (F.col("top_px") + F.col("height_px")) * k, "confidence": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("conf") / 100))})
+    return kept.withColumns({"x0": F.col("left_px") * k, "y0": F.col("top_px") * k, "x1": (F.col("left_px") + F.col("width_px")) * k, "y1": (F.col("top_px") + F.col("height_px")) * k, "confidence": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("conf") / 100))})
+
+
+def ocr_lines(ocr_words: DataFrame, dpi: float = 300.0, min_conf: float = 40.0) -> DataFrame:
+    """Lines of recognised words in page points: kept words (conf >= min_conf), text, size, mean confidence and box."""
+    w = recognised_words(ocr_words, dpi, min_conf)
     key = ["doc_id", "page", "block_num", "par_num", "line_num"]
     ordered = F.array_sort(F.collect_list(F.struct("word_num", "text")))
     return w.groupBy(*key).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("text"), F.count("*").alias("n_words"), F.avg(F.bround((F.col("y1") - F.col("y0")) * 0.92, 2)).alias("size"), F.avg("confidence").alias("confidence"), *G.envelope())
@@ -82,8 +87,6 @@ def ocr_lines(ocr_words: DataFrame, dpi: float = 300.0, min_conf: float = 40.0)
 
 def ocr_blocks(lines: DataFrame) -> DataFrame:
     """Blocks of recognised lines, numbered in reading order of the hierarchy; confidence weighted by words."""
-    from pyspark.sql import Window
-
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_num", "text"))), lambda x: x["text"]), "\n")
     blocks = lines.groupBy("doc_id", "page", "block_num", "par_num").agg(text.alias("text"), F.sum("n_words").alias("n_words"), F.round(F.sum(F.col("confidence") * F.col("n_words")) / F.sum("n_words"), 4).alias("confidence"), *G.envelope())
     order = Window.partitionBy("doc_id", "page").orderBy("block_num", "par_num")
@@ -98,6 +101,30 @@ def drop_native_duplicates(ocr: DataFrame, native: DataFrame, overlap: float = 0
     return ocr.join(n, cond & (G.intersection("", "n_") / own >= overlap), "left_anti")
 
 
+def ocr_spans(ocr_words: DataFrame, dpi: float = 300.0, min_conf: float = 40.0) -> DataFrame:
+    """Kept recognised words in the shape of spans; blocks are numbered in reading order of the hierarchy."""
+    block = Window.partitionBy("doc_id", "page").orderBy("block_num", "par_num")
+    line = Window.partitionBy("doc_id", "page", "block_num", "par_num", "line_num").orderBy("word_num", "text", "left_px", "top_px", "width_px", "height_px", "conf")
+    w = recognised_words(ocr_words, dpi, min_conf)
+    return w.select(
+        "doc_id", "page", (F.dense_rank().over(block) - 1).alias("block_no"), F.col("line_num").alias("line_no"), (F.row_number().over(line) - 1).alias("span_no"),
+        F.concat("text", F.when(F.lead("text").over(line).isNotNull(), " ").otherwise("")).alias("text"), "x0", "y0", "x1", "y1",
+        F.lit("OCR").alias("font"), F.bround((F.col("y1") - F.col("y0")) * 0.92, 2).alias("size"), F.lit(0).alias("flags"), F.lit(0).alias("color"), "confidence",
+    )
+
+
+def united_spans(spans: DataFrame, ocr_words: DataFrame, hybrid: DataFrame) -> DataFrame:
+    """Native spans and recognised words in one shape; recognised blocks come after the native ones of their page.
+
+    On the pages of hybrid (doc_id, page) recognised blocks that cover native text are left out."""
+    ocr = ocr_spans(ocr_words)
+    native = spans.groupBy(*BLOCK).agg(*G.envelope())
+    kept = drop_native_duplicates(ocr.groupBy(*BLOCK).agg(*G.envelope()), native.join(hybrid.select("doc_id", "page"), ["doc_id", "page"], "left_semi")).select(*BLOCK)
+    after = native.groupBy("doc_id", "page").agg((F.max("block_no") + 1).alias("after"))
+    added = ocr.join(kept, BLOCK, "left_semi").join(after, ["doc_id", "page"], "left").withColumn("block_no", F.col("block_no") + F.coalesce("after", F.lit(0))).drop("after")
+    return spans.select(*added.columns).unionByName(added)
+
+
 def provenance(source: Column, engine: Column, confidence: Column, inferred: Column) -> Column:
     """Recognised blocks keep their provenance; others are heuristic where inferred, else native."""
     return F.struct(F.when(source == "ocr", source).when(inferred, "heuristic").otherwise("native").alias("source"), engine.alias("engine"), confidence.alias("confidence"))

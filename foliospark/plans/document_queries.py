@@ -95,6 +95,11 @@ def ordered_of(spark: SparkSession, sf: str) -> DataFrame:
     return reading_order.reading_order(table(spark, sf, "blocks"))
 
 
+def united_lines_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of native text and of recognised pages."""
+    return layout.text_lines(layout.united_spans(table(spark, sf, "spans"), table(spark, sf, "ocr_words"), routed_of(spark, sf).where("route = 'hybrid'")))
+
+
 # --- geometry and layout -------------------------------------------------------------------------------------------
 @query("span_geometry", "SELECT DISTINCT doc_id, page, block_no, line_no, span_no, round(x1 - x0, 4) AS width, round(y1 - y0, 4) AS height, round((x0 + x1) / 2, 4) AS cx, round((y0 + y1) / 2, 4) AS cy, round(greatest(0, x1 - x0) * greatest(0, y1 - y0), 4) AS area FROM spans WHERE y0 IS NOT NULL AND x0 IS NOT NULL AND x1 IS NOT NULL AND y1 IS NOT NULL")
 def span_geometry(spark, sf):
@@ -225,7 +230,8 @@ def boilerplate_chars(spark, sf):
 
 @query("header_footer_fuzzy")
 def header_footer_fuzzy(spark, sf):
-    return regions.recurrent_fuzzy(bands_of(spark, sf), n_pages_of(spark, sf)).select("doc_id", "page", "block_no", "band", "key")
+    bands = regions.band_blocks(layout.raw_blocks(united_lines_of(spark, sf)), pages_of(spark, sf))
+    return regions.recurrent_fuzzy(bands, n_pages_of(spark, sf)).select("doc_id", "page", "block_no", "band", "key")
 
 
 @query("discarded_headers", f"WITH {RECURRENT}, k AS (SELECT doc_id, band, key, arg_min(text, row(page, block_no)) AS text, min(row(page, block_no)) AS first FROM rec GROUP BY ALL) SELECT doc_id, band, CAST(row_number() OVER (PARTITION BY doc_id, band ORDER BY first) AS INT) AS ord, text FROM k")
@@ -289,12 +295,12 @@ def paragraph_split(spark, sf):
 
 @query("typed_blocks")
 def typed_blocks(spark, sf):
-    return semantics.classify(lines_of(spark, sf), pages_of(spark, sf)).select("doc_id", "page", "block_no", "group", "kind", "text", "level", "numbering", "marker", "ordered", "list_level", "style", "score")
+    return semantics.classify(united_lines_of(spark, sf), pages_of(spark, sf)).select("doc_id", "page", "block_no", "group", "kind", "text", "level", "numbering", "marker", "ordered", "list_level", "style", "score")
 
 
 @query("footnote_split")
 def footnote_split(spark, sf):
-    return semantics.footnotes(lines_of(spark, sf))
+    return semantics.footnotes(united_lines_of(spark, sf))
 
 
 DOC_LINES = "dl AS (SELECT doc_id, unnest(string_split_regex(text, '\\r\\n|\\r|\\n')) AS line, generate_subscripts(string_split_regex(text, '\\r\\n|\\r|\\n'), 1) - 1 AS seq FROM documents WHERE text IS NOT NULL)"

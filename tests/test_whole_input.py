@@ -36,3 +36,21 @@ def test_garbling_past_a_prefix_is_counted(spark, tables):
 def test_lexical_sanity_reads_the_whole_text(spark):
     d = spark.createDataFrame([("d", "palavra " * 10_000 + "xkcdt " * 1000)], "doc_id string, text string")
     assert quality.lexical_sanity(d).first()[1:] == (11_000, 1000, 0.0909)
+
+
+def test_native_and_recognised_text_are_united(spark, tables):
+    def word(page, block, text, y, **more):
+        return {"doc_id": "d", "page": page, "text": text, "conf": 90.0, "left_px": 300, "top_px": y, "width_px": 900, "height_px": 50, "block_num": block, "par_num": 1, "line_num": 1, "word_num": 1, **more}
+
+    def span(page, block, text, y):
+        return {"doc_id": "d", "page": page, "block_no": block, "line_no": 0, "span_no": 0, "text": text, "x0": 72.0, "y0": y, "x1": 288.0, "y1": y + 12, "font": "Times", "size": 12.0, "flags": 0, "color": 0, "confidence": 1.0}
+
+    info = {"doc_id": "d", "width": 595.0, "height": 842.0, "native_char_count": 500, "text_area_ratio": 0.3, "image_count": 1}
+    tables("pages_info", [{**info, "page": 1, "image_area_ratio": 0.9}, {**info, "page": 2, "native_char_count": 0}, {**info, "page": 3}])
+    tables("spans", [span(p, 0, "TRIBUNAL DE JUSTIÇA fls. 7", 30.0) for p in (1, 3)] + [span(1, 4, "1 texto nativo da página", 240.0)])
+    words = [word(1, 1, "repetido", 1000), word(1, 2, "anexo", 2000), word(1, 2, "colado", 2000, left_px=1250, word_num=2), word(2, 1, "TRIBUNAL DE JUSTICA fls. 8", 125), word(2, 2, "2 nota", 1500), word(2, 3, "ruído", 1800, conf=10.0)]
+    sf = tables("ocr_words", words)
+    run = lambda name, *cols: sorted(tuple(r[c] for c in cols) for r in document_queries.QUERIES[name](spark, sf).where("doc_id = 'd'").collect())
+    assert run("typed_blocks", "page", "block_no", "text") == [(1, 0, "TRIBUNAL DE JUSTIÇA fls. 7"), (1, 4, "1 texto nativo da página"), (1, 6, "anexo colado"), (2, 0, "TRIBUNAL DE JUSTICA fls. 8"), (2, 1, "2 nota"), (3, 0, "TRIBUNAL DE JUSTIÇA fls. 7")]
+    assert (2, "2", "nota") in run("footnote_split", "page", "marker", "text") and (1, "1", "texto nativo da página") in run("footnote_split", "page", "marker", "text")
+    assert run("header_footer_fuzzy", "page", "block_no") == [(1, 0), (2, 0), (3, 0)]
