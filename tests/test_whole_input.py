@@ -3,9 +3,10 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from foliospark.operators import quality
-from foliospark.plans import document_queries
+from foliospark.plans import document_queries, stream_queries
 
 
 @pytest.fixture
@@ -54,3 +55,10 @@ def test_native_and_recognised_text_are_united(spark, tables):
     assert run("typed_blocks", "page", "block_no", "text") == [(1, 0, "TRIBUNAL DE JUSTIÇA fls. 7"), (1, 4, "1 texto nativo da página"), (1, 6, "anexo colado"), (2, 0, "TRIBUNAL DE JUSTICA fls. 8"), (2, 1, "2 nota"), (3, 0, "TRIBUNAL DE JUSTIÇA fls. 7")]
     assert (2, "2", "nota") in run("footnote_split", "page", "marker", "text") and (1, "1", "texto nativo da página") in run("footnote_split", "page", "marker", "text")
     assert run("header_footer_fuzzy", "page", "block_no") == [(1, 0), (2, 0), (3, 0)]
+
+
+def test_sessions_open_at_the_end_come_out(spark, small):
+    got = stream_queries.QUERIES["stream_sessions"](spark, small)
+    e = spark.read.parquet(f"{small}/job_events.parquet").withColumn("event_ts", F.col("event_ts").cast("timestamp"))
+    want = e.groupBy("job_id", F.session_window("event_ts", "30 minutes").alias("w")).agg(F.count("*").alias("n")).select("job_id", F.col("w.start").alias("win_start"), F.col("w.end").alias("win_end"), "n")
+    assert want.count() > 0 and sorted(got.select(want.columns).collect()) == sorted(want.collect())
