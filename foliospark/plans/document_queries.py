@@ -311,8 +311,7 @@ SELECT doc_id, CAST(seq AS INT) AS seq, CASE WHEN bullet <> '' THEN bullet WHEN
 def list_markers(spark, sf):
     d = table(spark, sf, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\\r\\n|\\r|\\n")).alias("seq", "line"))
     m = d.select("doc_id", "seq", "line", T.list_marker(F.col("line")).alias("m")).where("m is not null")
-    simple = F.col("line").rlike(T.BULLET) | F.col("line").rlike(T.ORDERED_NUM) | F.col("line").rlike(T.ORDERED_ALPHA)
-    return m.where(simple).select("doc_id", "seq", "m.marker", "m.ordered")
+    return m.select("doc_id", "seq", "m.marker", "m.ordered")
 
 
 @query("markdown_blocks")

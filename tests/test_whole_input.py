@@ -62,3 +62,9 @@ def test_sessions_open_at_the_end_come_out(spark, small):
     e = spark.read.parquet(f"{small}/job_events.parquet").withColumn("event_ts", F.col("event_ts").cast("timestamp"))
     want = e.groupBy("job_id", F.session_window("event_ts", "30 minutes").alias("w")).agg(F.count("*").alias("n")).select("job_id", F.col("w.start").alias("win_start"), F.col("w.end").alias("win_end"), "n")
     assert want.count() > 0 and sorted(got.select(want.columns).collect()) == sorted(want.collect())
+
+
+def test_roman_markers_are_listed(spark, tables):
+    sf = tables("documents", [{"doc_id": 1, "text": "ii) dois\n- ponto\niv. quatro\n3) três\nsem marca"}])
+    got = sorted(tuple(r) for r in document_queries.QUERIES["list_markers"](spark, sf).collect())
+    assert got == [(1, 0, "ii)", True), (1, 1, "-", False), (1, 2, "iv.", True), (1, 3, "3)", True)]
