@@ -1,8 +1,8 @@
 """Problem 9: documents packed into containers of a fixed token capacity.
 
 Shortest-pack-first over the histogram of lengths: lengths are placed from
-the longest down, each into the open pattern with the least room that still
-takes it, and only *counts of patterns* are updated, so planning costs the
+the longest down, each into the open pattern with the most room (the shortest
+pack), and only *counts of patterns* are updated, so planning costs the
 same for a thousand or a billion documents. Patterns then meet documents
 again by (length, rank).
 
@@ -37,7 +37,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[Run]:
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         while left > 0:
-            room = next((r for r in range(length, capacity) if open_.get(r)), None)
+            room = next((r for r in range(capacity - 1, length - 1, -1) if open_.get(r)), None)
             if room is None:
                 per = max(1, capacity // length)
                 full, rest = divmod(left, per)

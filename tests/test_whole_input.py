@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from foliospark.llm import packing
 from foliospark.operators import quality
 from foliospark.plans import document_queries, stream_queries
 
@@ -68,3 +69,7 @@ def test_roman_markers_are_listed(spark, tables):
     sf = tables("documents", [{"doc_id": 1, "text": "ii) dois\n- ponto\niv. quatro\n3) três\nsem marca"}])
     got = sorted(tuple(r) for r in document_queries.QUERIES["list_markers"](spark, sf).collect())
     assert got == [(1, 0, "ii)", True), (1, 1, "-", False), (1, 2, "iv.", True), (1, 3, "3)", True)]
+
+
+def test_a_length_goes_into_the_shortest_pack():
+    assert {r.pattern for r in packing.plan({7: 1, 6: 1, 2: 1}, 10)} == {((7, 1),), ((6, 1), (2, 1))}
