@@ -39,8 +39,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, counts, pages = _lookalike_parts(spark, sf_dir)
-    return lookalikes.normalize(rows.distinct(), counts, pages)
+    """Encodings are restored first: look-alike forms of garbled characters could not be decoded any more."""
+    spans = mojibake.restore(_span_rows(table(spark, sf_dir, "spans")).distinct())
+    rows = spans.unionByName(_word_rows(table(spark, sf_dir, "words")).distinct())
+    return lookalikes.normalize(rows, lookalikes.corpus_counts(rows.select("text")), lookalikes.page_scripts(rows))
 
 
 def _personal_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
