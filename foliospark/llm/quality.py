@@ -1,26 +1,36 @@
 """Problem 10: per-document text statistics, and which documents are not prose.
 
-Every statistic is a native expression over the whole text.  Per language the
-mean and covariance of prose are estimated robustly: starting from documents
-of plain shape, documents far from the current estimate are left out and the
-estimate is made again (concentration steps).  A document's distance from the
-prose of its language is its Mahalanobis distance over all statistics; the
-part each statistic has in the squared distance is reported, and the parts say
-what kind of outlier it is: list, table or junk.  An outlier counts as a list
-or table only if most of its text is.
-
-Statistics of short texts are noisy, so each is drawn towards the language's
-mean by PRIOR_WORDS words; languages with few documents lean on their script
-and all languages together by PRIOR_DOCS documents.
+Per language the mean and covariance of prose are estimated robustly: starting
+from documents of plain shape, documents far from the current estimate are
+left out and the estimate is made again, until it no longer moves
+(concentration steps).  A document's distance from the prose of its language
+is its Mahalanobis distance over all statistics; the part each statistic has
+in the squared distance is reported, and the parts say what kind of outlier it
+is: list, table or junk.  An outlier counts as a list or table only if most of
+its text is.
+
+The statistics of a text are taken in one pass over Arrow batches: characters
+by a histogram, tokens by their remembered shape, lines one by one.  Native
+higher-order functions run the same tests interpreted for every token and cost
+six times as much.
+
+Languages are whatever the rows say (two-letter codes); missing ones are
+guessed from script and frequent words.  A language without a list of frequent
+words is not measured by their share.  Statistics of short texts are noisy, so
+each is drawn towards the language's mean by PRIOR_WORDS words; languages with
+few documents lean on all languages together by PRIOR_DOCS documents.
 
 Defined results: null, empty and blank texts have 0 words, null distances and
-class prose; equal texts get equal results; the language is the given one, or
-where it is missing the one whose frequent words the text holds most.
+class prose; equal texts get equal results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,105 +40,176 @@ FEATURES = ["common_share", "wordlike_share", "symbol_share", "punct_line_share"
 PRIOR_WORDS = 12.0
 PRIOR_DOCS = 30.0
 RIDGE = 4e-4
-STEPS = 2
+SETTLED = 1e-3
 KEEP_BELOW = 20.0
 OUTLIER_ABOVE = 45.0
-GROUPS = ["pt", "en", "es", "fr", "de", "ru", "el", "hi", "ar", "zh", "ja", "th", "xx"]
-
-# Shapes of lines and words.
-MARKER = "^\\s*(?:[-*+•–·◦▪‣]|\\(?\\d{1,3}[.)]|\\(?\\p{L}[.)]|\\(?[ivxIVX]{1,5}[.)])\\s+\\S"
-INNER_STOP = "[.!?…]['\"”»)]*\\s+\\p{Lu}|[。！？।]."
-END = "[.!?…。！？।؟;:]['\"”“»)」』\\]]*\\s*$"
-STOP = "[.!?…。！？।؟](?=['\"”“»)」』\\s]|$)"
-WORD = "^[(\\[\"“”«„¿¡'‘>#*_]*[\\p{L}\\p{M}]++(?:[-’'./]?[\\p{L}\\p{M}]++)*+[.ºª]?[.,;:!?)\\]\"”“»…'’*_]*$"
-NUMBER = "^[(\\[+§$€£R*_]*\\d[\\d.,/:%ºª°²()\\-–x]*[.,;:!?)\\]\"”»…*_]*$|^[§$€£&–—=|#>*%_\\-]+$|^R\\$$|^[\\p{L}\\d._+\\-]+@[\\p{L}\\d.\\-]+$|^\\p{L}?m²[.,;]?$|^[A-Z]{1,3}\\d{4,}[.,;)]*$"
-
 
-def _lines(text: Column) -> Column:
-    return F.filter(F.split(text, "\\r\\n|\\r|\\n"), lambda x: x.rlike("\\S"))
+# Shapes of lines and words; white space is ASCII, digits are ASCII.
+S_ = " \\t\\n\\x0b\\f\\r"
+MARKER = rf"[{S_}]*(?:[-*+•–·◦▪‣]|\(?[0-9]{{1,3}}[.)]|\(?\p{{L}}[.)]|\(?[ivxIVX]{{1,5}}[.)])[{S_}]+[^{S_}]"
+INNER_STOP = rf"[.!?…]['\"”»)]*[{S_}]+\p{{Lu}}|[。！？।]."
+END = rf"[.!?…。！？।؟;:]['\"”“»)」』\]]*[{S_}]*$"
+STOP = rf"[.!?…。！？।؟](?=['\"”“»)」』{S_}]|$)"
+CLOSED = rf"[.!?…。！？।؟]['\"”»)]*[{S_}]*$"
+SENTENCE_END = rf"[!?…]['\"”»)]*[{S_}]*$|\p{{L}}{{2}}\.['\"”»)]*[{S_}]*$"
+ABBREVIATED = rf"[{S_}]*\(?[A-Za-z0-9_]{{1,4}}\.[{S_}]"
+WORD = r"[(\[\"“”«„¿¡'‘>#*_]*[\p{L}\p{M}]++(?:[-’'./]?[\p{L}\p{M}]++)*+[.ºª]?[.,;:!?)\]\"”»…'’*_]*$"
+NUMBER = r"[(\[+§$€£R*_]*[0-9][0-9.,/:%ºª°²()\-–x]*[.,;:!?)\]\"”»…*_]*$|[§$€£&–—=|#>*%_\-]+$|R\$$|[\p{L}0-9._+\-]+@[\p{L}0-9.\-]+$|\p{L}?m²[.,;]?$|[A-Z]{1,3}[0-9]{4,}[.,;)]*$"
+ODD = r"\p{Ll}\p{Lu}|�|\p{L}[0-9]|[0-9]\p{L}"
+VOWEL = "[aeiouyAEIOUYàáâãäåæèéêëìíîïòóôõöøùúûüýÿœàáâãäèéêëìíîïòóôõöùúûüąęėįųūāēīőűăıůÀÁÂÃÄÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜ]"
+PLAIN_SIGNS = set(".,;:!?…()'\"“”‘’«»„¿¡。、，！？：；「」।؟-–—%ºª²°§$€£/>#*@\u200d\ufe0f")
+HEAVY_SIGNS = set("§$€£/>#*@%")
+DENSE_SIGNS = set("。、，！？「」“”：0123456789")
+DENSE = ("zh", "ja", "th")
+SCRIPTS = [("th", r"\p{Thai}"), ("ja", r"[\p{Hiragana}\p{Katakana}]"), ("zh", r"\p{Han}"), ("hi", r"\p{Devanagari}"), ("ar", r"\p{Arabic}"), ("ru", r"\p{Cyrillic}"), ("el", r"\p{Greek}")]
+
+MEASURED = "lang_group string, listed_language boolean, word_count int, mean_word_len double, line_count int, symbol_share double, punct_line_share double, common_share double, wordlike_share double, log_word_len double, distinct_share double, list_share double, table_share double, evidence double"
+NAMES = [c.split(" ")[0] for c in MEASURED.split(", ")]
+
+
+class Meter:
+    """Statistics of one text after another; built once per Python worker."""
+
+    def __init__(self, common: dict[str, list[str]]) -> None:
+        import regex
+
+        self.common = {g: frozenset(ws) for g, ws in common.items()}
+        self.preferred = {g: i for i, g in enumerate(("pt", "es", "en", "fr", "de"))}
+        c = regex.compile
+        self.word, self.number, self.good, self.odd, self.vowel, self.latin3 = c(r"(?:\p{L}\p{M}*)+"), c(NUMBER), c(WORD), c(ODD), c(VOWEL), c("[a-zA-Z]{3}")
+        self.lines, self.end, self.stop, self.closed, self.inner = c(r"\r\n|\r|\n"), c(END), c(STOP), c(CLOSED), c(INNER_STOP)
+        self.marker, self.sentence_end, self.abbreviated = c(MARKER), c(SENTENCE_END), c(ABBREVIATED)
+        self.semi, self.gap = c(rf";(?=[^{S_}])|;$"), c(rf"[^{S_}] {{3,}}(?=[^{S_}])")
+        self.scripts = [(g, c(p)) for g, p in SCRIPTS]
+        self.letter = c(r"[\p{L}\p{M}\p{N}\U0001F000-\U0001FAFF☀-➿]")
+        self.dense = c(r"[\p{L}\p{M}]")
+        self.tokens: dict[str, int] = {}
+        self.chars: dict[str, tuple[int, int, int, int, str]] = {}
+
+    def char(self, ch: str) -> tuple[int, int, int, int, str]:
+        """(is no space, is a symbol, is a heavy sign, is writing without spaces, script)."""
+        black = not ch.isspace()
+        symbol = ch not in " \t\n\x0b\f\r" and ch not in PLAIN_SIGNS and not self.letter.match(ch)
+        script = next((g for g, p in self.scripts if p.match(ch)), "")
+        out = self.chars[ch] = (int(black), int(symbol), int(ch in HEAVY_SIGNS), int(ch in DENSE_SIGNS or bool(self.dense.match(ch))), script)
+        return out
+
+    def token(self, t: str) -> int:
+        """0 number or sign, 1 word-like, 2 neither."""
+        if self.number.match(t):
+            k = 0
+        else:
+            k = 1 if len(t) <= 40 and self.good.match(t) and not self.odd.search(t) and (not self.latin3.search(t) or self.vowel.search(t)) else 2
+        if len(self.tokens) > 400_000:  # a memory of seen tokens, no limit of the result
+            self.tokens.clear()
+        self.tokens[t] = k
+        return k
+
+    def guess(self, n_chars: int, scripts: dict[str, int], words: list[str]) -> str:
+        for g, _ in SCRIPTS:
+            if scripts.get(g, 0) * 3 > n_chars:
+                return g
+        seen = Counter(words)
+        hits = [(sum(n for w, n in seen.items() if w in ws), -self.preferred.get(g, 99), g) for g, ws in self.common.items() if g not in dict(SCRIPTS)]
+        best = max(hits, default=(0, 0, ""))
+        return best[2] if best[0] else "xx"
+
+    def measure(self, text: str, given: str) -> tuple:
+        black = symbols = heavy = writing = 0
+        scripts: dict[str, int] = {}
+        known = self.chars
+        for ch, n in Counter(text).items():
+            b, s, h, d, script = known.get(ch) or self.char(ch)
+            black += b * n
+            symbols += s * n
+            heavy += h * n
+            writing += d * n
+            if script:
+                scripts[script] = scripts.get(script, 0) + n
+        words = self.word.findall(text.lower())
+        n_words, word_chars = len(words), sum(map(len, words))
+        lang = given if len(given) == 2 and given.isascii() and given.isalpha() and given not in ("un", "xx") else self.guess(len(text), scripts, words)
+        dense = lang in DENSE
+        listed_language = lang in self.common
+        common = self.common.get(lang, frozenset())
+        own = sum(w in common for w in words) if common else 0
+        tokens = text.split()
+        shapes = self.tokens
+        plain = good = 0
+        for t in tokens:
+            k = shapes.get(t)
+            if k is None:
+                k = self.token(t)
+            if k:
+                plain += 1
+                good += k == 1
+        if dense:
+            wordlike = writing / black if black else 0.0
+        else:
+            wordlike = good / plain if plain else 1.0
+        lines = [x for x in self.lines.split(text) if x.strip(" \t\n\x0b\f\r")]
+        lens = [len(x) for x in lines]
+        total, n_lines = float(sum(lens)), len(lines)
+        table = max(self.regular(lines, lens, f) for f in (self.pipes, self.tabs, self.semis, self.gaps)) / total if total else 0.0
+        flowing = (len(self.stop.findall(text)) - sum(self.abbreviated.match(x) is not None for x in lines)) * 60 > n_words
+        loose = not flowing and not dense and n_lines >= 3
+        listed = sum(n for x, n in zip(lines, lens) if self.item(x, n, loose))
+        punct = sum(self.end.search(x) is not None for x in lines)
+        mean = word_chars / n_words if n_words else None
+        distinct = 1.0 if dense or not n_words else min(1.0, len(set(words)) / min(n_words, 25))
+        symbol_share = (symbols + max(0.0, heavy - black / 25)) / black if black else 0.0
+        return (
+            lang, listed_language, n_words, mean, n_lines, symbol_share, punct / n_lines if n_lines else 0.0, own / n_words if n_words else 0.0,
+            wordlike, float(np.log(mean)) if mean else 0.0, distinct, listed / total if total else 0.0, table, black / 3 if dense else float(max(n_words, len(tokens))),
+        )
+
+    def item(self, x: str, n: int, loose: bool) -> bool:
+        marked = n < 140 and self.marker.match(x) and not self.inner.search(x) and not self.sentence_end.search(x)
+        return bool(marked) or (loose and n < 85 and not self.closed.search(x) and not self.inner.search(x))
+
+    @staticmethod
+    def pipes(x: str) -> int:
+        return x.count("|")
+
+    @staticmethod
+    def tabs(x: str) -> int:
+        return x.count("\t")
+
+    def semis(self, x: str) -> int:
+        return len(self.semi.findall(x)) if ";" in x else 0
+
+    def gaps(self, x: str) -> int:
+        return len(self.gap.findall(x)) if "   " in x else 0
+
+    @staticmethod
+    def regular(lines: list[str], lens: list[int], count) -> int:
+        """Characters in lines with the usual number of one separator."""
+        if len(lines) < 2:
+            return 0
+        per = [count(x) for x in lines]
+        mid = sorted(per)[len(per) // 2]
+        return sum(n for c, n in zip(per, lens) if c == mid) if mid else 0
 
 
-def _share(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, part / whole).otherwise(0.0)
+def statistics(docs: DataFrame, common: dict[str, list[str]], key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """(key, lang_group, word_count, mean_word_len, symbol_share, punct_line_share, common_share and further statistics) of every row."""
 
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        meter = Meter(common)
+        for pdf in batches:
+            rows = pd.DataFrame([meter.measure(t, g) for t, g in zip(pdf["__t"], pdf["__g"])], columns=NAMES)
+            rows.insert(0, key, pdf[key].values)
+            yield rows
 
-def _let(value: Column, body) -> Column:
-    """Bind value once: inside a lambda it would be computed for every element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    given = F.lower(F.substring(F.coalesce(F.col(lang), F.lit("")), 1, 2))
+    rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("__t"), given.alias("__g"))
+    return rows.mapInPandas(measured, f"{key} {docs.schema[key].dataType.simpleString()}, {MEASURED}")
 
 
 def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("double"), lambda a, x: a + x)
 
 
-def _median(values: Column) -> Column:
-    return F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int"))
-
-
-def statistics(docs: DataFrame, common: dict[str, list[str]], key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(key, lang_group, word_count, mean_word_len, symbol_share, punct_line_share, common_share and further statistics) of every row."""
-    d = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("t"), F.lower(F.substring(F.coalesce(F.col(lang), F.lit("")), 1, 2)).alias("given"))
-    d = d.withColumn("tokens", F.filter(F.split("t", "(?U)\\s+"), lambda x: x != "")).withColumn("lines", _lines(F.col("t")))
-    d = d.withColumn("words", F.transform(F.regexp_extract_all(F.lower("t"), F.lit("(?:\\p{L}\\p{M}*)+"), F.lit(0)), lambda w: w))
-    known = [g for g in GROUPS if g != "xx"]
-    arrays = {g: F.array(*[F.lit(w) for w in common.get(g, [])]).cast("array<string>") for g in known}
-
-    def held(a: Column) -> Column:
-        return F.size(F.filter("words", lambda w: F.array_contains(a, w)))
-
-    hits = {g: held(a) for g, a in arrays.items()}
-    scripts = [("th", "\\p{IsThai}"), ("ja", "[\\p{IsHiragana}\\p{IsKatakana}]"), ("zh", "\\p{IsHan}"), ("hi", "\\p{IsDevanagari}"), ("ar", "\\p{IsArabic}"), ("ru", "\\p{IsCyrillic}"), ("el", "\\p{IsGreek}")]
-    latin = ["pt", "es", "en", "fr", "de"]
-    best = F.array_max(F.array(*[F.struct(hits[g].alias("n"), F.lit(-i).alias("i")) for i, g in enumerate(latin)]))
-    guess = F.lit(None).cast("string")
-    for g, p in reversed(scripts):
-        guess = F.when(F.regexp_count("t", F.lit(p)) * 3 > F.char_length("t"), g).otherwise(guess)
-    guess = F.coalesce(guess, F.when(best["n"] > 0, F.get(F.array(*map(F.lit, latin)), -best["i"])), F.lit("xx"))
-    d = d.withColumn("lang_group", F.when(F.col("given").isin(known), F.col("given")).otherwise(guess))
-    own = F.lit(0)
-    for g in known:
-        own = F.when(F.col("lang_group") == g, hits[g]).otherwise(own)
-    chars = F.char_length(F.regexp_replace("t", "(?U)\\s", ""))
-    n_lines, n_words = F.size("lines"), F.size("words")
-    plain = F.filter("tokens", lambda x: ~x.rlike(NUMBER))
-    has_vowel = lambda x: ~x.rlike("[a-zA-Z]{3}") | x.rlike("(?i)[aeiouyàáâãäèéêëìíîïòóôõöùúûü]")
-    odd = lambda x: (F.char_length(x) > 40) | x.rlike("\\p{Ll}\\p{Lu}|[\\x{100}-\\x{24F}&&[^ŒœŠšŸŽž]]|\\x{FFFD}|\\p{L}\\d|\\d\\p{L}")
-    dense = F.col("lang_group").isin("zh", "ja", "th")
-    good = F.size(F.filter(plain, lambda x: x.rlike(WORD) & has_vowel(x) & ~odd(x)))
-    wordlike = F.when(dense, _share(F.regexp_count("t", F.lit("\\p{L}|\\p{M}|[。、，！？「」“”：]|\\d")), chars)).otherwise(F.when(F.size(plain) > 0, good / F.size(plain)).otherwise(F.lit(1.0)))
-    lens = F.transform("lines", lambda x: F.char_length(x).cast("double"))
-
-    counts = {"pipe": "\\|", "tab": "\\t", "semi": ";(?=\\S)|;$", "gap": "\\S {3,}(?=\\S)"}
-
-    def regular(p: str) -> Column:
-        """Share of the text in lines with the usual number of one separator."""
-        per = F.transform("lines", lambda x: F.regexp_count(x, F.lit(p)))
-        same = lambda arr, mid: F.zip_with(arr, "lines", lambda c, x: F.when(c == mid, F.char_length(x)).otherwise(0).cast("double"))
-        share = lambda arr: _let(_median(arr), lambda mid: F.when((mid >= 1) & (F.size(arr) > 1), _total(same(arr, mid))).otherwise(0.0))
-        return _share(_let(per, share), _total(lens))
-
-    table = F.greatest(*[regular(p) for p in counts.values()])
-    stops = F.regexp_count("t", F.lit(STOP))
-    flowing = (stops - F.aggregate("lines", F.lit(0), lambda a, x: a + x.rlike("^\\s*\\(?\\w{1,4}\\.\\s").cast("int"))) * 60 > n_words
-    short = lambda x: (F.char_length(x) < 85) & ~x.rlike("[.!?…。！？।؟]['\"”»)]*\\s*$") & ~x.rlike(INNER_STOP)
-    item = lambda x, loose: (x.rlike(MARKER) & (F.char_length(x) < 140) & ~x.rlike(INNER_STOP) & ~x.rlike("[!?…]['\"”»)]*\\s*$|\\p{L}{2}\\.['\"”»)]*\\s*$")) | (loose & short(x))
-    loose = ~flowing & ~dense & (n_lines >= 3)
-    listed = _share(_let(loose, lambda lo: _total(F.transform("lines", lambda x: F.when(item(x, lo), F.char_length(x)).otherwise(0).cast("double")))), _total(lens))
-    word_chars = F.aggregate("words", F.lit(0), lambda a, x: a + F.char_length(x))
-    symbols = F.regexp_count("t", F.lit("[^\\p{L}\\p{M}\\p{N}\\s.,;:!?…()'\"“”‘’«»„¿¡。、，！？：；「」।؟\\-–—%ºª²°§$€£/>#*\\x{1F000}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{200D}\\x{FE0F}@]"))
-    heavy = F.regexp_count("t", F.lit("[§$€£/>#*@%]"))
-    return d.select(
-        F.col(key), "lang_group", n_words.alias("word_count"), F.when(n_words > 0, word_chars / n_words).alias("mean_word_len"), n_lines.alias("line_count"),
-        _share(symbols + F.greatest(F.lit(0), heavy - chars / 25), chars).alias("symbol_share"),
-        _share(F.aggregate("lines", F.lit(0), lambda a, x: a + x.rlike(END).cast("int")).cast("double"), n_lines).alias("punct_line_share"),
-        _share(own, n_words).alias("common_share"), wordlike.cast("double").alias("wordlike_share"),
-        F.when(n_words > 0, F.log(word_chars / n_words)).otherwise(F.lit(0.0)).alias("log_word_len"),
-        F.when(dense | (n_words == 0), 1.0).otherwise(F.least(F.lit(1.0), F.size(F.array_distinct("words")) / F.least(n_words, F.lit(25)))).alias("distinct_share"),
-        listed.alias("list_share"), table.alias("table_share"),
-        F.greatest(F.when(dense, chars / 3).otherwise(F.greatest(n_words, F.size("tokens"))), F.lit(0)).cast("double").alias("evidence"),
-    )
-
-
 def _moments(stats: DataFrame) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:
     """lang_group -> (documents, mean, covariance); one row per language reaches the driver."""
     cross = [F.sum(F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(FEATURES) for j, b in enumerate(FEATURES) if i <= j]
@@ -145,7 +226,7 @@ def _moments(stats: DataFrame) -> dict[str, tuple[float, np.ndarray, np.ndarray]
 Estimate = dict[str, tuple[np.ndarray, np.ndarray]]
 
 
-def _estimate(sample: DataFrame) -> Estimate:
+def _estimate(sample: DataFrame, groups: list[str]) -> Estimate:
     """lang_group -> (mean, inverse covariance), leaning on all languages where documents are few."""
     moments = _moments(sample)
     total = sum(n for n, _, _ in moments.values()) or 1.0
@@ -153,7 +234,7 @@ def _estimate(sample: DataFrame) -> Estimate:
     pooled = sum((n * c for n, _, c in moments.values()), np.zeros((k, k))) / total
     centre = sum((n * m for n, m, _ in moments.values()), np.zeros(k)) / total
     out: Estimate = {}
-    for g in GROUPS:
+    for g in groups:
         n, mean, cov = moments.get(g, (0.0, centre, pooled))
         spread = 0.0
         if n < 5:  # a mean of a few documents says little
@@ -170,8 +251,9 @@ def _distance(stats: DataFrame, est: Estimate) -> DataFrame:
     params = stats.sparkSession.createDataFrame(rows, "lang_group string, __m array<double>, __v array<double>")
     # the evidence of a short text is small: its deviation is drawn towards 0
     weight = F.col("evidence") / (F.col("evidence") + PRIOR_WORDS)
-    joined = stats.join(F.broadcast(params), "lang_group")  # one row for each of the fixed groups
-    dev = joined.withColumn("__d", F.transform(F.array(*FEATURES), lambda x, i: (x - F.get("__m", i)) * weight))
+    joined = stats.join(F.broadcast(params), "lang_group")  # one row per two-letter code
+    parts = [F.when(F.col("listed_language"), F.col(f) - F.get("__m", F.lit(i))).otherwise(0.0) if f == "common_share" else F.col(f) - F.get("__m", F.lit(i)) for i, f in enumerate(FEATURES)]
+    dev = joined.withColumn("__d", F.array(*[p * weight for p in parts]))
     row = lambda i: _total(F.zip_with(F.slice("__v", i * k + 1, F.lit(k)), "__d", lambda a, b: a * b))
     return dev.withColumn("parts", F.transform("__d", lambda x, i: x * row(i))).withColumn("d2", _total(F.col("parts"))).drop("__m", "__v", "__d")
 
@@ -181,16 +263,23 @@ def report(docs: DataFrame, common: dict[str, list[str]], key: str = "doc_id", t
     docs = spread(docs.select(key, text, lang), key)
     stats = cut(statistics(docs, common, key, text, lang))
     prose = stats.where("evidence >= 5 and list_share < 0.3 and table_share < 0.3 and wordlike_share > 0.8 and symbol_share < 0.1 and distinct_share > 0.4")
-    est = _estimate(prose)
-    for _ in range(STEPS):
-        est = _estimate(_distance(prose, est).where(F.col("d2") < KEEP_BELOW))
+    groups = [r["lang_group"] for r in stats.select("lang_group").distinct().collect()]  # at most one per two-letter code
+    est = _estimate(prose, groups)
+    while True:
+        new = _estimate(_distance(prose, est).where(F.col("d2") < KEEP_BELOW), groups)
+        moved = max((float(np.abs(new[g][0] - est[g][0]).max()) for g in groups), default=0.0)
+        est = new
+        if moved < SETTLED:
+            break
+    if not groups:
+        est = _estimate(prose, ["xx"])
     far = _distance(stats, est)
     part = {f: F.get("parts", F.lit(i)) for i, f in enumerate(FEATURES)}
     blank = F.col("evidence") == 0
     noise = part["wordlike_share"] + part["symbol_share"] + part["common_share"] + part["distinct_share"] + part["log_word_len"]
     table = (part["table_share"] >= F.greatest(part["list_share"], F.lit(1.0))) & (F.col("table_share") > 0.5)
     listed = (part["list_share"] > 1.0) & (F.col("list_share") > 0.5) & (F.col("distinct_share") > 0.3)
-    unlike = (F.col("wordlike_share") < 0.5) | (F.col("symbol_share") > 0.3) | (F.col("distinct_share") < 0.45) | (F.col("common_share") == 0)
+    unlike = (F.col("wordlike_share") < 0.5) | (F.col("symbol_share") > 0.3) | (F.col("distinct_share") < 0.45) | ((F.col("common_share") == 0) & F.col("listed_language"))
     kind = F.when(blank | (F.col("d2") <= OUTLIER_ABOVE), "prose").when(table, "table").when(listed & ~(F.col("wordlike_share") < 0.5), "list").when((noise > OUTLIER_ABOVE / 3) & unlike & (F.col("evidence") >= 5), "junk").otherwise("prose")
     return far.select(
         F.col(key), "lang_group", "word_count", "mean_word_len", "line_count", *[f for f in FEATURES if f != "log_word_len"],
