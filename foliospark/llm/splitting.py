@@ -18,6 +18,8 @@ that fits; equal rows count once; a null seq sorts first.
 from __future__ import annotations
 
 import heapq
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,29 +30,32 @@ STRETCH = 4096
 STRETCH_SLACK = 64
 
 
+def _check(limit: int, overlap: int) -> None:
+    if not 0 <= overlap < limit:
+        raise ValueError(f"overlap {overlap} must be at least 0 and below the limit {limit}")
+
+
 def merge_segments(sizes: list[int], strengths: list[float], limit: int, overlap: int) -> list[tuple[int, int]]:
     """Half-open ranges of segments. strengths[i] is the boundary between segments i and i + 1."""
-    n = len(sizes)
-    size, nxt, prev, alive = list(sizes), list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-    heap = [(strengths[i], size[i] + size[i + 1], i, i + 1) for i in range(n - 1)]
+    n, room = len(sizes), limit - overlap
+    size, nxt, prev = list(sizes), list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(strengths[i], size[i] + size[i + 1], i) for i in range(n - 1) if size[i] + size[i + 1] <= room]
     heapq.heapify(heap)
+    pop, push = heapq.heappop, heapq.heappush
     while heap:
-        strength, total, a, b = heapq.heappop(heap)
-        if not (alive[a] and b < n and alive[b] and nxt[a] == b):
-            continue
-        if size[a] + size[b] != total:
-            heapq.heappush(heap, (strength, size[a] + size[b], a, b))
+        strength, total, a = pop(heap)
+        b = nxt[a]
+        if b >= n or strengths[b - 1] != strength or size[a] + size[b] != total:  # one side has grown since
             continue
-        if total + overlap > limit:
-            continue
-        size[a] = total
-        alive[b] = False
-        nxt[a] = nxt[b]
-        if nxt[b] < n:
-            prev[nxt[b]] = a
-            heapq.heappush(heap, (strengths[nxt[b] - 1], size[a] + size[nxt[b]], a, nxt[b]))
-        if prev[a] >= 0:
-            heapq.heappush(heap, (strengths[a - 1], size[prev[a]] + size[a], prev[a], a))
+        size[a], size[b] = total, -(limit + total) * 2
+        c, p = nxt[b], prev[a]
+        nxt[a] = c
+        if c < n:
+            prev[c] = a
+            if total + size[c] <= room:
+                push(heap, (strengths[c - 1], total + size[c], a))
+        if p >= 0 and size[p] + total <= room:
+            push(heap, (strengths[a - 1], size[p] + total, p))
     out, i = [], 0
     while i < n:
         out.append((i, nxt[i]))
@@ -58,40 +63,52 @@ def merge_segments(sizes: list[int], strengths: list[float], limit: int, overlap
     return out
 
 
+ATOM = re.compile(r"\S+\s*|\s+")
+IDEOGRAPHIC = re.compile(r"[^。！？]+[。！？]*[”」』]?|[。！？]+[”」』]?")
+# Signs that end a sentence or clause, and marks that may follow them.
+STOPS, CLAUSES, AFTER_STOP = ".!?…。！？।؟", ";:,、，）)", "\"”»“)」』"
+
+
+def _strength(part: str) -> float:
+    """Strength of the boundary after an atom."""
+    word = part.rstrip()
+    gap = len(part) - len(word)
+    if gap and "\n" in (white := part[len(word) :]):
+        return 6.0 if white.count("\n") > 1 else 5.0
+    last = word[-1:]
+    if not last:
+        return 2.0 if gap else 1.0
+    if last in STOPS or (last in AFTER_STOP and word.rstrip(AFTER_STOP)[-1:] in STOPS_SET):
+        return 4.0
+    if last in CLAUSES:
+        return 3.0
+    return 2.0 if gap else 1.0
+
+
+STOPS_SET = set(STOPS)
+
+
 def text_segments(text: str, room: int) -> tuple[list[int], list[float]]:
     """Sizes of a text's atoms and the strength of each boundary: 1 inside a word, 2 space, 3 clause, 4 sentence, 5 line, 6 paragraph."""
-    import regex as re
-
     sizes, strengths = [], []
-    for m in re.finditer(r"\S+\s*|\s+|[。！？、，]", text):
-        atom = m[0]
+    dense = "。" in text or "！" in text or "？" in text
+    for atom in ATOM.findall(text):
         while len(atom) > room:
             at = room
-            while at > room // 2 and re.match(r"\p{M}|\p{Cf}", atom[at]):
+            while at > room // 2 and unicodedata.category(atom[at]) in ("Mn", "Mc", "Me", "Cf"):
                 at -= 1
             sizes.append(at)
             strengths.append(1.0)
             atom = atom[at:]
-        parts = re.findall(r"[^。！？]+[。！？]*[”」』]?|[。！？]+[”」』]?", atom) if re.search(r"[。！？].", atom) else [atom]
-        for part in parts:
+        for part in IDEOGRAPHIC.findall(atom) if dense else (atom,):
             sizes.append(len(part))
-            word, gap = part.rstrip(), part[len(part.rstrip()) :]
-            if gap.count("\n") > 1:
-                s = 6.0
-            elif "\n" in gap:
-                s = 5.0
-            elif re.search(r"[.!?…。！？।؟][\"”»“)」』]*$", word):
-                s = 4.0
-            elif re.search(r"[;:,、，）)]$", word):
-                s = 3.0
-            else:
-                s = 2.0 if gap else 1.0
-            strengths.append(s)
+            strengths.append(_strength(part))
     return sizes, strengths[:-1]
 
 
 def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     """Half-open character ranges of the pieces, each at most limit, consecutive ones sharing overlap characters."""
+    _check(limit, overlap)
     if len(text) <= limit:
         return [(0, len(text))]
     sizes, strengths = text_segments(text, limit - overlap)
@@ -104,6 +121,8 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
 def text_pieces(blocks: DataFrame, limit: int, overlap: int) -> DataFrame:
     """(doc_id, block_id, piece_no, start_at, end_at, piece) of every text longer than limit."""
 
+    _check(limit, overlap)
+
     def cut_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(d, b, i, s, e, t[s:e]) for d, b, t in zip(pdf["doc_id"], pdf["block_id"], pdf["text"]) for i, (s, e) in enumerate(split_text(t, limit, overlap))]
@@ -123,6 +142,7 @@ def block_pieces(blocks: DataFrame, limit: int, overlap: int) -> DataFrame:
     """(doc_id, piece_no, start_pos, end_pos, n_blocks) for files of more than limit blocks; page breaks do not count.
 
     Positions are 0-based in reading order, end exclusive; consecutive pieces share overlap blocks."""
+    _check(limit, overlap)
     kept = blocks.where(F.coalesce("kind", F.lit("")) != "page_break").select("doc_id", "block_id", "seq", "kind", "level").distinct()
     long_ = kept.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("doc_id")
     rows = kept.join(long_, "doc_id").withColumn("seq", F.coalesce("seq", F.lit(0))).withColumn("strength", block_strength())
