@@ -7,13 +7,15 @@ does where it is unambiguous elsewhere in its document, then in the corpus,
 then the given table of abbreviations.  A token followed by small letters or
 commas is an abbreviation; one that also ends texts can end sentences; one
 that never ends a text although it is common can not.  Capitalised words seen
-inside sentences count as names, which keeps initials and names together.
+inside sentences, in the document or else in the corpus, count as names, which
+keeps initials and names together.
 
 Scripts have their own rules: ideographic and Indic stops, the Greek question
 mark, Arabic stops, spaces between Thai clauses.  Quoted and bracketed text
 never splits the sentence around it.
 
 Defined results: null and blank texts have no sentence; equal rows count once;
+null keys are keys like others, and two texts under one key are two texts;
 offsets count code points from 0.
 """
 
@@ -39,42 +41,43 @@ OPEN, CLOSE = "“„«「『‹", "”»」』›"
 SEPARATE = "。！？।॥"
 
 
+PAIRED = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "‹": "›", "(": ")", '"': '"', "（": "）", "[": "]"}
+TERMINAL = ".!?…؟" + SEPARATE
+LETTERS_SHORT = 6  # longer tokens need most of their occurrences as evidence
+
+
 def _scan():
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import regex as re
 
-        word_back = re.compile(r"(?:(?:(?<![\p{L}\p{M}])\p{L}\.){1,4})?[\p{L}\p{M}\p{N}@²³º\-]+$")
+        word_back = re.compile(r"(?r)(?:(?:(?<![\p{L}\p{M}])\p{L}\.){1,4})?[\p{L}\p{M}\p{N}@²³º\-]+$")
+        last_word = re.compile(r"(?r)\S+")
         word_next = re.compile(r"[\p{L}\p{M}\p{N}]+")
         word = re.compile(r"(?<![\p{L}\p{M}.@])\p{Lu}[\p{L}\p{M}]+")
         greek, thai = re.compile(r"\p{Greek}"), re.compile(r"(?<=\p{Thai})\s+(?=\p{Thai})")
+        opener, stop = re.compile(r'[“„«「『‹"(（\[]'), re.compile(rf"[{TERMINAL}۔]|[{TERMINAL}][”»」』›“\")）\]]|;")
+        ender = re.compile(rf"[{TERMINAL}]+")
         dotted = re.compile(r"(?<![\p{L}\p{M}\p{N}.@])((?:\p{L}[\p{M}]*\.)*\p{L}[\p{L}\p{M}]*)\.(?![.\p{L}\p{N}ªº])(\s*)(.?)", re.S)
 
         def guarded(text: str) -> tuple[bytearray, dict[int, int]]:
-            """Marks what stands in quotes or brackets; where each quote closes."""
+            """Marks what stands in quotes or brackets; where each quote closes. A bracket that does not close in its paragraph guards nothing."""
             inside, closes = bytearray(len(text)), {}
-            i, n = 0, len(text)
-            while i < n:
-                c = text[i]
-                if c in OPEN or c in '("（[':
-                    if c == "„":
-                        ends = "“”"
-                    elif c in OPEN:
-                        ends = CLOSE[OPEN.index(c) - (OPEN.index(c) > 1) if c != "“" else 0]
-                    else:
-                        ends = {"(": ")", '"': '"', "（": "）", "[": "]"}[c]
-                    js = [j for e in ends if (j := text.find(e, i + 1)) >= 0]
-                    if js:
-                        j = min(js)
-                    else:
-                        j = text.find("\n", i) if c in OPEN else i
-                        j = n - 1 if j < 0 else j
-                    if c in "([（" and j - i > 300:
+            n, at = len(text), 0
+            while m := opener.search(text, at):
+                i, c = m.start(), m[0]
+                js = [j for e in PAIRED[c] if (j := text.find(e, i + 1)) >= 0]
+                if js:
+                    j = min(js)
+                    if c in "([（" and "\n\n" in text[i:j]:
                         j = i
-                    for k in range(i, j):
-                        inside[k] = 1
-                    closes[j] = i
-                    i = j
-                i += 1
+                elif c in OPEN:
+                    j = text.find("\n", i)
+                    j = n - 1 if j < 0 else j
+                else:
+                    j = i
+                inside[i:j] = b"\1" * (j - i)
+                closes[j] = i
+                at = j + 1
             return inside, closes
 
         def places(text: str) -> list[tuple]:
@@ -82,24 +85,24 @@ def _scan():
             out = []
             n = len(text)
             inside, closes = guarded(text)
-            is_greek = bool(greek.search(text))
-            first = len(text) - len(text.lstrip())
+            is_greek = ";" in text and bool(greek.search(text))
+            first = n - len(text.lstrip())
             out.append((first, True, None, None, None, None))
             for m in thai.finditer(text):
                 if not inside[m.start()]:
                     out.append((m.end(), True, None, None, None, None))
-            i = 0
-            while i < n:
+            spots = {m.start() for m in stop.finditer(text)} | set(closes)
+            done = 0
+            for i in sorted(spots):
+                if i < done:
+                    continue
                 c = text[i]
-                if inside[i] or not (c in ".!?…" or c in SEPARATE or c in "؟۔" or (c == ";" and is_greek and i and greek.match(text[i - 1])) or (i in closes and i and text[i - 1] in ".!?…؟" + SEPARATE)):
-                    if i in closes and i > 1 and text[i - 1] == " " and text[i - 2] in ".!?…":
-                        pass
-                    else:
-                        i += 1
+                if inside[i] or not (c in TERMINAL or c == "۔" or (c == ";" and is_greek and i and greek.match(text[i - 1])) or (i in closes and i and text[i - 1] in TERMINAL)):
+                    if not (i in closes and i > 1 and text[i - 1] == " " and text[i - 2] in ".!?…"):
                         continue
-                j = i + 1
-                while j < n and text[j] in ".!?…؟" + SEPARATE:
-                    j += 1
+                more = ender.match(text, i + 1)
+                j = more.end() if more else i + 1
+                done = j
                 run = text[i:j]
                 quoted = i in closes
                 k = j
@@ -109,51 +112,38 @@ def _scan():
                     break
                 nxt, gap = text[k], k > j
                 if nxt in SEPARATE or nxt in CLOSE or nxt in ")],;:":
-                    i = j
                     continue
                 if run[-1] in SEPARATE or (quoted and text[i - 1] in SEPARATE):
-                    if not quoted:
+                    if not quoted or "\n" in text[j:k]:
                         out.append((k, True, None, None, None, None))
-                    elif "\n" in text[j:k]:
-                        out.append((k, True, None, None, None, None))
-                    i = j
                     continue
                 caseless = nxt.isalpha() and not nxt.isupper() and not nxt.islower()
                 kind = "D" if nxt.isdigit() else "U" if nxt.isupper() or caseless else "L" if nxt.islower() else "Q"
                 if kind == "L" or (kind == "Q" and (nxt in "-–—/%°ªº²&=_" or not gap and nxt not in OPEN + "¿¡§") and not (nxt in "–—-" and "\n" in text[j:k])):
-                    i = j
                     continue
                 if not gap:
                     after = text[k + 1 : k + 2]
                     if kind == "D" or (kind == "U" and not (after.islower() or after.isspace() or caseless)):
-                        i = j
                         continue
                 if quoted or run != ".":
                     out.append((k, True, None, None, None, None))
-                    i = j
                     continue
-                back = word_back.search(text[max(0, i - 60) : i])
+                back = word_back.search(text, 0, i)
                 token = back[0].lstrip("-") if back else ""
                 if not gap and kind == "U" and len(token) == 1 and token.isalpha():
-                    i = j
                     continue
-                if not token or token[-1].isdigit() or "@" in token or len(token) > 6 or token[-1] in "²³º":
+                if not token or token[-1].isdigit() or "@" in token or token[-1] in "²³º":
                     out.append((k, True, None, None, None, None))
                 else:
-                    pre = text[max(0, i - len(token) - 30) : i - len(token)].split()
+                    pre = last_word.search(text, 0, i - len(token))
                     w = word_next.match(text, k)
-                    out.append((k, False, token, pre[-1].casefold() if pre else "", w[0] if w else "", kind))
-                i = j
+                    out.append((k, False, token, pre[0].casefold() if pre else "", w[0] if w else "", kind))
             return out
 
-        def evidence(text: str) -> dict[str, list[int]]:
-            """token -> [followed by small letter or comma, ends the text, other]; capitalised word -> [.., .., .., starts, inside]."""
-            out: dict[str, list[int]] = {}
+        def evidence(text: str, out: dict[str, list[int]]) -> None:
+            """Adds to token -> [followed by small letter or comma, ends the text, other]; ^capitalised word -> [.., .., .., starts, inside]."""
             for m in dotted.finditer(text):
-                t = m[1]
-                if len(t) > 6:
-                    continue
-                e = out.setdefault(t, [0, 0, 0, 0, 0])
+                e = out.setdefault(m[1], [0, 0, 0, 0, 0])
                 nxt = m[3]
                 if not nxt:
                     e[1] += 1
@@ -162,65 +152,88 @@ def _scan():
                 elif nxt not in "”»“)」":
                     e[2] += 1
             for m in word.finditer(text):
-                before = text[: m.start()][-3:].rstrip(" ")
+                i = m.start()
+                before = text[max(0, i - 3) : i].rstrip(" ")
                 if not before or before[-1] in "!?\n":
                     out.setdefault("^" + m[0], [0, 0, 0, 0, 0])[3] += 1
                 elif before[-1].islower() or before[-1] == ",":
                     out.setdefault("^" + m[0], [0, 0, 0, 0, 0])[4] += 1
-            return out
 
         for pdf in batches:
-            rows = []
-            for doc, block, text in zip(pdf["doc_id"], pdf["block_id"], pdf["text"]):
-                rows += [(doc, block, *p, 0, 0, 0, 0, 0) for p in places(text)]
-                rows += [(doc, None, None, None, t, None, None, None, *e) for t, e in evidence(text).items()]
-            yield pd.DataFrame(rows, columns=SCANNED_COLUMNS)
+            found: list[tuple] = []
+            seen: dict[str | None, dict[str, list[int]]] = {}
+            for doc, block, tid, text in zip(pdf["doc_id"], pdf["block_id"], pdf["tid"], pdf["text"]):
+                found += [(False, doc, block, tid, *p, 0, 0, 0, 0, 0) for p in places(text)]
+                evidence(text, seen.setdefault(doc, {}))
+            found += [(True, doc, None, 0, None, None, t, None, None, None, *e) for doc, tokens in seen.items() for t, e in tokens.items()]
+            yield pd.DataFrame(found, columns=SCANNED_COLUMNS)
 
     return scan
 
 
-SCANNED = "doc_id string, block_id string, start_at int, settled boolean, token string, before string, next string, kind string, low int, fin int, cap int, starts int, mid int"
+SCANNED = "evidence boolean, doc_id string, block_id string, tid bigint, start_at int, settled boolean, token string, before string, next string, kind string, low int, fin int, cap int, starts int, mid int"
 SCANNED_COLUMNS = [c.split(" ")[0] for c in SCANNED.split(", ")]
+PLACE = ["doc_id", "block_id", "tid", "start_at"]
 
 
-def starts(paragraphs: DataFrame, abbreviations: DataFrame) -> DataFrame:
-    """(doc_id, block_id, start_at): one row per sentence of paragraphs (doc_id, block_id, text).
+def _texts(paragraphs: DataFrame) -> DataFrame:
+    """Distinct texts; tid tells texts of one key apart."""
+    return paragraphs.where(F.col("text").rlike("(?U)\\S")).select("doc_id", "block_id", "text").distinct().withColumn("tid", F.xxhash64("text"))
 
-    abbreviations: (abbrev), a fixed table."""
-    texts = paragraphs.where(F.col("text").rlike("(?U)\\S")).select("doc_id", "block_id", "text").distinct()
+
+def _starts(texts: DataFrame, abbreviations: DataFrame) -> DataFrame:
     scanned = cut(texts.mapInPandas(_scan(), SCANNED))
-    places = scanned.where("block_id is not null")
-    settled = places.where("settled").select("doc_id", "block_id", "start_at")
+    places = scanned.where("not evidence")
+    settled = places.where("settled").select(*PLACE)
     sums = [F.sum(c).alias(c) for c in ("low", "fin", "cap", "starts", "mid")]
-    in_doc = cut(scanned.where("block_id is null").groupBy("doc_id", "token").agg(*sums))
-    corpus = cut(in_doc.groupBy("token").agg(*sums).withColumn("n", F.col("low") + F.col("fin") + F.col("cap") + F.col("starts") + F.col("mid")))
+    open_ = cut(places.where("not settled").select(*PLACE, "token", "before", "next", "kind"))
+    in_doc = cut(scanned.where("evidence").groupBy("doc_id", "token").agg(*sums))
+    corpus = in_doc.groupBy("token").agg(*sums).withColumn("n", F.col("low") + F.col("fin") + F.col("cap") + F.col("starts") + F.col("mid"))
+    # only tokens that are asked for are kept: the others are most of the corpus
+    asked = open_.select("token").unionByName(open_.select(F.concat(F.lit("^"), "next").alias("token"))).distinct()
+    corpus = cut(corpus.join(asked, "token", "left_semi"))
     listed = abbreviations.select(F.regexp_replace(F.regexp_replace(F.lower(F.col("abbrev")), "\\s", ""), "\\.$", "").alias("token")).where("token <> ''").withColumn("listed", F.lit(True)).distinct()
 
-    open_ = places.where("not settled").select("doc_id", "block_id", "start_at", "token", "before", "next", "kind")
-    own = in_doc.select("doc_id", "token", F.col("low").alias("doc_low"), F.col("fin").alias("doc_fin")).where("doc_low + doc_fin > 0 and token not like '^%'")
-    open_ = open_.join(own, ["doc_id", "token"], "left").na.fill(0, ["doc_low", "doc_fin"])
+    of_token = in_doc.where("token not like '^%' and low + fin > 0").select(F.col("doc_id").alias("__d"), F.col("token").alias("__t"), F.col("low").alias("doc_low"), F.col("fin").alias("doc_fin"))
+    open_ = open_.join(of_token, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("token") == F.col("__t")), "left").drop("__d", "__t").na.fill(0, ["doc_low", "doc_fin"])
+    of_next = in_doc.where("token like '^%' and mid > 0").select(F.col("doc_id").alias("__d"), F.expr("substring(token, 2)").alias("__t"), F.col("starts").alias("doc_starts"), F.col("mid").alias("doc_mid"))
+    open_ = open_.join(of_next, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("next") == F.col("__t")), "left").drop("__d", "__t").na.fill(0, ["doc_starts", "doc_mid"])
     stats = corpus.where("token not like '^%'").select("token", "n", "low", "fin", "cap")
-    open_ = lookup_join(open_, stats, "token", "n", "left").na.fill(0, ["low", "fin", "cap"]).drop("n")
+    open_ = lookup_join(open_, stats, "token", "n", "left").na.fill(0, ["low", "fin", "cap", "n"])
+    open_ = open_.withColumnRenamed("n", "n_token")
     words = corpus.where("token like '^%'").select(F.expr("substring(token, 2)").alias("next"), "n", F.col("starts").alias("w_starts"), F.col("mid").alias("w_mid"))
     open_ = lookup_join(open_, words, "next", "n", "left").na.fill(0, ["w_starts", "w_mid"])
-    open_ = open_.withColumn("__low", F.lower("token")).join(F.broadcast(listed.withColumnRenamed("token", "__low")), "__low", "left")  # a fixed table
+    open_ = open_.withColumn("__low", F.lower("token")).join(listed.withColumnRenamed("token", "__low"), "__low", "left")
 
     single = F.char_length("token") == 1
+    long_ = F.char_length("token") > LETTERS_SHORT
     known = F.coalesce("listed", F.lit(False)) | F.lower("token").isin(ABBREVIATIONS)
     never_final = (F.col("fin") == 0) & (F.col("cap") >= NEVER_FINAL_LEAST) & (F.char_length("token") <= 5)
-    abbreviation = known | (F.col("doc_low") > 0) | (F.col("low") >= 2) | never_final | F.col("token").isin(FINAL_CAPABLE)
+    mostly = (F.col("low") >= 2) & (F.col("low") * 2 > F.col("n_token"))  # long words end sentences; they need a majority
+    abbreviation = known | F.when(long_, mostly).otherwise((F.col("doc_low") > 0) | (F.col("low") >= 2) | never_final) | F.col("token").isin(FINAL_CAPABLE)
     ends = F.col("fin") + F.col("cap")
     final = F.when(ends >= NEVER_FINAL_LEAST, F.col("fin") >= FINAL_SHARE * ends).otherwise(F.col("token").isin(FINAL_CAPABLE) | ((F.col("doc_fin") > 0) & ~known))
     unit = F.col("before").isin(sorted(UNITS)) | F.col("before").rlike("\\d\\.?[ºª]$")
-    starter = (F.col("w_starts") > 3 * F.col("w_mid")) & (F.col("w_starts") > 0)
+    in_corpus = (F.col("w_starts") > 3 * F.col("w_mid")) & (F.col("w_starts") > 0)
+    starter = F.when(F.col("doc_mid") > 0, F.col("doc_starts") > 3 * F.col("doc_mid")).otherwise(in_corpus)
     boundary = F.when(single, unit | ((F.col("kind") == "U") & starter & ~known)).when(abbreviation, final).otherwise(F.lit(True))
-    return settled.unionByName(open_.where(boundary).select("doc_id", "block_id", "start_at")).distinct()
+    return settled.unionByName(open_.where(boundary).select(*PLACE)).distinct()
+
+
+def starts(paragraphs: DataFrame, abbreviations: DataFrame) -> DataFrame:
+    """(doc_id, block_id, start_at): one row per sentence of paragraphs (doc_id, block_id, text).
+
+    abbreviations: (abbrev), a fixed table."""
+    return _starts(_texts(paragraphs), abbreviations).drop("tid").distinct()
 
 
 def sentences(paragraphs: DataFrame, abbreviations: DataFrame) -> DataFrame:
     """(doc_id, block_id, sentence_no, start_at, end_at, sentence) in order, white space at the ends removed."""
-    found = starts(paragraphs, abbreviations).groupBy("doc_id", "block_id").agg(F.array_sort(F.collect_list("start_at")).alias("at"))
-    texts = paragraphs.select("doc_id", "block_id", "text").distinct().join(found, ["doc_id", "block_id"])
+    source = _texts(paragraphs)
+    key = ["doc_id", "block_id", "tid"]
+    found = _starts(source, abbreviations).groupBy(*key).agg(F.sort_array(F.collect_list("start_at")).alias("at")).select(*[F.col(c).alias(f"__{c}") for c in key], "at")
+    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("block_id").eqNullSafe(F.col("__block_id")) & (F.col("tid") == F.col("__tid"))
+    texts = source.join(found, same).drop(*[f"__{c}" for c in key])
     rows = texts.select("doc_id", "block_id", "text", F.posexplode("at").alias("sentence_no", "start_at"), "at")
     end = F.coalesce(F.get("at", F.col("sentence_no") + 1), F.char_length("text"))
     raw = F.substring("text", F.col("start_at") + 1, end - F.col("start_at"))
