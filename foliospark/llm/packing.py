@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from foliospark.runtime import cut
 
-RANK_BUCKETS = 64
+BUCKET_ROWS = 200_000
+SLOTS_BROADCAST = 1_000_000
 
 
 class Run(NamedTuple):
@@ -70,17 +71,29 @@ def _slots(runs: list[Run]) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
-def ranked(items: DataFrame, group: str, order: list[str]) -> DataFrame:
+def ranked(items: DataFrame, group: str, order: list[str], buckets: int = 64) -> DataFrame:
     """0-based rank of every row within its group, without one task per group: ranks in hash buckets plus bucket offsets."""
     from pyspark.sql import Window
 
-    b = items.withColumn("__b", F.pmod(F.xxhash64(*order), F.lit(RANK_BUCKETS)).cast("int"))
+    b = items.withColumn("__b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     counts = b.groupBy(group, "__b").agg(F.count("*").alias("__n"))
     offsets = counts.withColumn("__off", F.sum("__n").over(Window.partitionBy(group).orderBy("__b")) - F.col("__n")).drop("__n")
     rn = b.withColumn("__rn", F.row_number().over(Window.partitionBy(group, "__b").orderBy(*order)) - 1)
     return rn.join(offsets, [group, "__b"]).withColumn("rank", F.col("__rn") + F.col("__off")).drop("__b", "__rn", "__off")
 
 
+def _last_at_most(rank):
+    """Index of the last of the sorted slots that starts at or before rank: binary search."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size("slots") + 1)).cast("int"))
+
+    def halve(a, _):
+        mid = F.floor((a["lo"] + a["hi"] + 1) / 2).cast("int")
+        below = F.get("slots", mid)["rank_from"] <= rank
+        return F.struct(F.when(below, mid).otherwise(a["lo"]).alias("lo"), F.when(below, a["hi"]).otherwise(F.greatest(a["lo"], mid - 1)).alias("hi"))
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), (F.size("slots") - 1).alias("hi")), halve, lambda a: a["lo"])
+
+
 def pack(sizes: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_tokens") -> DataFrame:
     """(key, piece_no, start_token, n_tokens, container_id) covering every item exactly once."""
     spark = sizes.sparkSession
@@ -95,11 +108,16 @@ def pack(sizes: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_to
     zero = histogram.pop(0, 0)
     runs = plan(histogram, capacity)
     total = max(1, sum(r.count for r in runs))
-    slots = spark.createDataFrame(_slots(runs) or [(0, 0, 0, 0, 1)], "len long, rank_from long, rank_to long, container_from long, per long")
-    placed = ranked(split.where("n_tokens > 0"), "n_tokens", [key, "piece_no"])
-    # slots are planned from the histogram: their number is bounded by the patterns of the capacity
-    full = placed.join(slots, (placed["n_tokens"] == slots["len"]) & (placed["rank"] >= slots["rank_from"]) & (placed["rank"] < slots["rank_to"]))
-    out = full.select(key, "piece_no", "start_token", "n_tokens", (F.col("container_from") + F.floor((F.col("rank") - F.col("rank_from")) / F.col("per"))).cast("long").alias("container_id"))
+    by_length: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+    for length, low, _, container, per in _slots(runs):
+        by_length[length].append((low, container, per))
+    slots = spark.createDataFrame([(k, sorted(v)) for k, v in by_length.items()] or [(0, [(0, 0, 1)])], "n_tokens long, slots array<struct<rank_from:long,container_from:long,per:long>>")
+    if sum(map(len, by_length.values())) <= SLOTS_BROADCAST:  # planned from the histogram: bounded by the capacity, and checked
+        slots = F.broadcast(slots)
+    placed = ranked(split.where("n_tokens > 0"), "n_tokens", [key, "piece_no"], max(64, 1 << (max(histogram.values(), default=1) // BUCKET_ROWS).bit_length()))
+    slot = F.get("slots", _last_at_most(F.col("rank")))
+    full = placed.join(slots, "n_tokens").withColumn("__s", slot)
+    out = full.select(key, "piece_no", "start_token", "n_tokens", (F.col("__s.container_from") + F.floor((F.col("rank") - F.col("__s.rank_from")) / F.col("__s.per"))).cast("long").alias("container_id"))
     if zero:
         empty = split.where("n_tokens = 0").select(key, "piece_no", "start_token", "n_tokens", F.pmod(F.xxhash64(key), F.lit(total)).cast("long").alias("container_id"))
         out = out.unionByName(empty)

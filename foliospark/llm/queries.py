@@ -133,6 +133,11 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(sizes, _limits(spark, sf_dir)["container_tokens"])
 
 
+def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are: one row."""
+    return packing.fill_report(p9_containers(spark, sf_dir), _limits(spark, sf_dir)["container_tokens"])
+
+
 def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), quality.common_by_language(table(spark, sf_dir, "common_words")))
 
@@ -148,7 +153,7 @@ def queries() -> dict[str, Query]:
         "p5_found": p5_found, "p5_repaired": p5_repaired,
         "p6_found": p6_found, "p6_sentences": p6_sentences,
         "p7_found": p7_found, "p7_text_pieces": p7_text_pieces, "p7_block_windows": p7_block_windows,
-        "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_containers": p9_containers,
+        "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_containers": p9_containers, "p9_fill": p9_fill,
         "p10_found": p10_found, "p10_statistics": p10_statistics,
     }
 

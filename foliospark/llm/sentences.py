@@ -21,6 +21,7 @@ offsets count code points from 0.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -48,16 +49,18 @@ LETTERS_SHORT = 6  # longer tokens need most of their occurrences as evidence
 
 def _scan():
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import re as plain
+
         import regex as re
 
         word_back = re.compile(r"(?r)(?:(?:(?<![\p{L}\p{M}])\p{L}\.){1,4})?[\p{L}\p{M}\p{N}@²³º\-]+$")
         last_word = re.compile(r"(?r)\S+")
         word_next = re.compile(r"[\p{L}\p{M}\p{N}]+")
-        word = re.compile(r"(?<![\p{L}\p{M}.@])\p{Lu}[\p{L}\p{M}]+")
-        greek, thai = re.compile(r"\p{Greek}"), re.compile(r"(?<=\p{Thai})\s+(?=\p{Thai})")
-        opener, stop = re.compile(r'[“„«「『‹"(（\[]'), re.compile(rf"[{TERMINAL}۔]|[{TERMINAL}][”»」』›“\")）\]]|;")
-        ender = re.compile(rf"[{TERMINAL}]+")
-        dotted = re.compile(r"(?<![\p{L}\p{M}\p{N}.@])((?:\p{L}[\p{M}]*\.)*\p{L}[\p{L}\p{M}]*)\.(?![.\p{L}\p{N}ªº])(\s*)(.?)", re.S)
+        word = plain.compile(r"\b[^\W\d_a-zß-öø-ÿ][^\W\d_]+")
+        greek, thai, has_thai = re.compile(r"\p{Greek}"), re.compile(r"(?<=\p{Thai})\s+(?=\p{Thai})"), plain.compile("[\u0e00-\u0e7f]")
+        opener, stop, ender = plain.compile(r'[“„«「『‹"(（\[]'), plain.compile(rf"[{TERMINAL}۔;]"), plain.compile(rf"[{TERMINAL}]+")
+        dotted = re.compile(r"(?r)(?<![\p{L}\p{M}\p{N}.@])((?:\p{L}[\p{M}]*\.)*\p{L}[\p{L}\p{M}]*)$")
+        dot = plain.compile(r"(?<=[^\W\d_])\.(?![\wªº.])\s*|(?<=[^\x00-\x7f])\.(?![\wªº.])\s*")
 
         def guarded(text: str) -> tuple[bytearray, dict[int, int]]:
             """Marks what stands in quotes or brackets; where each quote closes. A bracket that does not close in its paragraph guards nothing."""
@@ -88,9 +91,10 @@ def _scan():
             is_greek = ";" in text and bool(greek.search(text))
             first = n - len(text.lstrip())
             out.append((first, True, None, None, None, None))
-            for m in thai.finditer(text):
-                if not inside[m.start()]:
-                    out.append((m.end(), True, None, None, None, None))
+            if has_thai.search(text):
+                for m in thai.finditer(text):
+                    if not inside[m.start()]:
+                        out.append((m.end(), True, None, None, None, None))
             spots = {m.start() for m in stop.finditer(text)} | set(closes)
             done = 0
             for i in sorted(spots):
@@ -137,14 +141,18 @@ def _scan():
                 else:
                     pre = last_word.search(text, 0, i - len(token))
                     w = word_next.match(text, k)
-                    out.append((k, False, token, pre[0].casefold() if pre else "", w[0] if w else "", kind))
+                    out.append((k, False, token, pre[0].casefold() if pre else "", w[0] if w and len(token) == 1 else "", kind))
             return out
 
         def evidence(text: str, out: dict[str, list[int]]) -> None:
             """Adds to token -> [followed by small letter or comma, ends the text, other]; ^capitalised word -> [.., .., .., starts, inside]."""
-            for m in dotted.finditer(text):
-                e = out.setdefault(m[1], [0, 0, 0, 0, 0])
-                nxt = m[3]
+            n = len(text)
+            for m in dot.finditer(text):
+                t = dotted.search(text, 0, m.start())
+                if t is None:
+                    continue
+                e = out.setdefault(t[1], [0, 0, 0, 0, 0])
+                nxt = text[m.end()] if m.end() < n else ""
                 if not nxt:
                     e[1] += 1
                 elif nxt.islower() or nxt in ",;:":
@@ -152,12 +160,14 @@ def _scan():
                 elif nxt not in "”»“)」":
                     e[2] += 1
             for m in word.finditer(text):
-                i = m.start()
+                i, w = m.start(), m[0]
+                if not w[0].isupper() or (i and (text[i - 1] in ".@" or unicodedata.category(text[i - 1])[0] == "M")):
+                    continue
                 before = text[max(0, i - 3) : i].rstrip(" ")
                 if not before or before[-1] in "!?\n":
-                    out.setdefault("^" + m[0], [0, 0, 0, 0, 0])[3] += 1
+                    out.setdefault("^" + w, [0, 0, 0, 0, 0])[3] += 1
                 elif before[-1].islower() or before[-1] == ",":
-                    out.setdefault("^" + m[0], [0, 0, 0, 0, 0])[4] += 1
+                    out.setdefault("^" + w, [0, 0, 0, 0, 0])[4] += 1
 
         for pdf in batches:
             found: list[tuple] = []
@@ -186,7 +196,7 @@ def _starts(texts: DataFrame, abbreviations: DataFrame) -> DataFrame:
     places = scanned.where("not evidence")
     settled = places.where("settled").select(*PLACE)
     sums = [F.sum(c).alias(c) for c in ("low", "fin", "cap", "starts", "mid")]
-    open_ = cut(places.where("not settled").select(*PLACE, "token", "before", "next", "kind"))
+    open_ = places.where("not settled").select(*PLACE, "token", "before", "next", "kind")
     in_doc = cut(scanned.where("evidence").groupBy("doc_id", "token").agg(*sums))
     corpus = in_doc.groupBy("token").agg(*sums).withColumn("n", F.col("low") + F.col("fin") + F.col("cap") + F.col("starts") + F.col("mid"))
     # only tokens that are asked for are kept: the others are most of the corpus
