@@ -21,7 +21,6 @@ offsets count code points from 0.
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -53,14 +52,14 @@ def _scan():
 
         import regex as re
 
-        word_back = re.compile(r"(?r)(?:(?:(?<![\p{L}\p{M}])\p{L}\.){1,4})?[\p{L}\p{M}\p{N}@²³º\-]+$")
+        word_back = re.compile(r"(?r)(?:(?:(?<![\p{L}\p{M}])\p{L}\.){1,4})?[\p{L}\p{M}\p{N}@²³º\-]+")
         last_word = re.compile(r"(?r)\S+")
         word_next = re.compile(r"[\p{L}\p{M}\p{N}]+")
-        word = plain.compile(r"\b[^\W\d_a-zß-öø-ÿ][^\W\d_]+")
+        word = re.compile(r"(?<![\p{L}\p{M}.@])\p{Lu}[\p{L}\p{M}]+")
         greek, thai, has_thai = re.compile(r"\p{Greek}"), re.compile(r"(?<=\p{Thai})\s+(?=\p{Thai})"), plain.compile("[\u0e00-\u0e7f]")
         opener, stop, ender = plain.compile(r'[“„«「『‹"(（\[]'), plain.compile(rf"[{TERMINAL}۔;]"), plain.compile(rf"[{TERMINAL}]+")
-        dotted = re.compile(r"(?r)(?<![\p{L}\p{M}\p{N}.@])((?:\p{L}[\p{M}]*\.)*\p{L}[\p{L}\p{M}]*)$")
-        dot = plain.compile(r"(?<=[^\W\d_])\.(?![\wªº.])\s*|(?<=[^\x00-\x7f])\.(?![\wªº.])\s*")
+        dotted = re.compile(r"(?r)(?<![\p{L}\p{M}\p{N}.@])((?:\p{L}[\p{M}]*\.)*\p{L}[\p{L}\p{M}]*)")
+        dot = plain.compile(r"\.(?![\wªº.])\s*")
 
         def guarded(text: str) -> tuple[bytearray, dict[int, int]]:
             """Marks what stands in quotes or brackets; where each quote closes. A bracket that does not close in its paragraph guards nothing."""
@@ -132,7 +131,7 @@ def _scan():
                 if quoted or run != ".":
                     out.append((k, True, None, None, None, None))
                     continue
-                back = word_back.search(text, 0, i)
+                back = word_back.match(text, 0, i)
                 token = back[0].lstrip("-") if back else ""
                 if not gap and kind == "U" and len(token) == 1 and token.isalpha():
                     continue
@@ -148,7 +147,7 @@ def _scan():
             """Adds to token -> [followed by small letter or comma, ends the text, other]; ^capitalised word -> [.., .., .., starts, inside]."""
             n = len(text)
             for m in dot.finditer(text):
-                t = dotted.search(text, 0, m.start())
+                t = dotted.match(text, 0, m.start())
                 if t is None:
                     continue
                 e = out.setdefault(t[1], [0, 0, 0, 0, 0])
@@ -161,8 +160,6 @@ def _scan():
                     e[2] += 1
             for m in word.finditer(text):
                 i, w = m.start(), m[0]
-                if not w[0].isupper() or (i and (text[i - 1] in ".@" or unicodedata.category(text[i - 1])[0] == "M")):
-                    continue
                 before = text[max(0, i - 3) : i].rstrip(" ")
                 if not before or before[-1] in "!?\n":
                     out.setdefault("^" + w, [0, 0, 0, 0, 0])[3] += 1
