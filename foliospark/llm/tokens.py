@@ -7,8 +7,8 @@ functions over its byte array, no Python), and ids are put back by piece.
 Frequent pieces would make the join back a skewed one: the HOT_PIECES most
 frequent pieces (a fixed number) are a literal map and are put back inside
 their document's row, so no row of theirs is ever shuffled.  All others, a few
-per document, meet their ids in a shuffle join; a token then travels as one
-integer that holds its place and its id.
+per document, leave their place as a negative number and meet their ids in a
+shuffle join.
 
 Defined results: null and empty texts give an empty list; whitespace is
 encoded as any other text; duplicate documents keep their own rows; a null key
@@ -31,7 +31,6 @@ from foliospark.runtime import cut, spread
 VOCABULARY = os.environ.get("FOLIOSPARK_BPE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 BUCKETS = 8192
 HOT_PIECES = 4096
-ID_BITS, PART_BITS = 18, 20  # of a packed token; texts over 2**PART_BITS bytes go unpacked
 
 # Fixed value: the white-space class of the tokenizer's pattern; Java's \s is ASCII only.
 WS = "\\t-\\r\\x{85} \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
@@ -119,48 +118,33 @@ def piece_table(docs: DataFrame, path: str = VOCABULARY, text: str = "text") ->
 
 def _hot_map(table: DataFrame, value: str, kind: str):
     """Column function: the value of a hot piece, null for others. HOT_PIECES rows reach the driver, whatever the corpus."""
+    slot = F.pmod(F.hash("piece"), F.lit(BUCKETS)).alias("slot")
     slots: list[dict] = [{} for _ in range(BUCKETS)]
-    for r in table.orderBy(F.desc("n"), "piece").limit(HOT_PIECES).select("piece", value).collect():
-        slots[zlib.crc32(r["piece"].encode()) % BUCKETS][r["piece"]] = r[value]
+    for r in table.orderBy(F.desc("n"), "piece").limit(HOT_PIECES).select("piece", slot, value).collect():
+        slots[r["slot"]][r["piece"]] = r[value]
     literal = F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), f"array<map<string,{kind}>>")
-    return lambda piece: F.get(literal, (F.crc32(F.encode(piece, "utf-8")) % BUCKETS).cast("int"))[piece]
+    return lambda piece: F.get(literal, F.pmod(F.hash(piece), F.lit(BUCKETS)))[piece]
 
 
-def _same(a: str, b: str) -> Column:
-    return F.col(a).eqNullSafe(F.col(b))
-
-
-def _pack(pos: Column, part: Column, token: Column) -> Column:
-    """Place of the piece, place in the piece and id in one bigint; sorts by place."""
-    return F.shiftleft(pos.cast("long"), PART_BITS + ID_BITS).bitwiseOR(F.shiftleft(part.cast("long"), ID_BITS)).bitwiseOR(token.cast("long"))
-
-
-def _encode_long(docs: DataFrame, table: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, ids) of texts whose places do not fit the packed form."""
-    rows = docs.select(F.col(key), F.posexplode(pieces(F.col(text))).alias("pos", "piece")).join(table.select("piece", "ids"), "piece")
-    return rows.groupBy(key).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("ids"))
+def _rest(marks: Column) -> Column:
+    """Places of pieces whose value is still unknown; a mark is -1 - place."""
+    return F.transform(F.filter(marks, lambda x: x < 0), lambda x: -x - 1)
 
 
 def encode_corpus(docs: DataFrame, path: str = VOCABULARY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids) for every row of docs; key must be unique. Extra columns are ignored."""
-    if max(_ranks(path).values()) >= 1 << ID_BITS:
-        raise ValueError(f"ids of {path} need more than {ID_BITS} bits")
     docs = spread(docs.select(key, text), key)
     table = piece_table(docs, path, text)
     hot = _hot_map(table, "ids", "array<int>")
-    none = F.array().cast("array<bigint>")
-    fits = F.octet_length(text) <= 1 << PART_BITS
-    d = docs.where((F.col(text) != "") & fits).select(F.col(key), pieces(F.col(text)).alias("__p")).withColumn("__h", F.transform("__p", hot))
-    ids = F.flatten(F.transform("__h", lambda h, i: F.when(h.isNull(), none).otherwise(F.transform(h, lambda x, j: _pack(i, j, x)))))
-    rest = F.array_compact(F.transform("__p", lambda p, i: F.when(F.get("__h", i).isNull(), F.struct(i.alias("pos"), p.alias("piece")))))
-    part = cut(d.select(key, ids.alias("__ids"), rest.alias("__rest")))
+    d = docs.select(F.col(key), pieces(F.coalesce(F.col(text), F.lit(""))).alias("__p"))
+    d = d.withColumn("__ids", F.flatten(F.transform("__p", lambda p, i: F.coalesce(hot(p), F.array(-i - 1)))))
+    rest = F.transform(_rest(F.col("__ids")), lambda i: F.struct(i.alias("pos"), F.get("__p", i).alias("piece")))
+    part = cut(d.select(key, "__ids", rest.alias("__rest")))
     more = part.select(F.col(key).alias("__k"), F.inline("__rest")).join(table.select("piece", "ids"), "piece")
-    more = more.select("__k", F.transform("ids", lambda x, j: _pack(F.col("pos"), j, x)).alias("__m")).groupBy("__k").agg(F.flatten(F.collect_list("__m")).alias("__more"))
-    whole = part.drop("__rest").join(more, _same(key, "__k"), "left")
-    packed = F.when(F.col("__more").isNull(), F.col("__ids")).otherwise(F.sort_array(F.concat("__ids", "__more")))
-    out = whole.select(key, F.transform(packed, lambda x: x.bitwiseAND((1 << ID_BITS) - 1).cast("int")).alias("ids"))
-    empty = docs.where(F.col(text).isNull() | (F.col(text) == "")).select(key, F.array().cast("array<int>").alias("ids"))
-    return out.unionByName(_encode_long(docs.where(~fits), table, key, text)).unionByName(empty)
+    more = more.groupBy("__k").agg(F.map_from_entries(F.collect_list(F.struct("pos", "ids"))).alias("__more"))
+    whole = part.drop("__rest").join(more, F.col(key).eqNullSafe(F.col("__k")), "left")
+    filled = F.flatten(F.transform("__ids", lambda x: F.when(x < 0, F.col("__more")[-x - 1]).otherwise(F.array(x))))
+    return whole.select(key, F.when(F.col("__more").isNull(), F.col("__ids")).otherwise(filled).alias("ids"))
 
 
 def token_counts(docs: DataFrame, path: str = VOCABULARY, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -168,10 +152,9 @@ def token_counts(docs: DataFrame, path: str = VOCABULARY, key: str = "doc_id", t
     docs = spread(docs.select(key, text), key)
     table = piece_table(docs, path, text).select("piece", "n", F.size("ids").alias("size"))
     hot = _hot_map(table, "size", "int")
-    d = docs.select(F.col(key), pieces(F.coalesce(F.col(text), F.lit(""))).alias("__p")).withColumn("__h", F.transform("__p", hot))
-    known = F.aggregate("__h", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0)))
-    rest = F.array_compact(F.transform("__p", lambda p, i: F.when(F.get("__h", i).isNull(), p)))
-    part = cut(d.select(key, known.alias("n_tokens"), rest.alias("__rest")))
+    d = docs.select(F.col(key), pieces(F.coalesce(F.col(text), F.lit(""))).alias("__p")).withColumn("__n", F.transform("__p", lambda p, i: F.coalesce(hot(p), -i - 1)))
+    known = F.aggregate("__n", F.lit(0).cast("long"), lambda a, x: a + F.greatest(x, F.lit(0)))
+    part = cut(d.select(key, known.alias("n_tokens"), F.transform(_rest(F.col("__n")), lambda i: F.get("__p", i)).alias("__rest")))
     more = part.select(key, F.explode("__rest").alias("piece")).join(table.select("piece", "size"), "piece").select(key, F.col("size").cast("long").alias("n_tokens"))
     return part.select(key, "n_tokens").unionByName(more).groupBy(key).agg(F.sum("n_tokens").alias("n_tokens"))
 
