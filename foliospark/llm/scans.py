@@ -3,18 +3,23 @@
 * Running headers and footers: lines at the page edge that recur, digits
   masked, on pages of their file (or at the edges of several files); a
   misread copy is found by its edit distance to a recurring line of the file.
-* Page numbers: number phrases on edge lines, alone or at their end.
-* Cut words: a line's last word is joined with the next line's first when the
-  corpus vocabulary knows the joined word, and kept apart when it knows the
-  hyphenated one (compounds) or the parts are numbers.
+* Page numbers: number phrases on edge lines whose numbers run on over the
+  pages of the file.  Where a file has no neighbouring page to run on to, only
+  an unmistakable phrase counts (a label, dashes, brackets, a line of its own).
+* Cut words: a line's last word is joined with the next line's first, also
+  over the end of a page, when the corpus vocabulary knows the joined word, and
+  kept apart when it knows the hyphenated one (compounds) or the parts are
+  numbers.
 * Misread words: impossible shapes (signs, repeated letters or changing case
   inside a word, digits among letters and the reverse), and rare words one
   typical confusion away from a far more frequent word of the corpus.
 * Specks: tokens of signs only whose kind is read with low confidence over
   the corpus, or closing signs that close nothing.
 
-Corpus counts leave out cut words, headers and page numbers.  Work is done
-per line and per distinct word; no file is gathered in one task.
+The words of a page are brought together once; everything within lines and
+pages is done in two passes over these rows.  Only facts meet over the corpus:
+edge lines of a file, words, pairs of adjacent words.  Corpus counts leave out
+cut words, headers and page numbers.
 
 Defined results: null and blank words are no noise; equal rows count once; a
 word in several kinds is reported once, in the order header, page_number,
@@ -24,9 +29,12 @@ speck, hyphen, misread; unknown page heights count as A4.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.runtime import cut, lookup_join
@@ -40,51 +48,98 @@ RATIO = 5
 SURE_RATIO = 20
 KNOWN = 4
 SPECK_CONF = 60.0
-LINE = ["doc_id", "page", "block_num", "par_num", "line_num"]
+PAGE = ["doc_id", "page"]
+LINE = [*PAGE, "block_num", "par_num", "line_num"]
 WORD = [*LINE, "word_num"]
+SEP = "\x1f"
 
 # What recognition takes for what (seen, meant).
 CONFUSIONS = """o a|a o|v u|u v|b h|h b|l i|i l|f t|t f|c e|e c|cl d|d cl|rn m|m rn|f e|y v|v y|n u|u n|0 o|1 l|1 i|5 s|8 b|9 g|6 b|q g|g q|c o|o c|g ç|c ç|ç c|é e|e é|í i|i í|ó o|o ó|ã a|a ã|á a|a á|nn m|m nn|ii u|vv w|w vv|l t|t l|l 1|â ã|ã â|ri n|n ri|6 é|in m|m in|j i|i j|s 5|z 2|k h|h k|r n|n r|rn n|lı h|li h|h li|p n|D O|O D"""
-DIGITS_AS = "0oO|1lI|5sS|8B|6b|9g"
-SKIP = "@|\\(at\\)|\\[arroba\\]|://|=\\d"
+SKIP = r"@|\(at\)|\[arroba\]|://|=[0-9]"
+CUT_SIGNS = "-–¬="
 LABELS = ["fls", "folha", "pag", "pagina", "p", "page", "pp", "seite", "hoja", "feuille"]
 
 
-def _lines(words: DataFrame, pages: DataFrame | None) -> DataFrame:
-    """One row per line: toks (word_num, text, left, right, conf), its top and the page height in pixels."""
-    rows = words.select(*WORD, "text", "conf", "left_px", "top_px", "width_px").distinct()
-    tok = F.struct("word_num", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("left_px", F.lit(0)).alias("left"), (F.coalesce("left_px", F.lit(0)) + F.coalesce("width_px", F.lit(0))).alias("right"), F.coalesce("conf", F.lit(-1.0)).alias("conf"))
-    lines = rows.groupBy(*LINE).agg(F.array_sort(F.collect_list(tok)).alias("toks"), F.min("top_px").alias("top"))
+def _pages(words: DataFrame, pages: DataFrame | None) -> DataFrame:
+    """One row per page: toks in reading order and the page height in pixels."""
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    tok = F.struct("block_num", "par_num", "line_num", "word_num", F.coalesce("text", F.lit("")).alias("text"), zero("left_px").alias("left"), (zero("left_px") + zero("width_px")).alias("right"), F.coalesce("conf", F.lit(-1.0)).alias("conf"), F.col("top_px").alias("top"))
+    rows = words.select(*PAGE, tok.alias("tok")).groupBy(*PAGE).agg(F.sort_array(F.collect_list("tok")).alias("toks"))
     if pages is None:
-        return lines.withColumn("height", F.lit(A4_POINTS * DPI / 72))
-    heights = pages.where("height > 0").groupBy("doc_id", "page").agg((F.max("height") * DPI / 72).alias("height"))
-    return lines.join(heights, ["doc_id", "page"], "left").na.fill(A4_POINTS * DPI / 72, ["height"])
+        return cut(rows.withColumn("height", F.lit(A4_POINTS * DPI / 72)))
+    heights = pages.where("height > 0").groupBy(*PAGE).agg((F.max("height") * DPI / 72).alias("height"))
+    return cut(rows.join(heights, PAGE, "left").na.fill(A4_POINTS * DPI / 72, ["height"]))
 
 
-def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Edge lines -> their page-number words, the rest as a masked line."""
+TOK = ["block_num", "par_num", "line_num", "word_num", "text", "left", "right", "conf", "top"]
+Tok = tuple  # in the order of TOK
+B, P, L, N, TEXT, LEFT, RIGHT, CONF, TOP = range(9)
+
+
+def _read(batch: pa.RecordBatch) -> Iterator[tuple[dict[str, Any], list[list[Tok]]]]:
+    """(other columns, lines of distinct tokens) of every page of a batch."""
+    toks = batch.column("toks")
+    flat = toks.flatten()
+    every = list(zip(*(flat.field(c).to_pylist() for c in TOK)))
+    other = {c: batch.column(c).to_pylist() for c in batch.schema.names if c != "toks"}
+    at = 0
+    for i, n in enumerate(toks.value_lengths().to_pylist()):
+        lines: list[list[Tok]] = []
+        last: Tok | None = None
+        for t in every[at : at + n]:
+            if t == last:
+                continue
+            if last is None or t[:3] != last[:3]:
+                lines.append([])
+            lines[-1].append(t)
+            last = t
+        at += n
+        yield {c: v[i] for c, v in other.items()}, lines
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _arrow(spec: str) -> pa.Schema:
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
+    return pa.schema([(c.split(" ")[0], kinds[c.split(" ")[1]]) for c in spec.split(", ")])
+
+
+EDGE = "kind string, doc_id string, page int, block_num int, par_num int, line_num int, slot int, norm string, head array<int>, number array<int>, value int, sure boolean, word_num int, sign string, conf double"
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages -> edge lines (page-number words, the rest as a masked line) and tokens of signs only."""
     import unicodedata
 
     import regex as re
 
+    schema = _arrow(EDGE)
     folded = str.maketrans("01l|5869vytfhecaoumn", "oiiisbbguvftbccoounn")
     look = str.maketrans("0O1Il|5S8B69", "ooiiiissbbgg")
+    digit = str.maketrans("OolIiSsBZz", "0011155822")
     number = re.compile(r"[\[(]?[\dOolISsBZz^~'.]{1,6}(?:/[\dOolISsBZz^~'.]{1,6})?[\])]?\.?$")
+    word, letters2, repeated = re.compile(r"[\p{L}\p{N}]"), re.compile(r"\p{L}{2}"), re.compile(r"(.)\1{2,}")
+    marks, masks, plain = re.compile(r"\p{M}|[^\p{L}\d|]"), re.compile(r"[\dOolIS]+"), re.compile(r"[^\p{L}\d]")
 
+    @lru_cache(maxsize=100_000)
     def skeleton(t: str) -> str:
         """What is left of a word when typical misreadings are folded together."""
-        if not re.search(r"\p{L}{2}", t):
-            return re.sub(r"[\dOolIS]+", "#", t)
-        t = re.sub(r"\p{M}|[^\p{L}\d|]", "", unicodedata.normalize("NFD", t.lower()))
-        t = re.sub(r"(.)\1{2,}", r"\1", t.replace("cl", "d").replace("rn", "m").replace("ri", "n"))
+        if not letters2.search(t):
+            return masks.sub("#", t)
+        t = marks.sub("", unicodedata.normalize("NFD", t.lower()))
+        t = repeated.sub(r"\1", t.replace("cl", "d").replace("rn", "m").replace("ri", "n"))
         return t.translate(folded)
 
     def is_number(t: str) -> bool:
         return bool(number.fullmatch(t)) and (any(c.isdigit() for c in t) or all(c in "OolISsBZz[]()/" for c in t) and len(t) > 1)
 
+    @lru_cache(maxsize=100_000)
     def label(t: str) -> str:
-        t = re.sub(r"[^\p{L}\d]", "", t).lower().translate(look)
-        t = re.sub(r"(.)\1{2,}", r"\1", t)
+        t = plain.sub("", t).lower().translate(look)
+        t = repeated.sub(r"\1", t)
         for x in LABELS:
             y = x.translate(look)
             if t == y or t == y.replace("á", "a") or t.replace("á", "a") == y:
@@ -93,58 +148,69 @@ def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 return x
         return ""
 
-    def suffix(toks: list, alone: bool) -> int:
-        """Index of the first word of the page number at the end of the line; len(toks) if there is none."""
+    def suffix(toks: list[Tok]) -> tuple[int, int, bool]:
+        """(index of the first word of the page number at the end of the line, index of its number, whether the phrase is unmistakable)."""
         n = len(toks)
-        t = [x["text"] for x in toks]
+        t = [x[TEXT] for x in toks]
         if n >= 4 and is_number(t[-1]) and is_number(t[-3]) and len(t[-2]) <= 4 and label(t[-4]):
-            return n - 4
-        if n >= 3 and t[-1] in "-–—" and t[-3] in "-–—" and is_number(t[-2]) and t[-1]:
-            return n - 3
+            return n - 4, n - 3, True
+        if n >= 3 and t[-1] in "-–—" and t[-3] in "-–—" and is_number(t[-2]):
+            return n - 3, n - 2, True
         if n >= 2 and is_number(t[-1]) and label(t[-2]):
-            return n - 2
+            return n - 2, n - 1, True
         bare = n >= 2 and len(t[-1]) <= 4 and any(c.isdigit() for c in t[-1]) and not t[-1].endswith(".") and t[-2].lower() not in ("nº", "n.", "no.", "de")
-        if n >= 1 and is_number(t[-1]) and (n == 1 or t[-1][0] in "[(" or bare or toks[-1]["left"] - toks[-2]["right"] > 80):
-            return n - 1
-        return n
-
-    for pdf in batches:
-        rows = []
-        for r in pdf.itertuples():
-            toks = [t for t in r.toks if t["text"].strip()]
-            at = suffix(toks, True)
-            rest = " ".join(t["text"] for t in toks[:at])
-            norm = " ".join(skeleton(t["text"]) for t in toks[:at])
-            slot = int(r.top // 40) if r.top == r.top else 0
-            rows.append((r.doc_id, r.page, r.block_num, r.par_num, r.line_num, slot, norm, [int(t["word_num"]) for t in toks[:at]], [int(t["word_num"]) for t in toks[at:]]))
-        yield pd.DataFrame(rows, columns=[*LINE, "slot", "norm", "head", "number"])
-
-
-EDGE_SCHEMA = "doc_id string, page int, block_num int, par_num int, line_num int, slot int, norm string, head array<int>, number array<int>"
+        if n >= 1 and is_number(t[-1]) and (n == 1 or t[-1][0] in "[(" or bare or toks[-1][LEFT] - toks[-2][RIGHT] > 80):
+            return n - 1, n - 1, n == 1 or t[-1][0] in "[("
+        return n, n, False
 
+    def value(t: str) -> int:
+        t = plain.sub("", t.split("/")[0]).translate(digit)
+        return int(t) if t.isascii() and t.isdigit() else -1
 
-def _edge_noise(lines: DataFrame) -> DataFrame:
-    """(WORD, noise) of headers and page numbers."""
-    at_edge = (F.col("top") < BAND * F.col("height")) | (F.col("top") > (1 - BAND) * F.col("height"))
-    edge = cut(lines.where(at_edge).select(*LINE, "top", "toks").mapInPandas(_edges, EDGE_SCHEMA))
-    numbers = edge.select(*LINE, F.explode("number").alias("word_num")).withColumn("noise", F.lit("page_number"))
+    for batch in batches:
+        rows = []
+        for page, lines in _read(batch):
+            height = page["height"]
+            for line in lines:
+                tops = [t[TOP] for t in line if t[TOP] is not None]
+                toks = [t for t in line if t[TEXT].strip()]
+                at = len(toks)
+                key = (page["doc_id"], page["page"], *line[0][:3])
+                if tops and ((top := min(tops)) < BAND * height or top > (1 - BAND) * height):
+                    at, where, sure = suffix(toks)
+                    norm = " ".join(skeleton(t[TEXT]) for t in toks[:at])
+                    rows.append(("edge", *key, top // 40, norm, [t[N] for t in toks[:at]], [t[N] for t in toks[at:]], value(toks[where][TEXT]) if at < len(toks) else -1, sure, None, None, None))
+                rows += [("sign", *key, None, None, None, None, None, None, t[N], t[TEXT], t[CONF]) for t in toks[:at] if not word.search(t[TEXT])]
+        yield _batch(rows, schema)
+
+
+def _marks(edges: DataFrame) -> DataFrame:
+    """(LINE, nums, noise): headers, page numbers and specks by kind, one row per line and noise."""
+    edge = edges.where("kind = 'edge'")
     heads = edge.where(F.size("head") > 0)
     per_file = heads.groupBy("doc_id", "norm").agg(F.countDistinct("page").alias("pages"))
-    anchors = per_file.where("pages >= 2")
+    anchors = per_file.where("pages >= 2").select("doc_id", "norm")
     common = per_file.groupBy("norm").agg(F.count("*").alias("files")).where(F.col("files") >= FILES_LEAST)
-    sure = heads.join(anchors.select("doc_id", "norm"), ["doc_id", "norm"], "left_semi")
-    other = heads.join(anchors.select("doc_id", "norm"), ["doc_id", "norm"], "left_anti")
+    sure = heads.join(anchors, ["doc_id", "norm"], "left_semi")
+    other = heads.join(anchors, ["doc_id", "norm"], "left_anti")
     shared = lookup_join(other, common, "norm", "files").drop("files")
     anchor_slots = sure.select("doc_id", "slot", F.col("norm").alias("anchor")).distinct()
     close = F.levenshtein("norm", "anchor") <= F.greatest(F.lit(1), F.floor(NEAR * F.length("anchor")))
-    spread = other.withColumn("slot", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)))
-    near = spread.join(anchor_slots, ["doc_id", "slot"]).where(close).select(*LINE, "head")
-    found = sure.select(*LINE, "head").unionByName(shared.select(*LINE, "head")).unionByName(near)
-    return found.select(*LINE, F.explode("head").alias("word_num")).distinct().withColumn("noise", F.lit("header")).unionByName(numbers)
+    forms = other.select("doc_id", "norm", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("slot")).distinct()
+    like = forms.join(anchor_slots, ["doc_id", "slot"]).where(close).select("doc_id", "norm").distinct()
+    near = other.join(like, ["doc_id", "norm"], "left_semi")
+    headers = cut(sure.select(*LINE, "head").unionByName(shared.select(*LINE, "head")).unionByName(near.select(*LINE, "head")).distinct())
 
+    # numbers that run on: the distance between number and page is the same on several pages of the file
+    counted = edge.where(F.size("number") > 0).withColumn("off", F.when(F.col("value") >= 0, F.col("value") - F.col("page")))
+    runs = counted.where("off is not null").groupBy("doc_id", "off").agg(F.countDistinct("page").alias("run")).where("run >= 2")
+    numbered = counted.join(runs, ["doc_id", "off"], "left").join(headers.select(*LINE, F.lit(True).alias("after_header")), LINE, "left")
+    numbers = numbered.where(F.col("sure") | F.col("run").isNotNull() | F.coalesce("after_header", F.lit(False))).select(*LINE, F.col("number").alias("nums"), F.lit("page_number").alias("noise"))
 
-def _core(text: Column) -> Column:
-    return F.lower(F.regexp_replace(text, "^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$", ""))
+    signs = edges.where("kind = 'sign'").select(*WORD, "sign", "conf")
+    kinds = signs.where("conf >= 0").groupBy("sign").agg(F.count("*").alias("n"), F.avg("conf").alias("mean")).where((F.col("mean") < SPECK_CONF) & (F.col("sign") != "»"))
+    specks = lookup_join(signs, kinds, "sign", "n").groupBy(*LINE).agg(F.collect_set("word_num").alias("nums")).withColumn("noise", F.lit("speck"))
+    return headers.select(*LINE, F.col("head").alias("nums"), F.lit("header").alias("noise")).unionByName(numbers).unionByName(specks)
 
 
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,7 +238,7 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def corrections(vocabulary: DataFrame) -> DataFrame:
     """(word, n, meant): words of the vocabulary (word, n) one confusion away from a far more frequent one; several rows a word."""
-    rare = vocabulary.where(F.col("word").rlike("\\p{L}") & F.char_length("word").between(3, 40) & ~F.col("word").rlike("[ªº]"))
+    rare = vocabulary.where(F.col("word").rlike("\\p{L}") & (F.char_length("word") >= 3) & ~F.col("word").rlike("[ªº]"))
     tried = rare.mapInPandas(_candidates, "word string, n bigint, meant string")
     known = vocabulary.where(F.col("n") >= KNOWN).select(F.col("word").alias("meant"), F.col("n").alias("m"))
     hits = tried.join(known, "meant").where(F.col("m") >= RATIO * F.col("n"))
@@ -181,112 +247,176 @@ def corrections(vocabulary: DataFrame) -> DataFrame:
     return hits.select("word", "n", "meant", "m", sure.alias("sure"))
 
 
-def confirmed(suspects: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Suspects (.., before, word, after, meant) whose neighbours go with what was meant far more often than with the word.
 
-    pairs: (a, b, c) counts of adjacent words over the corpus."""
-    out = suspects
-    for i, (a, b) in enumerate((("before", "meant"), ("before", "word"), ("meant", "after"), ("word", "after"))):
-        out = out.join(pairs.select(F.col("a").alias(a), F.col("b").alias(b), F.col("c").alias(f"c{i}")), [a, b], "left")
-    out = out.na.fill(0, ["c0", "c1", "c2", "c3"])
-    fits = lambda good, bad: (F.col(good) >= 2) & (F.col(good) >= RATIO * F.col(bad))
-    alone = (F.col("before") == "") & (F.col("after") == "")
-    return out.where(F.col("sure") | fits("c0", "c1") | fits("c2", "c3") | alone).drop("c0", "c1", "c2", "c3")
+FACT = "kind string, doc_id string, page int, block_num int, par_num int, line_num int, word_num int, word string, before string, after string, sign string, next_block int, next_par int, next_line int, next_word int"
 
 
-def shape_misread(text: Column) -> Column:
-    """Whether a word has a shape that no correct text has."""
-    inner = text.rlike("[\\p{L}\\p{N}].*[\\^~]|[\\^~].*[\\p{L}\\p{N}]") & ~text.rlike("://")
-    repeated = text.rlike("([\\p{L}\\-,;:()“”%$])\\1{3,}") & text.rlike("[\\p{L}\\p{N}]") & ~text.rlike("^[xX]+\\W*$|://|=\\d")
-    cases = text.rlike("\\p{Ll}\\p{Lu}") & (~text.rlike(SKIP) | (F.regexp_count(text, F.lit("\\p{Ll}\\p{Lu}")) > 2))
-    digits = text.rlike("\\d") & text.rlike("[A-Za-z]") & ~text.rlike("[²³]|^\\(?0xx|^\\W*\\p{Lu}{2}\\d{5,}\\W*$")
-    numeric = digits & text.rlike("^[^A-Za-z]*(?:[OolISsBZzg][^A-Za-z]*)+$") & (F.regexp_count(text, F.lit("\\d")) > F.regexp_count(text, F.lit("[A-Za-z]")))
-    lettered = digits & ~text.rlike("[ªº]") & text.rlike("\\p{L}[0156899]\\p{L}|\\p{L}{2}[0156899]\\W*$|^\\W*[0156899]\\p{L}{3}") & (F.regexp_count(text, F.lit("\\p{L}")) >= 2) & (F.regexp_count(text, F.lit("\\d")) == 1)
-    numeric = numeric & ~text.rlike("[.)”]\\p{Lu}$")
-    runs = text.rlike("(\\d)\\1{3,}") & text.rlike("^\\W*[\\d.]+,\\d|\\d[ºª%]|^\\d+/\\d+/\\d+") & ~text.rlike(SKIP)
-    mixed = runs | text.rlike("^[OlIS],\\d+\\W*$")
-    return inner | repeated | cases | (~text.rlike(SKIP) & (numeric | lettered | mixed))
+def _shapes():
+    """Function: whether a word has a shape that no correct text has."""
+    import regex as re
+
+    c = re.compile
+    skip, url = c(SKIP), c(r"://")
+    inner = c(r"[\p{L}\p{N}].*[\^~]|[\^~].*[\p{L}\p{N}]")
+    many, crosses, alnum = c(r"([\p{L}\-,;:()“”%$])\1{3,}"), c(r"^[xX]+\W*$|://|=[0-9]"), c(r"[\p{L}\p{N}]")
+    turn = c(r"\p{Ll}\p{Lu}")
+    digit, latin, letter = c("[0-9]"), c("[A-Za-z]"), c(r"\p{L}")
+    codes = c(r"[²³]|^\(?0xx|^\W*\p{Lu}{2}[0-9]{5,}\W*$")
+    numeric, closing = c(r"^[^A-Za-z]*(?:[OolISsBZzg][^A-Za-z]*)+$"), c(r"[.)”]\p{Lu}$")
+    lettered = c(r"\p{L}[0156899]\p{L}|\p{L}{2}[0156899]\W*$|^\W*[0156899]\p{L}{3}")
+    runs, amounts, lone = c(r"([0-9])\1{3,}"), c(r"^\W*[0-9.]+,[0-9]|[0-9][ºª%]|^[0-9]+/[0-9]+/[0-9]+"), c(r"^[OlIS],[0-9]+\W*$")
+
+    @lru_cache(maxsize=200_000)
+    def misread(t: str) -> bool:
+        if inner.search(t) and not url.search(t):
+            return True
+        if many.search(t) and alnum.search(t) and not crosses.search(t):
+            return True
+        skipped = bool(skip.search(t))
+        turns = len(turn.findall(t))
+        if turns and (not skipped or turns > 2):
+            return True
+        if skipped:
+            return False
+        d, a = len(digit.findall(t)), len(latin.findall(t))
+        if d and a and not codes.search(t):
+            if numeric.search(t) and d > a and not closing.search(t):
+                return True
+            if d == 1 and "ª" not in t and "º" not in t and lettered.search(t) and len(letter.findall(t)) >= 2:
+                return True
+        return bool((runs.search(t) and amounts.search(t)) or lone.search(t))
+
+    return misread
+
+
+def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages with marks -> t tokens with their neighbours, e words cut at line ends, f first words of pages, x words known to be noise."""
+    import regex as re
+
+    schema, misread = _arrow(FACT), _shapes()
+    skip, trim, cut_shape, letter = re.compile(SKIP), re.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"), re.compile(rf"\p{{L}}[{CUT_SIGNS}]$"), re.compile(r"\p{L}")
+    odd = re.compile(r"[\^~']")
+
+    @lru_cache(maxsize=200_000)
+    def core(t: str) -> str:
+        return trim.sub("", t).lower()
+
+    @lru_cache(maxsize=200_000)
+    def skipped(t: str) -> bool:
+        return bool(skip.search(t))
+
+    for batch in batches:
+        rows: list[tuple] = []
+        for page, lines in _read(batch):
+            doc, number = page["doc_id"], page["page"]
+            body, closing = _body(lines, page["marks"])
+            rows += [("x", doc, number, *t[:4], None, None, None, "speck", None, None, None, None) for t in closing]
+            if body:
+                rows.append(("f", doc, number, *body[0][0][:4], body[0][0][TEXT], None, None, None, None, None, None, None))
+            for i, toks in enumerate(body):
+                first, last = toks[0], toks[-1]
+                nxt = body[i + 1][0] if i + 1 < len(body) else None
+                ended = bool(cut_shape.search(last[TEXT])) and (nxt is None or bool(letter.match(nxt[TEXT])))
+                continued = i > 0 and bool(cut_shape.search(body[i - 1][-1][TEXT])) and bool(letter.match(first[TEXT]))
+                cores = [core(t[TEXT]) for t in toks]
+                for j in range(int(continued), len(toks) - int(ended)):
+                    if cores[j] and not skipped(toks[j][TEXT]):
+                        rows.append(("t", doc, number, *toks[j][:4], cores[j], cores[j - 1] if j else "", cores[j + 1] if j + 1 < len(toks) else "", None, None, None, None, None))
+                rows += [("x", doc, number, *t[:4], None, None, None, "misread", None, None, None, None) for t in toks if misread(t[TEXT])]
+                if ended:
+                    left = odd.sub("", core(last[TEXT][:-1]))
+                    rows.append(("e", doc, number, *last[:4], left, None, nxt[TEXT] if nxt else None, last[TEXT][-1], *(nxt[:4] if nxt else (None, None, None, None))))
+        yield _batch(rows, schema)
+
+
+def _body(lines: list[list[Tok]], marks: list | None) -> tuple[list[list[Tok]], list[Tok]]:
+    """(lines without marked and blank words, closing signs that close nothing); empty lines are left out."""
+    gone = {(m["block_num"], m["par_num"], m["line_num"], n) for m in marks or () for n in m["nums"]}
+    body, closing, opened = [], [], 0
+    for line in lines:
+        toks = []
+        for t in line:
+            if t[:4] in gone or not t[TEXT].strip():
+                continue
+            if t[TEXT] == "»" and opened <= 0:
+                closing.append(t)
+                continue
+            opened += t[TEXT].count("«") - t[TEXT].count("»")
+            toks.append(t)
+        if toks:
+            body.append(toks)
+    return body, closing
+
+
+def _with_marks(pages: DataFrame, marks: DataFrame) -> DataFrame:
+    per_page = marks.groupBy(*PAGE).agg(F.collect_list(F.struct(*LINE[2:], "nums", "noise")).alias("marks"))
+    return pages.join(per_page, PAGE, "left")
+
+
+def confirmed(suspects: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Suspects (WORD, before, word, after, meant, sure) whose neighbours go with what was meant far more often than with the word.
+
+    pairs: (key, c) counts of adjacent words over the corpus; key is both words around SEP."""
+    asked = [("before", "meant"), ("before", "word"), ("meant", "after"), ("word", "after")]
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.when((F.col(a) != "") & (F.col(b) != ""), F.concat_ws(SEP, a, b)).otherwise("").alias("key")) for i, (a, b) in enumerate(asked)]))
+    rows = lookup_join(suspects.withColumn("q", each).select(*suspects.columns, "q.i", "q.key"), pairs, "key", "c", "left")
+    counts = [F.coalesce(F.max(F.when(F.col("i") == i, F.col("c"))), F.lit(0)).alias(f"c{i}") for i in range(4)]
+    out = rows.groupBy(*WORD, "before", "word", "after", "meant", "sure").agg(*counts)
+    fits = lambda good, bad: (F.col(good) >= 2) & (F.col(good) >= RATIO * F.col(bad))
+    alone = (F.col("before") == "") & (F.col("after") == "")
+    return out.where(F.col("sure") | fits("c0", "c1") | fits("c2", "c3") | alone)
 
 
 def analyse(words: DataFrame, pages: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(noise (WORD, noise, meant), body lines in order with their edge words removed)."""
-    lines = cut(_lines(words, pages))
-    edge = cut(_edge_noise(lines).groupBy(*WORD).agg(F.min("noise").alias("noise")))
-    gone = edge.groupBy(*LINE).agg(F.collect_set("word_num").alias("gone"))
-    body = lines.join(gone, LINE, "left").withColumn("toks", F.filter("toks", lambda t: ~F.coalesce(F.array_contains("gone", t["word_num"]), F.lit(False)) & t["text"].rlike("\\S"))).where(F.size("toks") > 0)
-
-    symbols = body.select(*LINE, F.explode("toks").alias("t")).where(~F.col("t.text").rlike("[\\p{L}\\p{N}]"))
-    kinds = symbols.where("t.conf >= 0").groupBy(F.col("t.text").alias("sign")).agg(F.count("*").alias("n"), F.avg("t.conf").alias("mean"))
-    opened = F.aggregate("toks", F.lit(0), lambda a, t: a + F.regexp_count(t["text"], F.lit("«")) - F.regexp_count(t["text"], F.lit("»")))
-    w = Window.partitionBy("doc_id", "page").orderBy("block_num", "par_num", "line_num")
-    balance = body.select(*LINE, "toks", F.sum(opened).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
-    closing = balance.where(F.exists("toks", lambda t: t["text"] == "»")).select(
-        *LINE,
-        F.explode(
-            F.aggregate(
-                "toks",
-                F.struct(F.coalesce("before", F.lit(0)).cast("long").alias("open"), F.array().cast("array<int>").alias("bad")),
-                lambda a, t: F.struct(
-                    F.when((t["text"] == "»") & (a["open"] <= 0), a["open"]).otherwise(a["open"] + F.regexp_count(t["text"], F.lit("«")) - F.regexp_count(t["text"], F.lit("»"))).cast("long").alias("open"),
-                    F.when((t["text"] == "»") & (a["open"] <= 0), F.concat(a["bad"], F.array(t["word_num"]))).otherwise(a["bad"]).alias("bad"),
-                ),
-                lambda a: a["bad"],
-            )
-        ).alias("word_num"),
-    )
-    signs = lookup_join(symbols.select(*LINE, F.col("t.word_num").alias("word_num"), F.col("t.text").alias("sign")), kinds, "sign", "n")
-    specks = signs.where((F.col("mean") < SPECK_CONF) & (F.col("sign") != "»")).select(*WORD).unionByName(closing.select(*WORD)).distinct().withColumn("noise", F.lit("speck"))
-    specks = cut(specks)
-    dirty = specks.groupBy(*LINE).agg(F.collect_set("word_num").alias("specks"))
-    body = body.drop("gone").join(dirty, LINE, "left").withColumn("toks", F.filter("toks", lambda t: ~F.coalesce(F.array_contains("specks", t["word_num"]), F.lit(False)))).drop("specks").where(F.size("toks") > 0)
-
-    last, first = F.element_at("toks", -1), F.element_at("toks", 1)
-    body = cut(body.withColumn("next", F.lead(first["text"]).over(w)).withColumn("prev", F.lag(last["text"]).over(w)))
-    cut_shape = "\\p{L}[-–¬=]$"
-    ended = F.coalesce(last["text"].rlike(cut_shape), F.lit(False)) & F.coalesce(F.col("next").rlike("^[\\p{L}]"), F.lit(True))
-    continued = F.coalesce(F.col("prev").rlike(cut_shape), F.lit(False)) & first["text"].rlike("^\\p{L}")
-    plain = F.slice("toks", F.when(continued, 2).otherwise(1), F.greatest(F.size("toks") - F.when(continued, 1).otherwise(0) - F.when(ended, 1).otherwise(0), F.lit(0)))
-    tokens = body.select(F.explode(plain).alias("t")).where(~F.col("t.text").rlike(SKIP)).select(_core(F.col("t.text")).alias("word")).where("word <> ''")
+    """(noise (WORD, noise, meant), the rows of all pages)."""
+    whole = _pages(words, pages)
+    edges = cut(whole.mapInArrow(_edges, EDGE))
+    marks = cut(_marks(edges))
+    facts = cut(_with_marks(whole, marks).mapInArrow(_facts, FACT))
+    tokens = facts.where("kind = 't'").select(*WORD, "before", "word", "after")
     vocabulary = cut(tokens.groupBy("word").agg(F.count("*").alias("n")))
 
-    ends = body.where(ended).select(*LINE, last["word_num"].alias("word_num"), last["text"].alias("text"), "next")
-    left, right = F.regexp_replace(_core(F.regexp_replace("text", "[-–¬=]$", "")), "[\\^~']", ""), F.coalesce(_core(F.col("next")), F.lit(""))
-    ends = cut(ends.withColumn("left", left).withColumn("joined", F.concat(left, right)).withColumn("hyphenated", F.concat(left, F.lit("-"), right)).withColumn("sign", F.substring("text", -1, 1)))
+    # a word cut at the end of a page goes on with the first word of the next
+    firsts = facts.where("kind = 'f'").select("doc_id", (F.col("page") - 1).alias("page"), F.struct("block_num", "par_num", "line_num", "word_num", "word").alias("f"))
+    ends = facts.where("kind = 'e'").join(firsts, PAGE, "left")
+    following = F.when(F.col("next_word").isNull() & F.col("f.word").rlike("^\\p{Ll}"), F.struct((F.col("page") + 1).alias("page"), F.col("f.block_num"), F.col("f.par_num"), F.col("f.line_num"), F.col("f.word_num"), F.col("f.word").alias("text")))
+    following = following.otherwise(F.struct("page", F.col("next_block").alias("block_num"), F.col("next_par").alias("par_num"), F.col("next_line").alias("line_num"), F.col("next_word").alias("word_num"), F.col("after").alias("text")))
+    right = F.lower(F.regexp_replace(F.coalesce("nx.text", F.lit("")), "^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$", ""))
+    ends = ends.withColumn("nx", following).withColumn("right", right).select(*WORD, F.col("word").alias("left"), F.concat("word", "right").alias("joined"), F.concat("word", F.lit("-"), "right").alias("hyphenated"), "sign", "nx")
+    ends = cut(ends)
 
     # one row per word: its count, the count of compounds it begins, the likeliest word it is a misreading of
-    parts = ends.groupBy(F.col("joined").alias("word")).agg(F.count("*").alias("c"))
-    everything = vocabulary.unionByName(parts.select("word", F.col("c").alias("n"))).groupBy("word").agg(F.sum("n").alias("n"))
-    wrong = cut(corrections(everything))
-    stems = vocabulary.where(F.col("word").contains("-")).select(F.substring_index("word", "-", 1).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n_stem"))
-    facts = vocabulary.join(stems, "word", "full").join(wrong.groupBy("word").agg(F.max_by("meant", F.struct("m", "meant")).alias("meant")), "word", "full")
-    facts = cut(facts.na.fill(0, ["n", "n_stem"]).withColumn("weight", F.col("n") + F.col("n_stem")))
-    judged = ends
-    for key, cols in (("joined", ["n", "meant"]), ("hyphenated", ["n"]), ("left", ["n", "n_stem"])):
-        side = facts.select(F.col("word").alias(key), *[F.col(c).alias(f"{key}_{c}") for c in cols], F.col("weight").alias(f"{key}_weight"))
-        judged = lookup_join(judged, side, key, f"{key}_weight", "left").drop(f"{key}_weight")
-    judged = cut(judged.na.fill(0, ["joined_n", "hyphenated_n", "left_n", "left_n_stem"]))
+    every = vocabulary.unionByName(ends.groupBy(F.col("joined").alias("word")).agg(F.count("*").alias("n"))).groupBy("word").agg(F.sum("n").alias("n"))
+    wrong = cut(corrections(every))
+    none = F.lit(None).cast("struct<n:bigint,m:bigint,meant:string>")
+    stems = vocabulary.where(F.col("word").contains("-")).select(F.substring_index("word", "-", 1).alias("word"), F.lit(0).cast("long").alias("n"), F.col("n").alias("n_stem"), none.alias("best"))
+    meant = wrong.select("word", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("n_stem"), F.struct("n", "m", "meant").alias("best"))
+    known = vocabulary.select("word", "n", F.lit(0).cast("long").alias("n_stem"), none.alias("best")).unionByName(stems).unionByName(meant)
+    known = cut(known.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_stem").alias("n_stem"), F.max_by("best.meant", F.struct("best.m", "best.meant")).alias("meant")).withColumn("weight", F.col("n") + F.col("n_stem")))
+    asked = ends.select(*ends.columns, F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).alias("word")) for k in ("joined", "hyphenated", "left")])).alias("q")).select(*ends.columns, "q.k", "q.word")
+    got = lookup_join(asked, known, "word", "weight", "left")
+    of = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
+    judged = cut(got.groupBy(*ends.columns).agg(*[F.coalesce(of(k, c), F.lit(0)).alias(f"{k}_{c}") for k, c in (("joined", "n"), ("hyphenated", "n"), ("left", "n"), ("left", "n_stem"))], of("joined", "meant").alias("joined_meant")))
     known_whole = (F.col("joined_n") > 0) | (F.col("hyphenated_n") > 0)
     is_cut = F.when(known_whole, F.col("joined_n") >= F.col("hyphenated_n")).otherwise(F.col("sign").isin("¬", "=", "–") | (F.col("left_n_stem") <= F.col("left_n") / 20) | (F.col("left_n_stem") == 0))
-    hyphens = judged.where(is_cut & ~((F.col("sign") == "-") & F.coalesce(F.col("next").rlike("@|arroba"), F.lit(False)))).select(*WORD).withColumn("noise", F.lit("hyphen"))
+    hyphens = judged.where(is_cut & ~((F.col("sign") == "-") & F.coalesce(F.col("nx.text").rlike("@|arroba"), F.lit(False))))
 
-    around = F.transform("toks", lambda t: _core(t["text"]))
-    numbered = body.withColumn("cores", around).select(*LINE, "cores", F.posexplode("toks").alias("i", "t"), F.when(continued, 1).otherwise(0).alias("lo"), (F.size("toks") - F.when(ended, 1).otherwise(0)).alias("hi"))
-    inner = numbered.select(*LINE, F.col("t.word_num").alias("word_num"), F.col("t.text").alias("text"), F.col("i").between(F.col("lo"), F.col("hi") - 1).alias("whole"), F.when(F.col("i") > 0, F.get("cores", F.col("i") - 1)).otherwise("").alias("before"), F.get("cores", F.col("i")).alias("word"), F.coalesce(F.get("cores", F.col("i") + 1), F.lit("")).alias("after"))
-    inner = inner.where(F.col("whole") & (F.col("word") != "") & ~F.col("text").rlike(SKIP)).drop("whole", "text")
-    pairs = cut(inner.where("before <> ''").groupBy(F.col("before").alias("a"), F.col("word").alias("b")).agg(F.count("*").alias("c")))
     bad = wrong.groupBy("word").agg(F.max("n").alias("n"), F.collect_set(F.struct("meant", "sure")).alias("meants"))
-    suspects = lookup_join(inner, bad, "word", "n").select(*WORD, "before", "word", "after", F.inline("meants"))
-    by_vocabulary = confirmed(suspects, pairs).groupBy(*WORD).agg(F.max("meant").alias("meant"))
-    shaped = body.select(*LINE, F.explode("toks").alias("t")).where(shape_misread(F.col("t.text"))).select(*LINE, F.col("t.word_num").alias("word_num"), F.lit(None).cast("string").alias("meant"))
-    after = judged.where("joined_meant is not null and substring(joined, 1, length(left)) = substring(joined_meant, 1, length(left))").select(*LINE, "left", F.col("joined_meant").alias("meant"))
-    lines_next = body.select(*LINE, F.lead(F.struct(*LINE[2:], first["word_num"].alias("word_num"))).over(w).alias("nx"))
-    second = after.select(*LINE, "left", "meant").join(lines_next, LINE).where("nx is not null").select("doc_id", "page", "nx.block_num", "nx.par_num", "nx.line_num", "nx.word_num", F.expr("substring(meant, length(left) + 1)").alias("meant"))
-    misread = by_vocabulary.unionByName(shaped).unionByName(second.select(*WORD, "meant")).groupBy(*WORD).agg(F.max("meant").alias("meant")).withColumn("noise", F.lit("misread"))
-
-    every = edge.unionByName(specks).unionByName(hyphens).withColumn("meant", F.lit(None).cast("string")).unionByName(misread)
+    suspects = cut(lookup_join(tokens, bad, "word", "n").select(*WORD, "before", "word", "after", F.inline("meants")))
+    pairs = tokens.where("before <> ''").groupBy(F.concat_ws(SEP, "before", "word").alias("key")).agg(F.count("*").alias("c")).where("c >= 1")
+    by_vocabulary = confirmed(suspects, cut(pairs)).select(*WORD, "meant")
+    second = judged.where("joined_meant is not null and nx.word_num is not null and substring(joined, 1, length(left)) = substring(joined_meant, 1, length(left))")
+    second = second.select("doc_id", "nx.page", "nx.block_num", "nx.par_num", "nx.line_num", "nx.word_num", F.expr("substring(joined_meant, length(left) + 1)").alias("meant"))
+    null = F.lit(None).cast("string")
+    noises = [
+        marks.select(*LINE, F.explode("nums").alias("word_num"), "noise", null.alias("meant")),
+        facts.where("kind = 'x'").select(*WORD, F.col("sign").alias("noise"), null.alias("meant")),
+        hyphens.select(*WORD, F.lit("hyphen").alias("noise"), null.alias("meant")),
+        by_vocabulary.unionByName(second).select(*WORD, F.lit("misread").alias("noise"), "meant"),
+    ]
+    all_ = noises[0].unionByName(noises[1]).unionByName(noises[2]).unionByName(noises[3])
     rank = F.element_at(F.create_map(*[x for i, k in enumerate(["header", "page_number", "speck", "hyphen", "misread"]) for x in (F.lit(k), F.lit(i))]), F.col("noise"))
-    noise = every.groupBy(*WORD).agg(F.min_by("noise", rank).alias("noise"), F.max("meant").alias("meant"))
-    return noise, body
+    return all_.groupBy(*WORD).agg(F.min_by("noise", rank).alias("noise"), F.max("meant").alias("meant")), whole
 
 
 def found(words: DataFrame, pages: DataFrame | None = None) -> DataFrame:
@@ -294,25 +424,54 @@ def found(words: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     return analyse(words, pages)[0].drop("meant")
 
 
+PARAGRAPH = "doc_id string, page int, block_num int, par_num int, text string"
+
+
+def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages with all noise -> their paragraphs; a cut at the end of a paragraph stays marked."""
+    import regex as re
+
+    schema = _arrow(PARAGRAPH)
+    inside, stray = re.compile(r"[\p{L}\p{N}].*[\p{L}\p{N}]", re.S), re.compile(r"(?<=[\p{L}\p{N}])[\^~](?=[\p{L}\p{N}])")
+    joint, compound = re.compile("\x01\\s?(?=.)", re.S), re.compile(r"(?<=\p{L}-)\s(?=\p{Ll})")
+
+    def cased(meant: str, seen: str) -> str:
+        """meant in the case of what was seen."""
+        if sum(c.isupper() for c in seen) > sum(c.islower() for c in seen):
+            return meant.upper()
+        return meant[:1].upper() + meant[1:] if seen[0].isupper() else meant
+
+    for batch in batches:
+        rows = []
+        for page, lines in _read(batch):
+            noise = {(m["block_num"], m["par_num"], m["line_num"], m["word_num"]): (m["noise"], m["meant"]) for m in page["marks"] or ()}
+            paragraphs: dict[tuple, list[str]] = {}
+            for line in lines:
+                out = []
+                for t in line:
+                    kind, meant = noise.get(t[:4], (None, None))
+                    text = t[TEXT]
+                    if kind in ("header", "page_number", "speck") or not text.strip():
+                        continue
+                    if kind == "misread" and meant is not None:
+                        m = inside.search(text)
+                        text = text[: m.start()] + cased(meant, m[0]) + text[m.end() :] if m else text
+                    else:
+                        text = stray.sub("", text)
+                    out.append(text[:-1] + "\x01" if kind == "hyphen" else text)
+                if out:
+                    paragraphs.setdefault(line[0][:2], []).append(" ".join(out))
+            rows += [(page["doc_id"], page["page"], *key, compound.sub("", joint.sub("", " ".join(parts)))) for key, parts in paragraphs.items()]
+        yield _batch(rows, schema)
+
+
 def paragraphs(words: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """(doc_id, page, block_num, par_num, text): paragraphs without noise, cut words joined, misreadings mended.
 
     A paragraph that goes on at the top of the next page takes that page's first paragraph with it, over any number of pages."""
-    noise, body = analyse(words, pages)
-    flags = cut(noise.where("noise in ('hyphen', 'misread')")).groupBy(*LINE).agg(F.map_from_entries(F.collect_list(F.struct("word_num", F.struct("noise", "meant")))).alias("flags"))
-    fix = F.transform(
-        "toks",
-        lambda t: F.struct(
-            F.when((F.col("flags")[t["word_num"]]["noise"] == "misread") & F.col("flags")[t["word_num"]]["meant"].isNotNull(), F.regexp_replace(t["text"], "[\\p{L}\\p{N}].*[\\p{L}\\p{N}]", F.col("flags")[t["word_num"]]["meant"]))
-            .otherwise(F.regexp_replace(t["text"], "(?<=[\\p{L}\\p{N}])[\\^~](?=[\\p{L}\\p{N}])", ""))
-            .alias("text"),
-            F.coalesce(F.col("flags")[t["word_num"]]["noise"] == "hyphen", F.lit(False)).alias("cut"),
-        ),
-    )
-    lines = body.join(flags, LINE, "left").withColumn("fixed", fix)
-    text = F.array_join(F.transform("fixed", lambda t: F.when(t["cut"], F.concat(F.regexp_replace(t["text"], "[-–¬=]$", ""), F.lit("\u0001"))).otherwise(t["text"])), " ")
-    tight = F.regexp_replace(F.regexp_replace("text", "\u0001\\s?", ""), "(?<=\\p{L}[-])\\s(?=\\p{Ll})", "")
-    per = lines.select(*LINE, text.alias("line")).groupBy(*LINE[:4]).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_num", "line"))), lambda x: x["line"]), " ").alias("text")).withColumn("text", tight)
+    noise, whole = analyse(words, pages)
+    per_page = noise.groupBy(*PAGE).agg(F.collect_list(F.struct(*WORD[2:], "noise", "meant")).alias("marks"))
+    per = whole.drop("height").join(per_page, PAGE, "left").mapInArrow(_write, PARAGRAPH)
     w = Window.partitionBy("doc_id", "page")
     order = F.struct("block_num", "par_num")
     per = cut(per.withColumn("is_first", order == F.min(order).over(w)).withColumn("is_last", order == F.max(order).over(w)))
@@ -327,4 +486,5 @@ def paragraphs(words: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     whole = whole.select("doc_id", "head.*", "tail")
     moved = links.select("doc_id", (F.col("page") + 1).alias("page")).withColumn("is_first", F.lit(True))
     kept = per.join(moved, ["doc_id", "page", "is_first"], "left_anti")
-    return kept.join(whole, LINE[:4], "left").select(*LINE[:4], F.concat_ws(" ", "text", "tail").alias("text"))
+    text = F.regexp_replace(F.concat_ws(" ", "text", "tail"), "\u0001\\s?(?=.)", "")
+    return kept.join(whole, LINE[:4], "left").select(*LINE[:4], F.regexp_replace(text, "\u0001$", "-").alias("text"))

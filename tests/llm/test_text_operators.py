@@ -381,6 +381,23 @@ def test_scan_noise(spark):
     assert scans.found(df.limit(0)).count() == 0
 
 
+def test_page_numbers_run_on_and_cut_words_cross_pages(spark):
+    body = ["a testemunha declarou que a certidão de matrícula", "foi juntada pela vice-presidente do conselho"]
+    pages = {("d", p): [(88, f"Recibo {40 + p}"), *[(330 + 50 * i, t) for i, t in enumerate(body)]] for p in range(1, 7)}
+    pages[("d", 3)][0] = (88, "Recibo 77")  # another number at the same place does not run on
+    pages[("d", 5)] += [(430, "a matrí-")]
+    pages[("d", 6)][1] = (330, "cula que a testemunha declarou")
+    pages[("e", 1)] = [(88, "Recibo 12"), (330, body[0])]  # no page to run on to
+    df = spark.createDataFrame(scanned(pages), OCR)
+    got = {}
+    for r in scans.found(df).collect():
+        got.setdefault((r["doc_id"], r["noise"]), set()).add((r["page"], r["line_num"], r["word_num"]))
+    assert {p for p, _, _ in got[("d", "page_number")]} >= {1, 2, 4, 5, 6}
+    assert ("e", "page_number") not in got
+    assert (5, 4, 2) in got[("d", "hyphen")]
+    assert "a matrícula que a testemunha" in " ".join(r["text"] for r in scans.paragraphs(df).where("doc_id = 'd'").collect())
+
+
 def test_corrections(spark):
     v = spark.createDataFrame([("recibo", 500), ("rccibo", 2), ("autora", 90), ("autoro", 60), ("deterrninou", 1), ("determinou", 80), ("de", 900)], "word string, n bigint")
     got = {r["word"]: (r["meant"], r["sure"]) for r in scans.corrections(v).collect()}
