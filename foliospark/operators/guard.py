@@ -132,7 +132,7 @@ def apply_edit(blocks: dict[str, dict], op: dict) -> list[str]:
     ids = list(op["ids"] if op["ids"] is not None else [])
     missing = [i for i in ids if i not in blocks]
     if missing or not ids:
-        raise EditError(f"bloco inexistente: {missing[0] if missing else ''}")
+        raise EditError(f"id fora do documento: {missing[0] if missing else ''}")
     chosen = [blocks[i] for i in ids]
     first, kind, gone = chosen[0], op["op"], []
 
@@ -141,7 +141,7 @@ def apply_edit(blocks: dict[str, dict], op: dict) -> list[str]:
             raise EditError(why)
 
     if kind == "merge_blocks":
-        need(len(ids) > 1 and all(b["kind"] in ("paragraph", "list_item") for b in chosen), "só parágrafos e itens de lista podem ser unidos")
+        need(len(ids) > 1 and all(b["kind"] in ("paragraph", "list_item") for b in chosen), "união pede dois ou mais parágrafos ou itens")
         for other in chosen[1:]:
             a, t = (first["text"] or "").rstrip(), (other["text"] or "").lstrip()
             first["text"] = a[:-1] + t if a.endswith("-") else f"{a} {t}".strip()
@@ -149,37 +149,37 @@ def apply_edit(blocks: dict[str, dict], op: dict) -> list[str]:
             del blocks[other["block_id"]]
         chosen = [first]
     elif kind == "set_heading_level":
-        need(first["kind"] == "heading" and 1 <= (op["level"] or 0) <= 6, "não é um título")
+        need(first["kind"] == "heading" and 1 <= (op["level"] or 0) <= 6, "o alvo deveria ser título com nível de 1 a 6")
         first["level"] = op["level"]
     elif kind == "promote_to_heading":
-        need(first["kind"] in ("paragraph", "list_item") and 1 <= (op["level"] or 0) <= 6, "não pode virar título")
+        need(first["kind"] in ("paragraph", "list_item") and 1 <= (op["level"] or 0) <= 6, "título só nasce de parágrafo ou item, nível de 1 a 6")
         first.update(numbering=first["marker"] if first["kind"] == "list_item" else None, kind="heading", level=op["level"], marker=None)
     elif kind == "demote_to_paragraph":
-        need(first["kind"] == "heading", "não é um título")
+        need(first["kind"] == "heading", "o alvo deveria ser título com nível de 1 a 6")
         first.update(kind="paragraph", style="body", text=f"{first['numbering']} {first['text']}".strip() if first["numbering"] else first["text"], numbering=None, level=None)
     elif kind == "promote_to_list":
-        need(all(b["kind"] == "paragraph" for b in chosen), "não é parágrafo")
+        need(all(b["kind"] == "paragraph" for b in chosen), "o alvo deveria ser parágrafo")
         for b in chosen:
             b.update(kind="list_item", ordered=bool(op["ordered"]), marker="1." if op["ordered"] else "-")
     elif kind == "mark_as_footnote":
-        need(first["kind"] == "paragraph", "não é parágrafo")
+        need(first["kind"] == "paragraph", "o alvo deveria ser parágrafo")
         first.update(kind="footnote", marker=op["marker"] or "*")
     elif kind == "mark_as_quote":
-        need(first["kind"] == "paragraph", "não é parágrafo")
+        need(first["kind"] == "paragraph", "o alvo deveria ser parágrafo")
         first["style"] = "quote"
     elif kind == "reorder":
         order = sorted(b["seq"] for b in chosen)
-        need(len(ids) > 1 and order == list(range(order[0], order[0] + len(order))), "só é possível reordenar blocos contíguos")
+        need(len(ids) > 1 and order == list(range(order[0], order[0] + len(order))), "nova ordem pede blocos vizinhos sem lacuna")
         for seq, b in zip(order, chosen):
             b["seq"] = seq
     elif kind == "set_table_header_rows":
-        need(first["kind"] == "table" and 0 <= (op["header_rows"] or 0) <= 3 and (op["header_rows"] or 0) < (first["n_rows"] or 0), "cabeçalho não pode consumir a tabela inteira")
+        need(first["kind"] == "table" and 0 <= (op["header_rows"] or 0) <= 3 and (op["header_rows"] or 0) < (first["n_rows"] or 0), "linhas de cabeçalho: de 0 a 3 e menos que a tabela")
         first["header_rows"] = op["header_rows"]
     elif kind == "flag_review":
         first.update(needs_review=True, review_reason=f"apontado: {op['note']}")
         return gone
     else:
-        raise EditError(f"operação desconhecida: {kind}")
+        raise EditError(f"tipo de edição sem regra: {kind}")
     for b in chosen:
         b["source"] = "ai"
     return gone

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,19 +50,21 @@ def group_slices(boxes: list[tuple], tol: float = 2.0) -> list[int]:
 
 
 def cluster_drawings(boxes: list[tuple], grow: float = 12.0) -> list[int]:
-    """Cluster of every box in order of (y0, x0): the first whose grown envelope it meets."""
-    env: list[list[float]] = []
-    out = []
-    for b in boxes:
-        for k, e in enumerate(env):
-            if min(b[2], e[2] + grow) > max(b[0], e[0] - grow) and min(b[3], e[3] + grow) > max(b[1], e[1] - grow):
-                env[k] = [min(e[0], b[0]), min(e[1], b[1]), max(e[2], b[2]), max(e[3], b[3])]
-                out.append(k)
-                break
+    """Cluster of every box in order of (y0, x0): the oldest envelope that, grown on all sides, overlaps it.
+
+    Envelopes are columns of one array, so a box is held against all of them at once."""
+    low, high = np.empty((len(boxes), 2)), np.empty((len(boxes), 2))  # envelopes by corner
+    labels = np.empty(len(boxes), dtype=int)
+    used = 0
+    for i, box in enumerate(np.array(boxes, dtype=float).reshape(-1, 4)):
+        overlap = ((low[:used] - grow < box[2:]) & (high[:used] + grow > box[:2])).all(axis=1) & (box[2:] > box[:2]).all()
+        k = int(overlap.argmax()) if overlap.any() else used
+        if k == used:
+            low[k], high[k], used = box[:2], box[2:], used + 1
         else:
-            env.append(list(b))
-            out.append(len(env) - 1)
-    return out
+            low[k], high[k] = np.minimum(low[k], box[:2]), np.maximum(high[k], box[2:])
+        labels[i] = k
+    return labels.tolist()
 
 
 def _per_page(boxes: DataFrame, assign, order, name: str) -> DataFrame:

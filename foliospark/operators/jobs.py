@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,17 +52,31 @@ def orphan_batches(states: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def folder_names(files: DataFrame) -> DataFrame:
-    """files (batch_id, idx, filename) with folder: stems made unique per batch without regard to case.
-
-    base, base-2, base-3, ...; a literal name that equals a generated one moves the generated one on."""
-    f = files.withColumn("stem", F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(F.coalesce("filename", F.lit("")), "^.*[/\\\\]", ""), "(?<=.)\\.[^.]*$", ""), F.lit("")), F.lit("documento")))
-    w = Window.partitionBy("batch_id", F.lower("stem")).orderBy("idx")
-    f = f.withColumn("k", F.row_number().over(w))
-    name = F.when(F.col("k") == 1, F.col("stem")).otherwise(F.concat("stem", F.lit("-"), F.col("k").cast("string")))
-    f = f.withColumn("folder", name)
-    again = Window.partitionBy("batch_id", F.lower("folder")).orderBy(F.col("k") > 1, "idx")
-    f = f.withColumn("dup", F.row_number().over(again))
-    return f.withColumn("folder", F.when(F.col("dup") > 1, F.concat("folder", F.lit("-"), F.col("dup").cast("string"))).otherwise(F.col("folder"))).drop("stem", "k", "dup")
+    """files (batch_id, idx, filename) with folder: stems made unique per batch without regard to case, in order of idx.
+
+    A name that is taken gets -2, -3, ... until one is free, whether the taken one was given or generated.  Names can
+    only meet when they share their root (the stem without trailing numbers), so each root is numbered by itself, as a
+    stream of sorted rows: no batch is gathered."""
+    stem = F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(F.coalesce("filename", F.lit("")), "^.*[/\\\\]", ""), "(?<=.)\\.[^.]*$", ""), F.lit("")), F.lit("documento"))
+    f = files.withColumn("folder", stem).withColumn("__root", F.regexp_replace(F.lower("folder"), "(-\\d+)+$", ""))
+    sorted_ = f.repartition("batch_id", "__root").sortWithinPartitions("batch_id", "__root", "idx", "folder")
+
+    def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, used, following = None, set(), {}
+        for pdf in batches:
+            out = []
+            for batch, root, base in zip(pdf["batch_id"], pdf["__root"], pdf["folder"]):
+                if (batch, root) != at:
+                    at, used, following = (batch, root), set(), {}
+                folder, n = base, following.get(base.lower(), 2)
+                while folder.lower() in used:
+                    folder, n = f"{base}-{n}", n + 1
+                following[base.lower()] = n
+                used.add(folder.lower())
+                out.append(folder)
+            yield pdf.assign(folder=out)
+
+    return sorted_.mapInPandas(name, sorted_.schema).drop("__root")
 
 
 def admission(files: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
