@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.config import DEFAULT, Config
+from foliospark.config import DEFAULT, Config, Options
 from foliospark.functions import text as T
 
 
@@ -72,6 +72,14 @@ def ocr_confidence(ocr_words: DataFrame, min_conf: float = 40.0) -> DataFrame:
     return per.groupBy("doc_id").agg(F.count("*").alias("pages"), F.round(F.avg("c"), 2).alias("ocr_mean"))
 
 
+def ocr_pages(routed: DataFrame, ocr_words: DataFrame, min_conf: float = 40.0) -> DataFrame:
+    """(doc_id, page, ocr_words, ocr_mean) of every page that was to be recognised or holds recognised words."""
+    w = ocr_words.distinct().where((F.coalesce("conf", F.lit(-1.0)) >= min_conf) & (T.strip(F.coalesce("text", F.lit(""))) != ""))
+    per = w.groupBy("doc_id", "page").agg(F.count("*").alias("ocr_words"), F.avg("conf").alias("ocr_mean"))
+    wanted = routed.where(F.col("route").isin("ocr", "hybrid")).select("doc_id", "page").distinct()
+    return wanted.join(per, ["doc_id", "page"], "full").na.fill(0, ["ocr_words"])
+
+
 def images_missing(declared: Column, extracted: Column, vector: Column, suppressed: Column) -> Column:
     left = F.greatest(F.lit(0), declared - suppressed)
     return (left > 0) & (F.greatest(F.lit(0), extracted - vector) < 0.6 * left)
@@ -94,7 +102,7 @@ def pending(empty: Column, tables: Column, ocr_mean: Column, suspect_pct: Column
 
 # Warning codes and their severity.
 SEVERITY = {
-    "OCR_DISABLED": "warning", "OCR_SKIPPED": "warning", "PAGES_EMPTY": "info", "OCR_LANG_MISSING": "warning", "OCR_PAGE_FAILED": "error", "OCR_NO_TEXT": "warning", "OCR_LOW_CONFIDENCE": "warning",
+    "OCR_DISABLED": "error", "OCR_SKIPPED": "error", "PAGES_EMPTY": "info", "OCR_LANG_MISSING": "warning", "OCR_PAGE_FAILED": "error", "OCR_NO_TEXT": "error", "OCR_LOW_CONFIDENCE": "warning",
     "TABLE_LOW_CONFIDENCE": "warning", "IMAGE_EXTRACTION_FAILED": "error", "AI_CONSENT_MISSING": "warning", "AI_UNAVAILABLE": "warning", "AI_CALL_FAILED": "warning", "AI_OPERATIONS_REJECTED": "info",
     "AI_CONTENT_DRIFT": "error", "STAGE_FAILED": "error", "PAGE_TEXT_LOSS": "warning", "PAGE_NO_TEXT": "error", "EXTRACTOR_DISAGREEMENT": "warning", "OCR_QUALITY_SUSPECT": "warning", "IMAGES_MISSING": "warning",
 }
@@ -105,18 +113,50 @@ def warning_rows(rows: DataFrame, code: str, count: str = "n") -> DataFrame:
     return rows.select("doc_id", F.lit(code).alias("code"), F.lit(SEVERITY[code]).alias("severity"), F.col(count).cast("bigint").alias("n"))
 
 
-def warnings(routed: DataFrame, per_page: DataFrame, tables: DataFrame, lexical: DataFrame, ocr: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Warnings of every file as one table: a branch per code, united."""
-    pages = lambda df, cond: df.where(cond).groupBy("doc_id").agg(F.count("*").alias("n"))
+def _per_file(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+def warnings(routed: DataFrame, per_page: DataFrame, tables: DataFrame, lexical: DataFrame, recognised: DataFrame, second: DataFrame | None = None, images: DataFrame | None = None, failures: DataFrame | None = None, edits: DataFrame | None = None, drifted: DataFrame | None = None, options: Options = Options(), cfg: Config = DEFAULT, ocr_enabled: bool = True, languages: tuple[str, ...] = (), provider_available: bool = True) -> DataFrame:
+    """(doc_id, code, severity, n) of every file: one branch per code of the catalogue, united.
+
+    recognised: ocr_pages(); second: second_opinion(); images (doc_id, declared, extracted, vector, suppressed);
+    failures (doc_id, stage, page) of stages that broke, page null for a whole file; edits: outcomes of guarded
+    edits; drifted (doc_id): files whose content changed by edits.  Branches without their table are left out."""
     produced = per_page.select("doc_id", "page", "produced")
-    return (
-        warning_rows(pages(routed, (F.col("route") == "empty") & ~F.col("excluded")), "PAGES_EMPTY")
-        .unionByName(warning_rows(lossy_pages(per_page, cfg).groupBy("doc_id").agg(F.count("*").alias("n")), "PAGE_TEXT_LOSS"))
-        .unionByName(warning_rows(empty_pages(routed, produced).groupBy("doc_id").agg(F.count("*").alias("n")), "PAGE_NO_TEXT"))
-        .unionByName(warning_rows(pages(tables, F.col("confidence") < cfg.table_confidence), "TABLE_LOW_CONFIDENCE"))
-        .unionByName(warning_rows(lexical.where("tokens >= 200 and suspect_ratio > 0.06").withColumn("n", F.col("suspect_tokens")), "OCR_QUALITY_SUSPECT"))
-        .unionByName(warning_rows(ocr.where(F.col("ocr_mean") < cfg.ocr_page_conf).withColumn("n", F.col("pages")), "OCR_LOW_CONFIDENCE"))
-    )
+    every = routed.select("doc_id").distinct().withColumn("n", F.lit(1))
+    none = every.limit(0)
+    failed = lambda cond: none if failures is None else _per_file(failures.where(cond))
+    outcome = lambda cond: none if edits is None else _per_file(edits.where(cond))
+    wanted = options.edits
+    branches: dict[str, DataFrame] = {
+        "OCR_DISABLED": none if ocr_enabled else _per_file(routed.where("route = 'ocr'")),
+        "OCR_SKIPPED": _per_file(routed.where("needs_ocr")) if options.ocr_mode == "never" else none,
+        "PAGES_EMPTY": _per_file(routed.where("route = 'empty' and not excluded and not needs_ocr")),
+        "OCR_LANG_MISSING": _per_file(routed.where("needs_ocr").select("doc_id").distinct()) if languages and options.language not in languages else none,
+        "OCR_PAGE_FAILED": failed("stage = 'ocr' and page is not null"),
+        "OCR_NO_TEXT": _per_file(recognised.where("ocr_words = 0")),
+        "OCR_LOW_CONFIDENCE": _per_file(recognised.where((F.col("ocr_words") > 0) & (F.col("ocr_mean") < cfg.ocr_page_conf))),
+        "TABLE_LOW_CONFIDENCE": _per_file(tables.where(F.col("confidence") < cfg.table_confidence)),
+        "IMAGE_EXTRACTION_FAILED": failed("stage = 'images' and page is not null"),
+        "AI_CONSENT_MISSING": every if wanted and not options.edits_consent else none,
+        "AI_UNAVAILABLE": every if wanted and options.edits_consent and not provider_available else none,
+        "AI_CALL_FAILED": failed("stage = 'edits' and page is null"),
+        "AI_OPERATIONS_REJECTED": outcome("outcome = 'rejected'"),
+        "AI_CONTENT_DRIFT": none if drifted is None else _per_file(drifted.select("doc_id").distinct()),
+        "STAGE_FAILED": failed("stage <> 'edits' and page is null"),
+        "PAGE_TEXT_LOSS": _per_file(lossy_pages(per_page, cfg)),
+        "PAGE_NO_TEXT": _per_file(empty_pages(routed, produced)),
+        "EXTRACTOR_DISAGREEMENT": none if second is None else _per_file(second),
+        "OCR_QUALITY_SUSPECT": lexical.where("tokens >= 200 and suspect_ratio > 0.06").select("doc_id", F.col("suspect_tokens").alias("n")),
+        "IMAGES_MISSING": none if images is None else images.where(images_missing(F.col("declared"), F.col("extracted"), F.col("vector"), F.col("suppressed"))).select("doc_id", F.col("declared").alias("n")),
+    }
+    out = None
+    for code, rows in branches.items():
+        if rows is not none:
+            part = warning_rows(rows, code)
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
 def report_json(parts: DataFrame) -> DataFrame:

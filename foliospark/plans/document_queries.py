@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.config import Options
 from foliospark.functions import geometry as G
 from foliospark.functions import text as T
 from foliospark.operators import guard, images, jobs, layout, payload, quality, reading_order, regions, render, rulings, semantics, tables_grid, tables_stream, triage
@@ -574,29 +575,133 @@ def tables_to_review(spark, sf):
     return b.groupBy("doc_id").agg(F.count("*").alias("total"), F.count_if(F.coalesce("needs_review", F.lit(False))).alias("to_review"), F.count_if(F.coalesce(F.col("confidence") < 0.65, F.lit(False))).alias("below"))
 
 
-def warnings_of(spark, sf):
-    b = table(spark, sf, "blocks").distinct()
-    text = b.where("kind <> 'page_break' and text is not null")
-    return quality.warnings(routed_of(spark, sf), coverage_of(spark, sf), b.where("kind = 'table'"), quality.lexical_sanity(text), quality.ocr_confidence(table(spark, sf, "ocr_words")))
+def files_images_of(spark, sf):
+    """(doc_id, declared, extracted, vector, suppressed): pictures the pages declare, figure blocks that came out, whole-page scans left out."""
+    scans = F.sum(((F.col("route") == "ocr") & (F.coalesce("image_count", F.lit(0)) == 1)).cast("long"))
+    declared = routed_of(spark, sf).groupBy("doc_id").agg(F.sum(F.coalesce("image_count", F.lit(0))).alias("declared"), scans.alias("suppressed"))
+    figures = table(spark, sf, "blocks").distinct().where("kind = 'figure'").groupBy("doc_id").agg(F.count("*").alias("extracted"), F.count_if(F.coalesce("engine", F.lit("")) == "vector").alias("vector"))
+    return declared.join(figures, "doc_id", "left").na.fill(0, ["extracted", "vector"])
+
+
+def second_of(spark, sf):
+    other = table(spark, sf, "words").where("text is not null").distinct().groupBy("doc_id", "page").agg(F.sum(F.char_length("text")).alias("other"))
+    dropped = regions.boilerplate(regions.recurrent_exact(bands_of(spark, sf), n_pages_of(spark, sf))).select("doc_id", "page", "boilerplate_chars")
+    return quality.second_opinion(quality.sampled_pages(triage.native_pages(routed_of(spark, sf))), other, produced_of(spark, sf), dropped)
+
+
+def lexical_of(spark, sf):
+    return quality.lexical_sanity(table(spark, sf, "blocks").distinct().where("kind <> 'page_break' and text is not null"))
+
+
+def ocr_pages_of(spark, sf):
+    return quality.ocr_pages(routed_of(spark, sf), table(spark, sf, "ocr_words"))
 
 
-@query("document_warnings")
+def warnings_of(spark, sf):
+    tables = table(spark, sf, "blocks").distinct().where("kind = 'table'")
+    return quality.warnings(routed_of(spark, sf), coverage_of(spark, sf), tables, lexical_of(spark, sf), ocr_pages_of(spark, sf), second_of(spark, sf), files_images_of(spark, sf))
+
+
+def _branch(code: str, severity: str, ctes: str, rows: str, n: str = "count(*)", group: str = "GROUP BY doc_id") -> str:
+    return f"SELECT * FROM (WITH {ctes} SELECT doc_id, '{code}' AS code, '{severity}' AS severity, CAST({n} AS BIGINT) AS n FROM {rows} {group})"
+
+
+OCR_PAGES = f"""{ROUTED}, pw AS (SELECT doc_id, page, count(*) AS nw, avg(conf) AS c FROM (SELECT DISTINCT * FROM ocr_words) WHERE coalesce(conf, -1) >= 40 AND {s_strip("coalesce(text, '')")} <> '' GROUP BY ALL),
+rp AS (SELECT doc_id, page, coalesce(nw, 0) AS nw, c FROM (SELECT DISTINCT doc_id, page FROM rt WHERE route IN ('ocr', 'hybrid')) FULL JOIN pw USING (doc_id, page))"""
+SECOND = f"""{RECURRENT}, {SAMPLE.replace(PAGES + ",", "", 1)}, {PRODUCED}, bo AS (SELECT doc_id, page, CAST(sum(char_count) AS BIGINT) AS boil FROM rec GROUP BY ALL), ot AS (SELECT doc_id, page, CAST(sum(length(text)) AS BIGINT) AS other FROM (SELECT DISTINCT * FROM words WHERE text IS NOT NULL) GROUP BY ALL),
+sj AS (SELECT doc_id, page, other, coalesce(produced, 0) AS produced, greatest(1, other - coalesce(boil, 0)) AS comparable FROM sm JOIN ot USING (doc_id, page) LEFT JOIN pr USING (doc_id, page) LEFT JOIN bo USING (doc_id, page)),
+so AS (SELECT *, produced / comparable AS ratio FROM sj WHERE comparable >= 40 AND (produced / comparable < 0.8 OR produced / comparable > 1.6))"""
+BLOCK_LEXICAL = LEXICAL.replace("left(text, 60000)", "text").replace("FROM documents WHERE text IS NOT NULL", "FROM (SELECT DISTINCT * FROM blocks) WHERE kind <> 'page_break' AND text IS NOT NULL").replace("FROM documents d", "FROM (SELECT DISTINCT doc_id FROM blocks WHERE kind <> 'page_break' AND text IS NOT NULL) d")
+FILE_IMAGES = f"""{ROUTED}, im AS (SELECT doc_id, sum(coalesce(image_count, 0)) AS declared, count(*) FILTER (route = 'ocr' AND coalesce(image_count, 0) = 1) AS suppressed FROM rt GROUP BY 1),
+fg AS (SELECT doc_id, count(*) AS extracted, count(*) FILTER (coalesce(engine, '') = 'vector') AS vector FROM (SELECT DISTINCT * FROM blocks) WHERE kind = 'figure' GROUP BY 1),
+fi AS (SELECT doc_id, declared, suppressed, coalesce(extracted, 0) AS extracted, coalesce(vector, 0) AS vector FROM im LEFT JOIN fg USING (doc_id))"""
+WARNINGS = " UNION ALL ".join(
+    [
+        _branch("PAGES_EMPTY", "info", ROUTED, "rt WHERE route = 'empty' AND NOT needs_ocr"),
+        _branch("OCR_NO_TEXT", "error", OCR_PAGES, "rp WHERE nw = 0"),
+        _branch("OCR_LOW_CONFIDENCE", "warning", OCR_PAGES, "rp WHERE nw > 0 AND c < 70"),
+        _branch("TABLE_LOW_CONFIDENCE", "warning", "tb AS (SELECT DISTINCT * FROM blocks)", "tb WHERE kind = 'table' AND confidence < 0.65"),
+        _branch("PAGE_TEXT_LOSS", "warning", COVERAGE, "cv WHERE expected >= 40 AND produced / expected < 0.75"),
+        _branch("PAGE_NO_TEXT", "error", f"{ROUTED}, {PRODUCED}", "rt LEFT JOIN pr USING (doc_id, page) WHERE coalesce(produced, 0) = 0 AND (route <> 'empty' OR needs_ocr)"),
+        _branch("EXTRACTOR_DISAGREEMENT", "warning", SECOND, "so"),
+        _branch("OCR_QUALITY_SUSPECT", "warning", BLOCK_LEXICAL, "ls WHERE tokens >= 200 AND round(suspect_tokens / tokens, 4) > 0.06", "suspect_tokens", ""),
+        _branch("IMAGES_MISSING", "warning", FILE_IMAGES, "fi WHERE declared > suppressed AND greatest(0, extracted - vector) < 0.6 * (declared - suppressed)", "declared", ""),
+    ]
+)
+
+
+@query("document_warnings", f"SELECT * FROM ({WARNINGS})")
 def document_warnings(spark, sf):
     return warnings_of(spark, sf)
 
 
-@query("report_summary")
+@query("second_opinion_net", f"WITH {SECOND} SELECT doc_id, page, other, comparable, produced, round(ratio, 3) AS ratio FROM so")
+def second_opinion_net(spark, sf):
+    """The second opinion with running headers taken off the other reading."""
+    return second_of(spark, sf)
+
+
+SUMMARY = f"""SELECT doc_id, CASE WHEN errors > 0 OR pct < 85 THEN 'revisar' WHEN alerts > 0 OR to_review > 0 THEN 'atencao' ELSE 'ok' END AS status, pct AS cobertura_texto_pct, errors AS erros, alerts AS avisos,
+ concat_ws('; ', CASE WHEN empty > 0 THEN CAST(empty AS INT) || ' página(s) sem texto' END, CASE WHEN to_review > 0 THEN CAST(to_review AS INT) || ' tabela(s) para conferir' END, CASE WHEN ocr_mean < 80 THEN 'OCR com confiança média de ' || CAST(round_even(ocr_mean, 0) AS INT) || '%' END, CASE WHEN suspect_ratio * 100 > 6 THEN printf('%.1f', suspect_ratio * 100) || '% de palavras improváveis' END) AS pendencias
+FROM (WITH {COVERAGE} SELECT doc_id, round(100 * round(least(1.0, CASE WHEN sum(expected) > 0 THEN sum(produced) / sum(expected) WHEN sum(produced) = 0 THEN 1.0 ELSE 0.0 END), 4), 1) AS pct FROM cv GROUP BY 1)
+LEFT JOIN (SELECT doc_id, count(*) FILTER (severity = 'error') AS errors0, count(*) FILTER (severity = 'warning') AS alerts0, max(n) FILTER (code = 'PAGE_NO_TEXT') AS empty FROM ({WARNINGS}) GROUP BY 1) w USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) FILTER (needs_review) AS to_review FROM (SELECT DISTINCT * FROM blocks) WHERE kind = 'table' GROUP BY 1) t USING (doc_id)
+LEFT JOIN ({SQL["ocr_confidence"]}) o USING (doc_id)
+LEFT JOIN (WITH {BLOCK_LEXICAL} SELECT doc_id, CASE WHEN tokens > 0 THEN round(suspect_tokens / tokens, 4) ELSE 0.0 END AS suspect_ratio FROM ls) l USING (doc_id),
+LATERAL (SELECT coalesce(errors0, 0) AS errors, coalesce(alerts0, 0) AS alerts)"""
+
+
+def summary_of(spark, sf, warned):
+    """Facts of every file that its verdict and its report need."""
+    w = warned.groupBy("doc_id").agg(F.count_if(F.col("severity") == "error").alias("erros"), F.count_if(F.col("severity") == "warning").alias("avisos"), F.max(F.when(F.col("code") == "PAGE_NO_TEXT", F.col("n"))).alias("empty"), F.max(F.when(F.col("code") == "PAGE_TEXT_LOSS", F.col("n"))).alias("lossy"), F.sort_array(F.collect_list(F.struct("code", "severity", "n"))).alias("warnings"))
+    j = quality.document_coverage(coverage_of(spark, sf)).join(w, "doc_id", "left").join(tables_to_review(spark, sf), "doc_id", "left")
+    j = j.join(quality.ocr_confidence(table(spark, sf, "ocr_words")), "doc_id", "left").join(lexical_of(spark, sf), "doc_id", "left")
+    j = j.na.fill(0, ["erros", "avisos", "empty", "lossy", "to_review", "total", "below", "pages"]).withColumn("pct", F.round(F.col("coverage") * 100, 1))
+    status = quality.verdict(F.col("erros"), F.col("avisos"), F.col("pct"), F.col("to_review"))
+    return j.withColumn("status", status).withColumn("pendencias", quality.pending(F.col("empty"), F.col("to_review"), F.col("ocr_mean"), F.col("suspect_ratio") * 100))
+
+
+@query("report_summary", SUMMARY)
 def report_summary(spark, sf):
-    """Verdict, counts and pending points of every file, with its report as JSON text."""
-    w = warnings_of(spark, sf).groupBy("doc_id").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("alerts"), F.max(F.when(F.col("code") == "PAGE_NO_TEXT", F.col("n"))).alias("empty"))
-    cov = quality.document_coverage(coverage_of(spark, sf))
-    j = cov.join(w, "doc_id", "left").join(tables_to_review(spark, sf), "doc_id", "left").join(quality.ocr_confidence(table(spark, sf, "ocr_words")).select("doc_id", "ocr_mean"), "doc_id", "left").join(block_kind_counts(spark, sf).select("doc_id", F.struct("heading", "paragraph", "list_item", "table", "figure", "footnote").alias("blocos")), "doc_id", "left")
-    j = j.na.fill(0, ["errors", "alerts", "empty", "to_review", "total"]).withColumn("pct", F.round(F.col("coverage") * 100, 1))
-    status = quality.verdict(F.col("errors"), F.col("alerts"), F.col("pct"), F.col("to_review"))
-    pend = quality.pending(F.col("empty"), F.col("to_review"), F.col("ocr_mean"), F.lit(None).cast("double"))
+    """Verdict, counts and pending points of every file."""
+    return summary_of(spark, sf, warnings_of(spark, sf)).select("doc_id", "status", F.col("pct").alias("cobertura_texto_pct"), "erros", "avisos", F.array_join("pendencias", "; ").alias("pendencias"))
+
+
+@query("report_documents")
+def report_documents(spark, sf):
+    """The JSON report of every file with all its sections."""
+    j = summary_of(spark, sf, warnings_of(spark, sf))
+    b = table(spark, sf, "blocks").distinct()
+    per = lambda df, name, *cols: df.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(name))
+    tables = per(b.where("kind = 'table'"), "detalhe", F.col("block_id").alias("id"), F.col("page").alias("pagina"), F.col("engine").alias("motor"), F.round("confidence", 3).alias("confianca"), F.coalesce("needs_review", F.lit(False)).alias("revisar"), F.col("review_reason").alias("motivo"))
+    heads = discarded_headers(spark, sf)
+    removed = heads.groupBy("doc_id").agg(*[F.sort_array(F.collect_list(F.when(F.col("band") == k, F.struct("ord", "text")))).alias(k) for k in ("header", "footer")])
+    rp = ocr_pages_of(spark, sf).select("doc_id", "page", F.round("ocr_mean", 2).alias("confianca_ocr"))
+    chars = recognised_of(spark, sf).groupBy("doc_id", "page").agg(F.sum("char_count").alias("caracteres_ocr"))
+    first = regions.recurrent_exact(bands_of(spark, sf), n_pages_of(spark, sf)).groupBy("doc_id", "page").agg(*[F.min_by(F.when(F.col("band") == k, F.col("text")), F.when(F.col("band") == k, F.col("block_no"))).alias(n) for k, n in (("header", "cabecalho"), ("footer", "rodape"))])
+    pages = routed_of(spark, sf).join(rp, ["doc_id", "page"], "left").join(chars, ["doc_id", "page"], "left").join(first, ["doc_id", "page"], "left")
+    pages = pages.groupBy("doc_id").agg(F.countDistinct("page").alias("n_pages"), F.sort_array(F.collect_list(F.struct(F.col("page").alias("numero"), F.col("route").alias("rota"), F.col("native_char_count").alias("caracteres_nativos"), "caracteres_ocr", "confianca_ocr", F.col("image_count").alias("imagens"), "cabecalho", "rodape"))).alias("paginas"))
+    counts = block_kind_counts(spark, sf).select("doc_id", F.struct("heading", "paragraph", "list_item", "table", "figure", "footnote").alias("blocos"))
+    styles = heading_styles(spark, sf).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("level", "style_size", "style_bold"))).alias("niveis_de_titulo"))
+    boiler = regions.boilerplate(regions.recurrent_exact(bands_of(spark, sf), n_pages_of(spark, sf))).groupBy("doc_id").agg(F.sum("boilerplate_chars").alias("boil"))
+    joined = cross_page_paragraphs(spark, sf).groupBy("doc_id").agg(F.count("*").alias("joined"))
+    promoted = orphan_captions(spark, sf).groupBy("doc_id").agg(F.count("*").alias("promoted"))
+    second = second_of(spark, sf).groupBy("doc_id").agg(F.count("*").alias("second"))
+    engines = b.where("kind = 'table'").groupBy("doc_id", F.coalesce("engine", F.lit("")).alias("engine")).agg(F.count("*").alias("c")).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("engine", "c"))).alias("motores"))
+    for part in (tables, removed, pages, counts, styles, body_style(spark, sf), hyphenation_rate(spark, sf), boiler, joined, promoted, second, engines, files_images_of(spark, sf)):
+        j = j.join(part, "doc_id", "left")
+    j = j.na.fill(0, ["boil", "joined", "promoted", "second", "declared", "extracted", "vector"])
+    pct = lambda c, n: F.round(F.col(c) * 100, n)
     sections = j.select(
-        "doc_id", F.col("pct").alias("text_accuracy"), F.col("total").alias("tables_detected"), F.struct(F.col("pct").alias("cobertura_texto_pct"), F.round(F.col("coverage_raw") * 100, 1).alias("cobertura_bruta_pct"), F.col("source_chars").alias("caracteres_origem_uteis"), F.col("markdown_chars").alias("caracteres_markdown")).alias("fidelidade"),
-        F.struct(F.col("ocr_mean").alias("confianca_media_pct")).alias("ocr"), F.struct("total", F.col("to_review").alias("para_revisar"), F.col("below").alias("abaixo_do_limiar")).alias("tabelas"), F.struct("blocos").alias("estrutura"), F.struct(status.alias("status"), F.col("errors").alias("erros"), F.col("alerts").alias("avisos"), pend.alias("pendencias")).alias("resumo"),
+        "doc_id", F.col("pct").alias("text_accuracy"), F.col("total").alias("tables_detected"), F.col("extracted").alias("images_extracted"), "warnings", F.lit("2.17").alias("schema_version"),
+        F.struct(F.col("doc_id").alias("arquivo"), F.lit(None).cast("string").alias("sha256"), F.lit(None).cast("bigint").alias("bytes"), F.col("n_pages").alias("paginas"), *[F.lit(None).cast("string").alias(c) for c in ("titulo_pdf", "autor_pdf", "produtor_pdf")], F.concat(T.safe_stem(F.col("doc_id")), F.lit(".md")).alias("arquivo_markdown")).alias("documento"),
+        F.struct(pct("coverage", 2).alias("cobertura_texto_pct"), pct("coverage_raw", 2).alias("cobertura_bruta_pct"), F.col("source_chars").alias("caracteres_origem_uteis"), F.col("boil").alias("caracteres_boilerplate_descartados"), F.col("markdown_chars").alias("caracteres_markdown"), F.col("empty").alias("paginas_sem_texto"), F.col("lossy").alias("paginas_com_perda"), F.col("second").alias("segunda_opiniao")).alias("fidelidade"),
+        F.struct(F.col("pages").alias("paginas_com_ocr"), F.lit(Options().language).alias("idioma"), F.col("ocr_mean").alias("confianca_media_pct"), pct("suspect_ratio", 2).alias("palavras_suspeitas_pct"), F.col("tokens").alias("tokens_avaliados")).alias("ocr"),
+        F.struct("total", F.col("to_review").alias("para_revisar"), F.col("below").alias("abaixo_do_limiar"), F.col("motores").alias("motores_de_reserva"), "detalhe").alias("tabelas"),
+        F.struct(F.col("extracted").alias("extraidas"), F.col("declared").alias("declaradas_no_pdf"), F.col("vector").alias("figuras_vetoriais"), F.array().cast("array<string>").alias("arquivos")).alias("imagens"),
+        F.struct("blocos", F.struct("body_size", "body_bold").alias("estilo_do_corpo"), "niveis_de_titulo", F.col("dehyphenate").alias("dehifenizacao"), F.col("joined").alias("paragrafos_unidos_entre_paginas"), F.col("promoted").alias("legendas_promovidas"), F.col("header.text").alias("cabecalhos_removidos"), F.col("footer.text").alias("rodapes_removidos")).alias("estrutura"),
+        "paginas", F.struct(F.array().cast("array<string>").alias("estagios"), F.struct(*[F.lit(v if not isinstance(v, tuple) else str(v)).alias(k) for k, v in vars(Options()).items()]).alias("opcoes")).alias("execucao"),
+        F.struct(F.lit("null").alias("provedor")).alias("ia"), F.struct("status", F.col("pct").alias("cobertura_texto_pct"), "erros", "avisos", "pendencias").alias("resumo"),
     )
     return quality.report_json(sections)
 

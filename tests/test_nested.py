@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from foliospark.operators import nested
 
 SCHEMA = "report_id bigint, extra string, resultado_processamento string"
@@ -57,8 +59,35 @@ def test_foreign_keys_and_plan(spark):
     assert child["parent_id"] == parent["row_id"] and child["page"] == "9" and parent["detail_tokens"] == "5"
 
 
-def test_shared_and_recursive_elements_get_tables():
-    n = lambda p, o=1, l=0, s=0: (p, nested.Node(p, o, l, s))
-    graph = dict([n(""), n("a"), n("a.box"), n("a.box.x", 0, 0, 1), n("a.box.y", 0, 0, 1), n("b"), n("b.box"), n("b.box.x", 0, 0, 1), n("b.box.y", 0, 0, 1), n("node"), n("node.node"), n("node.node.v", 0, 0, 1)])
-    plan = nested.plan_tables(graph)
-    assert {"a.box", "b.box", "node.node"} <= set(plan)
+def test_shared_elements_have_one_table(spark):
+    """Optional fields do not part an element; two of one name in one row keep different ids."""
+    records = [{"billing": {"address": {"street": "A", "city": "X"}}, "shipping": {"address": {"street": "B", "city": "Y", "note": "n"}}, "total": 3}]
+    df = reports(spark, records)
+    plan = nested.plan_tables(nested.schema_graph(df, "resultado_processamento"))
+    assert set(plan) == {"", "billing.address"} and plan["billing.address"].paths == ("billing.address", "shipping.address")
+    assert plan["billing.address"].columns == ("city", "note", "street") and plan[""].columns == ("total",)
+    rows = nested.flatten(df, "report_id", "resultado_processamento", plan)
+    got = nested.as_table(rows, "report_id", plan["billing.address"]).orderBy("street").collect()
+    assert [(r["street"], r["city"], r["note"]) for r in got] == [("A", "X", None), ("B", "Y", "n")] and len({r["row_id"] for r in got}) == 2
+
+
+@pytest.mark.parametrize("depth", [3, 200])
+def test_recursive_elements_refer_to_their_own_table(spark, depth):
+    record = {"v": depth, "w": 0}
+    for i in reversed(range(depth)):
+        record = {"v": i, "w": 0, "node": record} if i else {"id": 1, "node": record}
+    df = reports(spark, [record])
+    plan = nested.plan_tables(nested.schema_graph(df, "resultado_processamento"))
+    assert set(plan) == {"", "node"} and plan["node"].parents == ("", "node") and plan["node"].columns == ("v", "w")
+    rows = nested.as_table(nested.flatten(df, "report_id", "resultado_processamento", plan), "report_id", plan["node"]).collect()
+    assert sorted(int(r["v"]) for r in rows) == list(range(1, depth + 1))
+    ids = {r["row_id"] for r in rows}
+    assert sum(r["parent_tbl"] == "node" and r["parent_id"] in ids for r in rows) == depth - 1
+
+
+def test_lists_of_themselves(spark):
+    leaf = {"name": "c", "size": 1, "parts": []}
+    df = reports(spark, [{"parts": [{"name": "a", "size": 3, "parts": [{"name": "b", "size": 2, "parts": [leaf, leaf]}]}]}])
+    plan = nested.plan_tables(nested.schema_graph(df, "resultado_processamento"))
+    rows = nested.flatten(df, "report_id", "resultado_processamento", plan).where("tbl = 'parts'").collect()
+    assert set(plan) == {"", "parts"} and len(rows) == 4 and {r["pos"] for r in rows} == {0, 1}

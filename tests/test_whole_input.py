@@ -73,3 +73,26 @@ def test_roman_markers_are_listed(spark, tables):
 
 def test_a_length_goes_into_the_shortest_pack():
     assert {r.pattern for r in packing.plan({7: 1, 6: 1, 2: 1}, 10)} == {((7, 1),), ((6, 1), (2, 1))}
+
+
+def test_every_warning_code_has_its_branch(spark):
+    """Each code of the catalogue comes out for the file built for it."""
+    from foliospark.config import Options
+    from foliospark.operators import quality
+
+    df = spark.createDataFrame
+    routed = df([("d", 1, "ocr", True, False), ("d", 2, "empty", False, False), ("d", 3, "native", False, False)], "doc_id string, page int, route string, needs_ocr boolean, excluded boolean")
+    per_page = df([("d", 1, 100, 0, 0.0), ("d", 3, 100, 10, 0.1)], "doc_id string, page int, expected bigint, produced bigint, coverage double")
+    tables = df([("d", 0.2)], "doc_id string, confidence double")
+    lexical = df([("d", 300, 60, 0.2)], "doc_id string, tokens bigint, suspect_tokens bigint, suspect_ratio double")
+    recognised = df([("d", 1, 0, None), ("d", 4, 5, 55.0)], "doc_id string, page int, ocr_words bigint, ocr_mean double")
+    images = df([("d", 5, 1, 0, 0)], "doc_id string, declared bigint, extracted bigint, vector bigint, suppressed bigint")
+    failures = df([("d", "ocr", 1), ("d", "images", 2), ("d", "edits", None), ("d", "semantics", None)], "doc_id string, stage string, page int")
+    edits = df([("d", "rejected"), ("d", "applied")], "doc_id string, outcome string")
+    one = df([("d",)], "doc_id string")
+    call = lambda **kw: {r["code"]: (r["severity"], r["n"]) for r in quality.warnings(routed, per_page, tables, lexical, recognised, one, images, failures, edits, one, **kw).collect()}
+    got = call(options=Options(ocr_mode="never", edits=True, language="por"), ocr_enabled=False, languages=("eng",))
+    got |= call(options=Options(edits=True, edits_consent=True), provider_available=False)
+    assert {k: v[0] for k, v in got.items()} == quality.SEVERITY
+    assert got["PAGE_NO_TEXT"][1] == 1 and got["OCR_QUALITY_SUSPECT"][1] == 60 and got["AI_OPERATIONS_REJECTED"][1] == 1
+    assert set(call()) >= {"PAGES_EMPTY", "OCR_NO_TEXT", "OCR_LOW_CONFIDENCE"} and "OCR_SKIPPED" not in call()
