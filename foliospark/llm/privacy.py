@@ -220,7 +220,7 @@ def names(runs: DataFrame, seeds: DataFrame) -> DataFrame:
     run = cut(run)
     for side in ("left", "right"):
         dull = cut(_dull(run, side, "filler").withColumnRenamed("n", f"dull_{side}"))
-        run = lookup_join(run, dull, side, f"dull_{side}", "left")
+        run = cut(lookup_join(run, dull, side, f"dull_{side}", "left"))  # a lookup reads its left side twice
     return run.where(F.col("titled") | (F.col("dull_left").isNull() & F.col("dull_right").isNull())).select(*ITEM)
 
 

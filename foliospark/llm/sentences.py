@@ -205,9 +205,10 @@ def _starts(texts: DataFrame, abbreviations: DataFrame) -> DataFrame:
     open_ = open_.join(of_token, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("token") == F.col("__t")), "left").drop("__d", "__t").na.fill(0, ["doc_low", "doc_fin"])
     of_next = in_doc.where("token like '^%' and mid > 0").select(F.col("doc_id").alias("__d"), F.expr("substring(token, 2)").alias("__t"), F.col("starts").alias("doc_starts"), F.col("mid").alias("doc_mid"))
     open_ = open_.join(of_next, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("next") == F.col("__t")), "left").drop("__d", "__t").na.fill(0, ["doc_starts", "doc_mid"])
+    open_ = cut(open_)  # a lookup reads its left side twice
     stats = corpus.where("token not like '^%'").select("token", "n", "low", "fin", "cap")
     open_ = lookup_join(open_, stats, "token", "n", "left").na.fill(0, ["low", "fin", "cap", "n"])
-    open_ = open_.withColumnRenamed("n", "n_token")
+    open_ = cut(open_.withColumnRenamed("n", "n_token"))
     words = corpus.where("token like '^%'").select(F.expr("substring(token, 2)").alias("next"), "n", F.col("starts").alias("w_starts"), F.col("mid").alias("w_mid"))
     open_ = lookup_join(open_, words, "next", "n", "left").na.fill(0, ["w_starts", "w_mid"])
     open_ = open_.withColumn("__low", F.lower("token")).join(listed.withColumnRenamed("token", "__low"), "__low", "left")
