@@ -76,22 +76,28 @@ Tok = tuple  # in the order of TOK
 B, P, L, N, TEXT, LEFT, RIGHT, CONF, TOP = range(9)
 
 
-def _read(batch: pa.RecordBatch) -> Iterator[tuple[dict[str, Any], list[list[Tok]]]]:
-    """(other columns, lines of distinct tokens) of every page of a batch."""
+def _values(column: pa.Array) -> list:
+    return column.to_pylist() if column.null_count or pa.types.is_string(column.type) else column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _read(batch: pa.RecordBatch, names: list[str] = TOK) -> Iterator[tuple[dict[str, Any], list[list[Tok]]]]:
+    """(other columns, lines of distinct tokens) of every page of a batch; names: the fields of a token that are needed, in the order of TOK."""
     toks = batch.column("toks")
     flat = toks.flatten()
-    every = list(zip(*(flat.field(c).to_pylist() for c in TOK)))
+    every = list(zip(*(_values(flat.field(c)) for c in names)))
     other = {c: batch.column(c).to_pylist() for c in batch.schema.names if c != "toks"}
     at = 0
     for i, n in enumerate(toks.value_lengths().to_pylist()):
         lines: list[list[Tok]] = []
-        last: Tok | None = None
+        last, key = None, None
         for t in every[at : at + n]:
             if t == last:
                 continue
-            if last is None or t[:3] != last[:3]:
-                lines.append([])
-            lines[-1].append(t)
+            if t[:3] != key:
+                line: list[Tok] = []
+                lines.append(line)
+                key = t[:3]
+            line.append(t)
             last = t
         at += n
         yield {c: v[i] for c, v in other.items()}, lines
@@ -257,7 +263,6 @@ def _shapes():
 
     c = re.compile
     skip, url = c(SKIP), c(r"://")
-    inner = c(r"[\p{L}\p{N}].*[\^~]|[\^~].*[\p{L}\p{N}]")
     many, crosses, alnum = c(r"([\p{L}\-,;:()“”%$])\1{3,}"), c(r"^[xX]+\W*$|://|=[0-9]"), c(r"[\p{L}\p{N}]")
     turn = c(r"\p{Ll}\p{Lu}")
     digit, latin, letter = c("[0-9]"), c("[A-Za-z]"), c(r"\p{L}")
@@ -268,7 +273,9 @@ def _shapes():
 
     @lru_cache(maxsize=200_000)
     def misread(t: str) -> bool:
-        if inner.search(t) and not url.search(t):
+        if t.isalpha() and (t.islower() or t.istitle() or t.isupper()):  # nearly all words
+            return bool(many.search(t))
+        if ("^" in t or "~" in t) and len(t) > 1 and alnum.search(t) and not url.search(t):
             return True
         if many.search(t) and alnum.search(t) and not crosses.search(t):
             return True
@@ -294,12 +301,15 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import regex as re
 
     schema, misread = _arrow(FACT), _shapes()
-    skip, trim, cut_shape, letter = re.compile(SKIP), re.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"), re.compile(rf"\p{{L}}[{CUT_SIGNS}]$"), re.compile(r"\p{L}")
-    odd = re.compile(r"[\^~']")
+    skip, trim = re.compile(SKIP), re.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
+    odd, nothing = re.compile(r"[\^~']"), (None,) * 5
 
     @lru_cache(maxsize=200_000)
     def core(t: str) -> str:
-        return trim.sub("", t).lower()
+        return t.lower() if t.isalnum() else trim.sub("", t).lower()
+
+    def cut_off(t: str) -> bool:
+        return t[-1] in CUT_SIGNS and t[-2:-1].isalpha()
 
     @lru_cache(maxsize=200_000)
     def skipped(t: str) -> bool:
@@ -307,7 +317,7 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         rows: list[tuple] = []
-        for page, lines in _read(batch):
+        for page, lines in _read(batch, TOK[:5]):
             doc, number = page["doc_id"], page["page"]
             body, closing = _body(lines, page["marks"])
             rows += [("x", doc, number, *t[:4], None, None, None, "speck", None, None, None, None) for t in closing]
@@ -316,12 +326,13 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, toks in enumerate(body):
                 first, last = toks[0], toks[-1]
                 nxt = body[i + 1][0] if i + 1 < len(body) else None
-                ended = bool(cut_shape.search(last[TEXT])) and (nxt is None or bool(letter.match(nxt[TEXT])))
-                continued = i > 0 and bool(cut_shape.search(body[i - 1][-1][TEXT])) and bool(letter.match(first[TEXT]))
+                ended = cut_off(last[TEXT]) and (nxt is None or nxt[TEXT][0].isalpha())
+                continued = i > 0 and cut_off(body[i - 1][-1][TEXT]) and first[TEXT][0].isalpha()
                 cores = [core(t[TEXT]) for t in toks]
+                around = ["", *cores, ""]
                 for j in range(int(continued), len(toks) - int(ended)):
                     if cores[j] and not skipped(toks[j][TEXT]):
-                        rows.append(("t", doc, number, *toks[j][:4], cores[j], cores[j - 1] if j else "", cores[j + 1] if j + 1 < len(toks) else "", None, None, None, None, None))
+                        rows.append(("t", doc, number, *toks[j][:4], cores[j], around[j], around[j + 2], *nothing))
                 rows += [("x", doc, number, *t[:4], None, None, None, "misread", None, None, None, None) for t in toks if misread(t[TEXT])]
                 if ended:
                     left = odd.sub("", core(last[TEXT][:-1]))
@@ -443,7 +454,7 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         rows = []
-        for page, lines in _read(batch):
+        for page, lines in _read(batch, TOK[:5]):
             noise = {(m["block_num"], m["par_num"], m["line_num"], m["word_num"]): (m["noise"], m["meant"]) for m in page["marks"] or ()}
             paragraphs: dict[tuple, list[str]] = {}
             for line in lines:
