@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from foliospark.config import Options
 from foliospark.functions import geometry as G
 from foliospark.functions import text as T
 from foliospark.operators import guard, images, jobs, layout, payload, quality, reading_order, regions, render, rulings, semantics, tables_grid, tables_stream, triage
-from foliospark.runtime import table
+from foliospark.runtime import cut, table
 from foliospark.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +34,11 @@ def r4(*cols: str) -> list:
     return [F.round(c, 4).alias(c) for c in cols]
 
 
+def r9(*cols: str) -> list:
+    """Means of many decimals: nine places, so that no tie depends on the order of a sum."""
+    return [F.round(c, 9).alias(c) for c in cols]
+
+
 # --- SQL building blocks -------------------------------------------------------------------------------------------
 WS = T.WS
 
@@ -45,13 +51,24 @@ def s_collapse(c: str) -> str:
     return s_strip(f"regexp_replace({c}, '{WS}+', ' ', 'g')")
 
 
+UNITED = f"""
+uo AS (SELECT *, left_px * (72.0 / 300.0)::DOUBLE AS x0, top_px * (72.0 / 300.0)::DOUBLE AS y0, (left_px + width_px) * (72.0 / 300.0)::DOUBLE AS x1, (top_px + height_px) * (72.0 / 300.0)::DOUBLE AS y1 FROM (SELECT DISTINCT * FROM ocr_words) WHERE {s_strip("coalesce(text, '')")} <> '' AND coalesce(conf, -1) >= 40),
+us AS (SELECT doc_id, page, CAST(dense_rank() OVER (PARTITION BY doc_id, page ORDER BY block_num, par_num) - 1 AS INT) AS block_no, line_num AS line_no, CAST(row_number() OVER ln - 1 AS INT) AS span_no, text || CASE WHEN lead(text) OVER ln IS NOT NULL THEN ' ' ELSE '' END AS text, x0, y0, x1, y1,
+  'OCR' AS font, round_even((y1 - y0) * 0.92::DOUBLE, 2) AS size, 0 AS flags, 0 AS color, greatest(0.0, least(1.0, conf / 100)) AS confidence FROM uo WINDOW ln AS (PARTITION BY doc_id, page, block_num, par_num, line_num ORDER BY word_num, text, left_px, top_px, width_px, height_px, conf)),
+uh AS (SELECT DISTINCT doc_id, page FROM pages_info WHERE native_char_count >= 60 AND text_area_ratio >= 0.012 AND image_area_ratio >= 0.55),
+ue AS (SELECT doc_id, page, block_no, min(x0) AS a0, min(y0) AS b0, max(x1) AS a1, max(y1) AS b1 FROM spans SEMI JOIN uh USING (doc_id, page) GROUP BY ALL),
+ub AS (SELECT doc_id, page, block_no, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM us GROUP BY ALL),
+uk AS (SELECT doc_id, page, block_no FROM ub ANTI JOIN ue ON ub.doc_id = ue.doc_id AND ub.page = ue.page AND greatest(0, least(x1, a1) - greatest(x0, a0)) * greatest(0, least(y1, b1) - greatest(y0, b0)) / CASE WHEN (x1 - x0) * (y1 - y0) > 0 THEN (x1 - x0) * (y1 - y0) ELSE 1.0 END >= 0.35),
+ua AS (SELECT doc_id, page, max(block_no) + 1 AS after FROM spans GROUP BY ALL),
+un AS (SELECT doc_id, page, block_no, line_no, span_no, text, x0, y0, x1, y1, font, size, flags, color, confidence FROM spans
+ UNION ALL SELECT doc_id, page, block_no + coalesce(after, 0), line_no, span_no, text, x0, y0, x1, y1, font, size, flags, color, confidence FROM us SEMI JOIN uk USING (doc_id, page, block_no) LEFT JOIN ua USING (doc_id, page))"""
 SPANS = f"""
 s AS (SELECT *, length({s_strip('t')}) AS n,
   coalesce((flags & 16) <> 0, false) OR coalesce(regexp_matches(font, '(?i)(bold|black|heavy|semibold|demi)'), false) AS bold,
   coalesce((flags & 2) <> 0, false) OR coalesce(regexp_matches(font, '(?i)(italic|oblique)'), false) AS italic,
   coalesce((flags & 8) <> 0, false) AS mono, coalesce((flags & 1) <> 0, false) AS superscript
  FROM (SELECT DISTINCT *, coalesce(text, '') AS t FROM spans))"""
-LINES = f"""{SPANS},
+LINES = f"""{UNITED}, {SPANS.replace('FROM spans', 'FROM un')},
 l0 AS (SELECT doc_id, page, block_no, line_no, string_agg(t, '' ORDER BY span_no) AS text,
   coalesce(sum(size * n) FILTER (n > 0) / sum(n) FILTER (n > 0), 0.0) AS size,
   arg_max(coalesce(font, ''), row(n, -span_no)) AS font,
@@ -77,13 +94,18 @@ o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, CAST(kind
 
 
 def lines_of(spark: SparkSession, sf: str) -> DataFrame:
-    return layout.text_lines(table(spark, sf, "spans"))
+    """Lines of native text and of recognised pages."""
+    return layout.text_lines(layout.united_spans(table(spark, sf, "spans"), table(spark, sf, "ocr_words"), routed_of(spark, sf).where("route = 'hybrid'")))
 
 
 def blocks_of(spark: SparkSession, sf: str) -> DataFrame:
     return layout.raw_blocks(lines_of(spark, sf))
 
 
+def native_blocks_of(spark: SparkSession, sf: str) -> DataFrame:
+    return layout.raw_blocks(layout.text_lines(table(spark, sf, "spans")))
+
+
 def pages_of(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages_info").distinct()
 
@@ -96,12 +118,6 @@ def ordered_of(spark: SparkSession, sf: str) -> DataFrame:
     return reading_order.reading_order(table(spark, sf, "blocks"))
 
 
-def united_lines_of(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines of native text and of recognised pages."""
-    return layout.text_lines(layout.united_spans(table(spark, sf, "spans"), table(spark, sf, "ocr_words"), routed_of(spark, sf).where("route = 'hybrid'")))
-
-
-# --- geometry and layout -------------------------------------------------------------------------------------------
 @query("span_geometry", "SELECT DISTINCT doc_id, page, block_no, line_no, span_no, round(x1 - x0, 4) AS width, round(y1 - y0, 4) AS height, round((x0 + x1) / 2, 4) AS cx, round((y0 + y1) / 2, 4) AS cy, round(greatest(0, x1 - x0) * greatest(0, y1 - y0), 4) AS area FROM spans WHERE y0 IS NOT NULL AND x0 IS NOT NULL AND x1 IS NOT NULL AND y1 IS NOT NULL")
 def span_geometry(spark, sf):
     s = table(spark, sf, "spans").where("y0 is not null and x0 is not null and x1 is not null and y1 is not null").distinct()
@@ -114,14 +130,14 @@ def span_styles(spark, sf):
     return s.groupBy("doc_id").agg(F.count("*").alias("spans"), *[F.count_if(c).alias(c) for c in ("bold", "italic", "mono", "superscript")])
 
 
-@query("line_text", f"WITH {LINES} SELECT doc_id, page, block_no, line_no, text, n_chars, round(size, 4) AS size, font, is_bold, is_italic, round(confidence, 4) AS confidence, x0, y0, x1, y1 FROM l")
+@query("line_text", f"WITH {LINES} SELECT doc_id, page, block_no, line_no, text, n_chars, round(size, 9) AS size, font, is_bold, is_italic, round(confidence, 9) AS confidence, x0, y0, x1, y1 FROM l")
 def line_text(spark, sf):
-    return lines_of(spark, sf).select("doc_id", "page", "block_no", "line_no", "text", "n_chars", *r4("size"), "font", "is_bold", "is_italic", *r4("confidence"), "x0", "y0", "x1", "y1")
+    return lines_of(spark, sf).select("doc_id", "page", "block_no", "line_no", "text", "n_chars", *r9("size"), "font", "is_bold", "is_italic", *r9("confidence"), "x0", "y0", "x1", "y1")
 
 
-@query("block_text", f"WITH {BLOCKS} SELECT doc_id, page, block_no, text, char_count, n_lines, round(size, 4) AS size, round(confidence, 4) AS confidence, x0, y0, x1, y1 FROM rb")
+@query("block_text", f"WITH {BLOCKS} SELECT doc_id, page, block_no, text, char_count, n_lines, round(size, 9) AS size, round(confidence, 9) AS confidence, x0, y0, x1, y1 FROM rb")
 def block_text(spark, sf):
-    return blocks_of(spark, sf).select("doc_id", "page", "block_no", "text", "char_count", "n_lines", *r4("size", "confidence"), "x0", "y0", "x1", "y1")
+    return blocks_of(spark, sf).select("doc_id", "page", "block_no", "text", "char_count", "n_lines", *r9("size", "confidence"), "x0", "y0", "x1", "y1")
 
 
 @query("page_envelopes", f"WITH {BLOCKS} SELECT doc_id, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n_blocks FROM rb GROUP BY ALL")
@@ -161,9 +177,13 @@ def ocr_blocks(spark, sf):
     return layout.ocr_blocks(layout.ocr_lines(table(spark, sf, "ocr_words"))).select("doc_id", "page", "number", "text", "n_words")
 
 
-@query("ocr_without_native")
+@query("ocr_without_native", f"""WITH {UNITED}, w AS (SELECT doc_id, page, block_num, par_num, line_num, count(*) AS n FROM uo GROUP BY ALL),
+ob AS (SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY block_num, par_num) - 1 AS INT) AS number, n_words FROM (SELECT doc_id, page, block_num, par_num, CAST(sum(n) AS BIGINT) AS n_words FROM w GROUP BY ALL)),
+nb AS (SELECT doc_id, page, min(x0) AS a0, min(y0) AS b0, max(x1) AS a1, max(y1) AS b1 FROM spans GROUP BY doc_id, page, block_no),
+k AS (SELECT ub.doc_id, ub.page, block_no AS number FROM ub ANTI JOIN nb ON ub.doc_id = nb.doc_id AND ub.page = nb.page AND greatest(0, least(x1, a1) - greatest(x0, a0)) * greatest(0, least(y1, b1) - greatest(y0, b0)) / CASE WHEN (x1 - x0) * (y1 - y0) > 0 THEN (x1 - x0) * (y1 - y0) ELSE 1.0 END >= 0.35)
+SELECT doc_id, page, number, n_words FROM ob JOIN k USING (doc_id, page, number)""")
 def ocr_without_native(spark, sf):
-    return layout.drop_native_duplicates(layout.ocr_blocks(layout.ocr_lines(table(spark, sf, "ocr_words"))), blocks_of(spark, sf)).select("doc_id", "page", "number", "confidence")
+    return layout.drop_native_duplicates(layout.ocr_blocks(layout.ocr_lines(table(spark, sf, "ocr_words"))), native_blocks_of(spark, sf)).select("doc_id", "page", "number", F.col("n_words").cast("bigint").alias("n_words"))
 
 
 # --- triage --------------------------------------------------------------------------------------------------------
@@ -191,7 +211,7 @@ def page_range_routes(spark, sf):
 OCR_BLOCKS = f"""ow AS (SELECT DISTINCT * FROM ocr_words WHERE {s_strip("coalesce(text, '')")} <> '' AND coalesce(conf, -1) >= 40),
 ol AS (SELECT doc_id, page, block_num, par_num, line_num, string_agg(text, ' ' ORDER BY word_num) AS text, min(left_px) * (72.0 / 300.0)::DOUBLE AS x0, min(top_px) * (72.0 / 300.0)::DOUBLE AS y0, max(left_px + width_px) * (72.0 / 300.0)::DOUBLE AS x1, max(top_px + height_px) * (72.0 / 300.0)::DOUBLE AS y1 FROM ow GROUP BY ALL),
 rb AS (SELECT doc_id, page, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY block_num, par_num) - 1 AS INT) AS block_no, * EXCLUDE (doc_id, page, block_num, par_num) FROM (SELECT doc_id, page, block_num, par_num, string_agg(text, chr(10) ORDER BY line_num) AS text, CAST(sum(length(text)) AS BIGINT) AS char_count, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM ol GROUP BY ALL))"""
-BANDS = f"""{OCR_BLOCKS}, {PAGES}, pz AS (SELECT DISTINCT doc_id, page, width, height FROM pg WHERE height > 0),
+BANDS = f"""{BLOCKS}, {PAGES}, pz AS (SELECT DISTINCT doc_id, page, width, height FROM pg WHERE height > 0),
 bd AS (SELECT *, {s_collapse("regexp_replace(lower(text), '\\p{Nd}+', '#', 'g')")} AS key FROM (SELECT rb.*, CASE WHEN y1 <= height * 0.11 THEN 'header' WHEN y0 >= height - height * 0.11 THEN 'footer' END AS band FROM rb JOIN pz USING (doc_id, page)) WHERE band IS NOT NULL)"""
 RECURRENT = f"""{BANDS}, np AS (SELECT doc_id, count(DISTINCT page) AS pages FROM pg GROUP BY 1 HAVING count(DISTINCT page) >= 2),
 be AS (SELECT bd.* FROM bd SEMI JOIN np USING (doc_id)),
@@ -207,7 +227,7 @@ def recognised_of(spark, sf):
 
 
 def bands_of(spark, sf):
-    return regions.band_blocks(recognised_of(spark, sf), pages_of(spark, sf))
+    return regions.band_blocks(blocks_of(spark, sf), pages_of(spark, sf))
 
 
 def n_pages_of(spark, sf):
@@ -231,8 +251,7 @@ def boilerplate_chars(spark, sf):
 
 @query("header_footer_fuzzy")
 def header_footer_fuzzy(spark, sf):
-    bands = regions.band_blocks(layout.raw_blocks(united_lines_of(spark, sf)), pages_of(spark, sf))
-    return regions.recurrent_fuzzy(bands, n_pages_of(spark, sf)).select("doc_id", "page", "block_no", "band", "key")
+    return regions.recurrent_fuzzy(bands_of(spark, sf), n_pages_of(spark, sf)).select("doc_id", "page", "block_no", "band", "key")
 
 
 @query("discarded_headers", f"WITH {RECURRENT}, k AS (SELECT doc_id, band, key, arg_min(text, row(page, block_no)) AS text, min(row(page, block_no)) AS first FROM rec GROUP BY ALL) SELECT doc_id, band, CAST(row_number() OVER (PARTITION BY doc_id, band ORDER BY first) AS INT) AS ord, text FROM k")
@@ -296,12 +315,12 @@ def paragraph_split(spark, sf):
 
 @query("typed_blocks")
 def typed_blocks(spark, sf):
-    return semantics.classify(united_lines_of(spark, sf), pages_of(spark, sf)).select("doc_id", "page", "block_no", "group", "kind", "text", "level", "numbering", "marker", "ordered", "list_level", "style", "score")
+    return semantics.classify(lines_of(spark, sf), pages_of(spark, sf)).select("doc_id", "page", "block_no", "group", "kind", "text", "level", "numbering", "marker", "ordered", "list_level", "style", "score")
 
 
 @query("footnote_split")
 def footnote_split(spark, sf):
-    return semantics.footnotes(united_lines_of(spark, sf))
+    return semantics.footnotes(lines_of(spark, sf))
 
 
 DOC_LINES = "dl AS (SELECT doc_id, unnest(string_split_regex(text, '\\r\\n|\\r|\\n')) AS line, generate_subscripts(string_split_regex(text, '\\r\\n|\\r|\\n'), 1) - 1 AS seq FROM documents WHERE text IS NOT NULL)"
@@ -476,20 +495,25 @@ def table_chains(spark, sf):
 
 # --- quality -------------------------------------------------------------------------------------------------------
 PRODUCED = "pr AS (SELECT doc_id, page, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS produced FROM (SELECT DISTINCT * FROM blocks) WHERE kind <> 'page_break' GROUP BY ALL)"
-COVERAGE = f"{RECURRENT}, {PRODUCED}, oc AS (SELECT doc_id, page, CAST(sum(char_count) AS BIGINT) AS ocr_chars FROM rb GROUP BY ALL), bo AS (SELECT doc_id, page, CAST(sum(char_count) AS BIGINT) AS boil FROM rec GROUP BY ALL), ex AS (SELECT doc_id, page, greatest(0, max(coalesce(native_char_count, 0)) + max(coalesce(ocr_chars, 0)) - max(coalesce(boil, 0))) AS expected FROM pg LEFT JOIN oc USING (doc_id, page) LEFT JOIN bo USING (doc_id, page) GROUP BY ALL), cv AS (SELECT doc_id, page, expected, coalesce(produced, 0) AS produced, CASE WHEN expected > 0 THEN coalesce(produced, 0) / expected END AS coverage FROM ex LEFT JOIN pr USING (doc_id, page))"
+COVERAGE = f"{RECURRENT}, {OCR_BLOCKS.replace('rb AS', 'orb AS')}, {PRODUCED}, oc AS (SELECT doc_id, page, CAST(sum(char_count) AS BIGINT) AS ocr_chars FROM orb GROUP BY ALL), bo AS (SELECT doc_id, page, CAST(sum(char_count) AS BIGINT) AS boil FROM rec GROUP BY ALL), ex AS (SELECT doc_id, page, greatest(0, max(coalesce(native_char_count, 0)) + max(coalesce(ocr_chars, 0)) - max(coalesce(boil, 0))) AS expected FROM pg LEFT JOIN oc USING (doc_id, page) LEFT JOIN bo USING (doc_id, page) GROUP BY ALL), cv AS (SELECT doc_id, page, expected, coalesce(produced, 0) AS produced, CASE WHEN expected > 0 THEN coalesce(produced, 0) / expected END AS coverage FROM ex LEFT JOIN pr USING (doc_id, page))"
 
 
 def produced_of(spark, sf):
     return quality.produced_chars(table(spark, sf, "blocks"))
 
 
-def coverage_of(spark, sf):
+def recurrent_of(spark, sf):
+    """Blocks of running headers and footers."""
+    return regions.recurrent_exact(bands_of(spark, sf), n_pages_of(spark, sf))
+
+
+def coverage_of(spark, sf, recurrent=None, produced=None):
     native = pages_of(spark, sf).groupBy("doc_id", "page").agg(F.max(F.coalesce("native_char_count", F.lit(0))).alias("native"))
     ocr = recognised_of(spark, sf).groupBy("doc_id", "page").agg(F.sum("char_count").alias("ocr_chars"))
-    dropped = regions.boilerplate(regions.recurrent_exact(bands_of(spark, sf), n_pages_of(spark, sf))).select("doc_id", "page", "boilerplate_chars")
+    dropped = regions.boilerplate(recurrent_of(spark, sf) if recurrent is None else recurrent).select("doc_id", "page", "boilerplate_chars")
     j = native.join(ocr, ["doc_id", "page"], "left").join(dropped, ["doc_id", "page"], "left").na.fill(0, ["ocr_chars", "boilerplate_chars"])
     expected = j.select("doc_id", "page", F.greatest(F.lit(0), F.col("native") + F.col("ocr_chars") - F.col("boilerplate_chars")).alias("expected"))
-    return quality.page_coverage(expected, produced_of(spark, sf))
+    return quality.page_coverage(expected, produced_of(spark, sf) if produced is None else produced)
 
 
 @query("page_coverage", f"WITH {COVERAGE} SELECT doc_id, page, expected, produced, round(coverage, 6) AS coverage FROM cv")
@@ -583,10 +607,10 @@ def files_images_of(spark, sf):
     return declared.join(figures, "doc_id", "left").na.fill(0, ["extracted", "vector"])
 
 
-def second_of(spark, sf):
+def second_of(spark, sf, recurrent=None, produced=None):
     other = table(spark, sf, "words").where("text is not null").distinct().groupBy("doc_id", "page").agg(F.sum(F.char_length("text")).alias("other"))
-    dropped = regions.boilerplate(regions.recurrent_exact(bands_of(spark, sf), n_pages_of(spark, sf))).select("doc_id", "page", "boilerplate_chars")
-    return quality.second_opinion(quality.sampled_pages(triage.native_pages(routed_of(spark, sf))), other, produced_of(spark, sf), dropped)
+    dropped = regions.boilerplate(recurrent_of(spark, sf) if recurrent is None else recurrent).select("doc_id", "page", "boilerplate_chars")
+    return quality.second_opinion(quality.sampled_pages(triage.native_pages(routed_of(spark, sf))), other, produced_of(spark, sf) if produced is None else produced, dropped)
 
 
 def lexical_of(spark, sf):
@@ -597,9 +621,24 @@ def ocr_pages_of(spark, sf):
     return quality.ocr_pages(routed_of(spark, sf), table(spark, sf, "ocr_words"))
 
 
-def warnings_of(spark, sf):
+class Facts(NamedTuple):
+    """What warnings, verdict and report all need, computed once."""
+
+    recurrent: DataFrame
+    coverage: DataFrame
+    lexical: DataFrame
+    recognised: DataFrame
+    second: DataFrame
+
+
+def facts_of(spark, sf) -> Facts:
+    recurrent, produced = cut(recurrent_of(spark, sf)), cut(produced_of(spark, sf))
+    return Facts(recurrent, cut(coverage_of(spark, sf, recurrent, produced)), cut(lexical_of(spark, sf)), cut(ocr_pages_of(spark, sf)), cut(second_of(spark, sf, recurrent, produced)))
+
+
+def warnings_of(spark, sf, facts: Facts):
     tables = table(spark, sf, "blocks").distinct().where("kind = 'table'")
-    return quality.warnings(routed_of(spark, sf), coverage_of(spark, sf), tables, lexical_of(spark, sf), ocr_pages_of(spark, sf), second_of(spark, sf), files_images_of(spark, sf))
+    return quality.warnings(routed_of(spark, sf), facts.coverage, tables, facts.lexical, facts.recognised, facts.second, files_images_of(spark, sf))
 
 
 def _branch(code: str, severity: str, ctes: str, rows: str, n: str = "count(*)", group: str = "GROUP BY doc_id") -> str:
@@ -632,7 +671,7 @@ WARNINGS = " UNION ALL ".join(
 
 @query("document_warnings", f"SELECT * FROM ({WARNINGS})")
 def document_warnings(spark, sf):
-    return warnings_of(spark, sf)
+    return warnings_of(spark, sf, facts_of(spark, sf))
 
 
 @query("second_opinion_net", f"WITH {SECOND} SELECT doc_id, page, other, comparable, produced, round(ratio, 3) AS ratio FROM so")
@@ -651,11 +690,11 @@ LEFT JOIN (WITH {BLOCK_LEXICAL} SELECT doc_id, CASE WHEN tokens > 0 THEN round(s
 LATERAL (SELECT coalesce(errors0, 0) AS errors, coalesce(alerts0, 0) AS alerts)"""
 
 
-def summary_of(spark, sf, warned):
+def summary_of(spark, sf, facts: Facts):
     """Facts of every file that its verdict and its report need."""
-    w = warned.groupBy("doc_id").agg(F.count_if(F.col("severity") == "error").alias("erros"), F.count_if(F.col("severity") == "warning").alias("avisos"), F.max(F.when(F.col("code") == "PAGE_NO_TEXT", F.col("n"))).alias("empty"), F.max(F.when(F.col("code") == "PAGE_TEXT_LOSS", F.col("n"))).alias("lossy"), F.sort_array(F.collect_list(F.struct("code", "severity", "n"))).alias("warnings"))
-    j = quality.document_coverage(coverage_of(spark, sf)).join(w, "doc_id", "left").join(tables_to_review(spark, sf), "doc_id", "left")
-    j = j.join(quality.ocr_confidence(table(spark, sf, "ocr_words")), "doc_id", "left").join(lexical_of(spark, sf), "doc_id", "left")
+    w = warnings_of(spark, sf, facts).groupBy("doc_id").agg(F.count_if(F.col("severity") == "error").alias("erros"), F.count_if(F.col("severity") == "warning").alias("avisos"), F.max(F.when(F.col("code") == "PAGE_NO_TEXT", F.col("n"))).alias("empty"), F.max(F.when(F.col("code") == "PAGE_TEXT_LOSS", F.col("n"))).alias("lossy"), F.sort_array(F.collect_list(F.struct("code", "severity", "n"))).alias("warnings"))
+    j = quality.document_coverage(facts.coverage).join(w, "doc_id", "left").join(tables_to_review(spark, sf), "doc_id", "left")
+    j = j.join(quality.ocr_confidence(table(spark, sf, "ocr_words")), "doc_id", "left").join(facts.lexical, "doc_id", "left")
     j = j.na.fill(0, ["erros", "avisos", "empty", "lossy", "to_review", "total", "below", "pages"]).withColumn("pct", F.round(F.col("coverage") * 100, 1))
     status = quality.verdict(F.col("erros"), F.col("avisos"), F.col("pct"), F.col("to_review"))
     return j.withColumn("status", status).withColumn("pendencias", quality.pending(F.col("empty"), F.col("to_review"), F.col("ocr_mean"), F.col("suspect_ratio") * 100))
@@ -664,29 +703,30 @@ def summary_of(spark, sf, warned):
 @query("report_summary", SUMMARY)
 def report_summary(spark, sf):
     """Verdict, counts and pending points of every file."""
-    return summary_of(spark, sf, warnings_of(spark, sf)).select("doc_id", "status", F.col("pct").alias("cobertura_texto_pct"), "erros", "avisos", F.array_join("pendencias", "; ").alias("pendencias"))
+    return summary_of(spark, sf, facts_of(spark, sf)).select("doc_id", "status", F.col("pct").alias("cobertura_texto_pct"), "erros", "avisos", F.array_join("pendencias", "; ").alias("pendencias"))
 
 
 @query("report_documents")
 def report_documents(spark, sf):
     """The JSON report of every file with all its sections."""
-    j = summary_of(spark, sf, warnings_of(spark, sf))
+    facts = facts_of(spark, sf)
+    j = summary_of(spark, sf, facts)
     b = table(spark, sf, "blocks").distinct()
     per = lambda df, name, *cols: df.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(name))
     tables = per(b.where("kind = 'table'"), "detalhe", F.col("block_id").alias("id"), F.col("page").alias("pagina"), F.col("engine").alias("motor"), F.round("confidence", 3).alias("confianca"), F.coalesce("needs_review", F.lit(False)).alias("revisar"), F.col("review_reason").alias("motivo"))
-    heads = discarded_headers(spark, sf)
+    heads = regions.discarded(facts.recurrent)
     removed = heads.groupBy("doc_id").agg(*[F.sort_array(F.collect_list(F.when(F.col("band") == k, F.struct("ord", "text")))).alias(k) for k in ("header", "footer")])
-    rp = ocr_pages_of(spark, sf).select("doc_id", "page", F.round("ocr_mean", 2).alias("confianca_ocr"))
+    rp = facts.recognised.select("doc_id", "page", F.round("ocr_mean", 2).alias("confianca_ocr"))
     chars = recognised_of(spark, sf).groupBy("doc_id", "page").agg(F.sum("char_count").alias("caracteres_ocr"))
-    first = regions.recurrent_exact(bands_of(spark, sf), n_pages_of(spark, sf)).groupBy("doc_id", "page").agg(*[F.min_by(F.when(F.col("band") == k, F.col("text")), F.when(F.col("band") == k, F.col("block_no"))).alias(n) for k, n in (("header", "cabecalho"), ("footer", "rodape"))])
+    first = facts.recurrent.groupBy("doc_id", "page").agg(*[F.min_by(F.when(F.col("band") == k, F.col("text")), F.when(F.col("band") == k, F.col("block_no"))).alias(n) for k, n in (("header", "cabecalho"), ("footer", "rodape"))])
     pages = routed_of(spark, sf).join(rp, ["doc_id", "page"], "left").join(chars, ["doc_id", "page"], "left").join(first, ["doc_id", "page"], "left")
     pages = pages.groupBy("doc_id").agg(F.countDistinct("page").alias("n_pages"), F.sort_array(F.collect_list(F.struct(F.col("page").alias("numero"), F.col("route").alias("rota"), F.col("native_char_count").alias("caracteres_nativos"), "caracteres_ocr", "confianca_ocr", F.col("image_count").alias("imagens"), "cabecalho", "rodape"))).alias("paginas"))
     counts = block_kind_counts(spark, sf).select("doc_id", F.struct("heading", "paragraph", "list_item", "table", "figure", "footnote").alias("blocos"))
     styles = heading_styles(spark, sf).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("level", "style_size", "style_bold"))).alias("niveis_de_titulo"))
-    boiler = regions.boilerplate(regions.recurrent_exact(bands_of(spark, sf), n_pages_of(spark, sf))).groupBy("doc_id").agg(F.sum("boilerplate_chars").alias("boil"))
+    boiler = regions.boilerplate(facts.recurrent).groupBy("doc_id").agg(F.sum("boilerplate_chars").alias("boil"))
     joined = cross_page_paragraphs(spark, sf).groupBy("doc_id").agg(F.count("*").alias("joined"))
     promoted = orphan_captions(spark, sf).groupBy("doc_id").agg(F.count("*").alias("promoted"))
-    second = second_of(spark, sf).groupBy("doc_id").agg(F.count("*").alias("second"))
+    second = facts.second.groupBy("doc_id").agg(F.count("*").alias("second"))
     engines = b.where("kind = 'table'").groupBy("doc_id", F.coalesce("engine", F.lit("")).alias("engine")).agg(F.count("*").alias("c")).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("engine", "c"))).alias("motores"))
     for part in (tables, removed, pages, counts, styles, body_style(spark, sf), hyphenation_rate(spark, sf), boiler, joined, promoted, second, engines, files_images_of(spark, sf)):
         j = j.join(part, "doc_id", "left")

@@ -44,14 +44,17 @@ def stream_tumbling(spark, sf):
     return progress.latest(rows, ["win_start", "status"]).select(F.col("win_start").cast("timestamp_ntz").alias("win_start"), "status", "n")
 
 
-@query("stream_sliding")
+@query("stream_sliding", "SELECT time_bucket(INTERVAL '15 minutes', event_ts) - k * INTERVAL '15 minutes' AS win_start, count(*) AS n FROM job_events, (SELECT unnest(range(4)) AS k) WHERE event_ts IS NOT NULL GROUP BY ALL")
 def stream_sliding(spark, sf):
     rows = _run(spark, progress.sliding(progress.event_stream(spark, f"{sf}/job_events.parquet"), late="3650 days"), "sliding", "update")
-    return progress.latest(rows, ["win_start"])
+    return progress.latest(rows, ["win_start"]).select(F.col("win_start").cast("timestamp_ntz").alias("win_start"), "n")
 
 
-@query("stream_sessions")
+@query("stream_sessions", """WITH e AS (SELECT job_id, event_ts, max(event_ts) OVER (PARTITION BY job_id ORDER BY event_ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM job_events WHERE event_ts IS NOT NULL),
+g AS (SELECT job_id, event_ts, sum(CASE WHEN prev IS NULL OR event_ts > prev + INTERVAL '30 minutes' THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY event_ts) AS k FROM e)
+SELECT job_id, min(event_ts) AS win_start, max(event_ts) + INTERVAL '30 minutes' AS win_end, count(*) AS n FROM g GROUP BY job_id, k""")
 def stream_sessions(spark, sf):
     """Complete mode, which session windows allow: sessions still open at the end come out too, and no event is too late."""
     rows = _run(spark, progress.sessions(progress.event_stream(spark, f"{sf}/job_events.parquet"), late="3650 days"), "sessions", "complete")
-    return rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch").drop("batch")  # the last batch holds all sessions
+    last = rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch")  # the last batch holds all sessions
+    return last.select("job_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("win_start", "win_end")], "n")
