@@ -65,7 +65,9 @@ IDENTITY = [
     r"[A-Z]{2}\d{6,7}",
 ]
 BARE = r"(?<![\d.,/\-\p{L}])\d{11}(?![\d/\-\p{L}]|[.,]\d)"
-STREET = r"(?:(?:Rua|R\.|Avenida|Av\.|Avda\.|Praça|Pça\.|Travessa|Tv\.|Alameda|Al\.|Rod\.|Rodovia|Estrada|Estr\.|Largo|Calle|C/|Plaza|Pza\.|Paseo|Rue|Boulevard|Place)\s+(?:\p{Lu}|d[aeo]s?\s|de\s+l[ao]s?\s|del\s)[\p{L}.\s]+?(?:,|\s|,\s?)\s*(?:n\.?\s?[º°o]?\.?\s*)?\d{1,5}\b)"
+STREET_WORDS = r"(?:Rua|R\.|Avenida|Av\.|Avda\.|Praça|Pça\.|Travessa|Tv\.|Alameda|Al\.|Rod\.|Rodovia|Estrada|Estr\.|Largo|Calle|C/|Plaza|Pza\.|Paseo|Rue|Boulevard|Place)\s"
+HOUSE_WORDS = r"Street|Road|Lane|Avenue|Row|Close|Square|Drive|Court|Place|Terrace|Way|Walk|Hill|Quay|St\.|Rd\.|Ave\."
+STREET = "(?:" + STREET_WORDS + r"+(?:\p{Lu}|d[aeo]s?\s|de\s+l[ao]s?\s|del\s)[\p{L}.\s]+?(?:,|\s|,\s?)\s*(?:n\.?\s?[º°o]?\.?\s*)?\d{1,5}\b)"
 HOUSE_FIRST = r"(?<![\d.,/\-])\d{1,5}\s(?:\p{Lu}[\p{Ll}’']+\s){1,3}(?:Street|Road|Lane|Avenue|Row|Close|Square|Drive|Court|Place|Terrace|Way|Walk|Hill|Quay|St\.|Rd\.|Ave\.)(?!\p{L})"
 ADDRESS_TAIL = r"(?:,\s(?:fundos|casa\s\d+|apto\s\d+|bloco\s\w+|bajo|\d\.º\s\w|[Ff]lat\s\w+|[Uu]nit\s\w+)|,\s(?:Bairro|Vila)\s(?:\p{Lu}\p{L}+\s?)+|,\sCEP\s\d{5}-\d{3}|\s-\s\p{Lu}\p{L}+(?:\s\p{Lu}\p{L}+)*)*"
 ELEMENT = r"(?:\p{Lu}\p{Ll}+(?:[’']\p{L}+)?(?![\p{L}\-])|\p{Lu}{2,}(?![\p{L}\-])|\p{Lu}\.(?=[\s.,;)]))"
@@ -85,9 +87,9 @@ def _extract():
 
         at, local, domain = plain.compile(EMAIL_AT), re.compile(EMAIL_LOCAL), re.compile(EMAIL_DOMAIN)
         digits, long_digits = plain.compile(r"[0-9]"), plain.compile(r"[0-9(+][0-9\s().\-]{6,}[0-9Xx]|[A-Z]{2}[0-9]{6}|\(0xx")
-        bare = re.compile(BARE)
-        phones = [re.compile(p + r"(?![\d]|[\-/]\d)") for p in PHONE]
-        ids = [re.compile(r"(?<![\p{L}\d.,/\-])" + p + r"(?![\d/]|[\-.]\d)") for p in IDENTITY]
+        bare, has_street, has_house = re.compile(BARE), plain.compile(STREET_WORDS), plain.compile(HOUSE_WORDS)
+        phone = re.compile("(?:" + "|".join(PHONE) + r")(?![\d]|[\-/]\d)")
+        identity = re.compile(r"(?<![\p{L}\d.,/\-])(?:" + "|".join(IDENTITY) + r")(?![\d/]|[\-.]\d)")
         street, house = re.compile(STREET + ADDRESS_TAIL), re.compile(HOUSE_FIRST)
         name, element = re.compile(NAME), re.compile(ELEMENT)
         before2, after2 = re.compile(rf"(?r)(?:({TOKEN})\s*)?({TOKEN})\s*"), re.compile(rf"\s*({TOKEN})(?:\s*({TOKEN}))?")
@@ -116,13 +118,13 @@ def _extract():
                     out.append(("email", before.start(), after.end()))
             if not digits.search(text):
                 return out
-            add("address", street)
-            add("address", house)
+            if has_street.search(text):
+                add("address", street)
+            if has_house.search(text):
+                add("address", house)
             if long_digits.search(text):
-                for p in ids:
-                    add("id_number", p)
-                for p in phones:
-                    add("phone", p)
+                add("id_number", identity)
+                add("phone", phone)
                 add("number", bare)
             return out
 

@@ -170,7 +170,9 @@ def _scan():
             found: list[tuple] = []
             seen: dict[str | None, dict[str, list[int]]] = {}
             for doc, block, tid, text in zip(pdf["doc_id"], pdf["block_id"], pdf["tid"], pdf["text"]):
-                found += [(False, doc, block, tid, *p, 0, 0, 0, 0, 0) for p in places(text)]
+                spots = places(text)
+                found.append((False, doc, block, tid, [p[0] for p in spots if p[1]], None, None, None, None, None, 0, 0, 0, 0, 0))
+                found += [(False, doc, block, tid, None, p[0], *p[2:], 0, 0, 0, 0, 0) for p in spots if not p[1]]
                 evidence(text, seen.setdefault(doc, {}))
             found += [(True, doc, None, 0, None, None, t, None, None, None, *e) for doc, tokens in seen.items() for t, e in tokens.items()]
             yield pd.DataFrame(found, columns=SCANNED_COLUMNS)
@@ -178,7 +180,7 @@ def _scan():
     return scan
 
 
-SCANNED = "evidence boolean, doc_id string, block_id string, tid bigint, start_at int, settled boolean, token string, before string, next string, kind string, low int, fin int, cap int, starts int, mid int"
+SCANNED = "evidence boolean, doc_id string, block_id string, tid bigint, settled array<int>, start_at int, token string, before string, next string, kind string, low int, fin int, cap int, starts int, mid int"
 SCANNED_COLUMNS = [c.split(" ")[0] for c in SCANNED.split(", ")]
 PLACE = ["doc_id", "block_id", "tid", "start_at"]
 
@@ -191,9 +193,9 @@ def _texts(paragraphs: DataFrame) -> DataFrame:
 def _starts(texts: DataFrame, abbreviations: DataFrame) -> DataFrame:
     scanned = cut(texts.mapInPandas(_scan(), SCANNED))
     places = scanned.where("not evidence")
-    settled = places.where("settled").select(*PLACE)
+    settled = places.where("settled is not null").select(*PLACE[:3], F.explode("settled").alias("start_at"))
     sums = [F.sum(c).alias(c) for c in ("low", "fin", "cap", "starts", "mid")]
-    open_ = places.where("not settled").select(*PLACE, "token", "before", "next", "kind")
+    open_ = places.where("settled is null").select(*PLACE, "token", "before", "next", "kind")
     in_doc = cut(scanned.where("evidence").groupBy("doc_id", "token").agg(*sums))
     corpus = in_doc.groupBy("token").agg(*sums).withColumn("n", F.col("low") + F.col("fin") + F.col("cap") + F.col("starts") + F.col("mid"))
     # only tokens that are asked for are kept: the others are most of the corpus
